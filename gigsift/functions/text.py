@@ -47,15 +47,18 @@ def squeeze(value: Column) -> Column:
     return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
 
 
-def clean_text(value: Column, limit: int | None = None) -> Column:
-    """Unescape, NFKC, drop control and format characters, collapse whitespace, cut. NULL becomes ''."""
-    visible = F.regexp_replace(unescaped(value), r"[\p{C}&&[^\n\t]]", "")
+def clean_text(value: Column, limit: int | None = None, resolved: bool = False) -> Column:
+    """Unescape, NFKC, drop control and format characters, collapse whitespace, cut. NULL becomes ''.
+
+    `resolved` says that entities and NFKC were applied before, as they are in text taken from a page.
+    """
+    visible = F.regexp_replace(value if resolved else unescaped(value), r"[\p{C}&&[^\n\t]]", "")
     text = F.coalesce(squeeze(visible), F.lit(""))
     return text if limit is None else F.substring(text, 1, limit)
 
 
-def clean_or_null(value: Column, limit: int | None = None) -> Column:
-    return F.nullif(clean_text(value, limit), F.lit(""))
+def clean_or_null(value: Column, limit: int | None = None, resolved: bool = False) -> Column:
+    return F.nullif(clean_text(value, limit, resolved), F.lit(""))
 
 
 def casefold(value: Column) -> Column:

@@ -43,7 +43,7 @@ def _instant(df: DataFrame, name: str) -> tuple[Column, Column]:
     return value, F.col(name).isNotNull() & value.isNull()
 
 
-def validate(raw: DataFrame, description_limit: int | None = 20_000) -> DataFrame:
+def validate(raw: DataFrame, description_limit: int | None = 20_000, resolved: bool = False) -> DataFrame:
     """Normalise every field and add `errors`, the codes of all violated constraints in check order."""
     raw = _with_defaults(raw)
     published, no_zone = _instant(raw, "published_at")
@@ -52,19 +52,19 @@ def validate(raw: DataFrame, description_limit: int | None = 20_000) -> DataFram
     responses, responses_wrong = _count(raw, "responses_count")
     views, views_wrong = _count(raw, "views_count")
     confirmed = F.col("publication_confirmed").try_cast("boolean")
-    source_id, title = clean_text(F.col("source_id"), 200), clean_text(F.col("title"), 500)
+    source_id, title = clean_text(F.col("source_id"), 200, resolved), clean_text(F.col("title"), 500, resolved)
     cleaned = raw.select(
         *[F.col(c) for c in raw.columns if c not in NORMALIZED],
         "row_id", "source", source_id.alias("source_id"), title.alias("title"), F.col("url").alias("_url"),
-        clean_or_null(F.col("description"), description_limit).alias("description"),
-        clean_or_null(F.col("category"), 500).alias("category"),
+        clean_or_null(F.col("description"), description_limit, resolved).alias("description"),
+        clean_or_null(F.col("category"), 500, resolved).alias("category"),
         published.alias("published_at"), no_zone.alias("_no_zone"),
         low.alias("budget_min"), high.alias("budget_max"), (low_wrong | high_wrong).alias("_bad_budget"),
         F.upper("currency").alias("currency"), responses.alias("responses_count"), views.alias("views_count"),
         (responses_wrong | views_wrong).alias("_bad_count"), "channel", F.col("external_url").alias("_external_url"),
         "origin_kind", "discovery_skip_reason", confirmed.alias("publication_confirmed"),
-        clean_or_null(F.col("publication_evidence"), 500).alias("publication_evidence"), "open_status",
-        clean_or_null(F.col("status_evidence"), 500).alias("status_evidence"))
+        clean_or_null(F.col("publication_evidence"), 500, resolved).alias("publication_evidence"), "open_status",
+        clean_or_null(F.col("status_evidence"), 500, resolved).alias("status_evidence"))
     refused = lambda column, *allowed: column.isNotNull() & ~column.isin(*allowed)
     checks = (
         ("invalid_source", ~F.coalesce(F.col("source").rlike(r"\A[a-z][a-z0-9_]{0,39}\z"), F.lit(False))),

@@ -12,10 +12,9 @@ from ..functions.values import closed_status, parse_publication_time
 from ..operators.score import assess, moment
 from ..operators.views import top_per_source
 from ..rules import Profile
-from .html import any_of, attribute, find, find_all, html_nodes, tag, text_of
+from .html import any_of, attribute, find, find_all, tag, text_of, texts_of, tidy, raw_text, with_page
 from .layouts import page_challenge
 
-N = F.col("nodes")
 DETAIL_SOURCES = ("fl_ru",)
 
 
@@ -38,27 +37,28 @@ def _unhidden(node: Column) -> Column:
 def read_cards(detail_pages: DataFrame, now: datetime | Column) -> DataFrame:
     """(source, source_id, card_error, date_text, confirmed_at, closed, closed_evidence, reply_open) of original cards."""
     c = F.col
-    flat = detail_pages.select("source", "source_id", html_nodes("html").alias("nodes"))
-    own = F.exists(N, lambda n: F.coalesce(attribute(n, "id") == F.concat(F.lit("projectp"), c("source_id")), F.lit(False)))
-    stamps = F.transform(find_all(N, tag("*", "text-10", "opacity-50")), lambda n: text_of(N, n))
-    dated = F.filter(stamps, lambda s: s.rlike(full(vocab.ORIGINAL_CARD_DATE, "U")))
-    pick = lambda group: F.regexp_extract(F.get(dated, 0), full(vocab.ORIGINAL_CARD_DATE, "U"), group)
-    labels = F.transform(find_all(N, any_of(tag("*", data_id="qa-order-status"), tag("*", "fl-project-status"), tag("*", "b-status"))),
-                         lambda n: text_of(N, n))
+    flat = with_page(detail_pages, "source", "source_id")
+    own = F.exists("nodes", lambda n: F.coalesce(attribute(n, "id") == F.concat(F.lit("projectp"), c("source_id")), F.lit(False)))
     brief = any_of(tag("*", "fl-project-content__description-text"), lambda n: attribute(n, "id").startswith("projectp"),
                    tag("*", "b-post__txt"), tag("h1"), tag("h2"), tag("*", "comment"), tag("*", "b-comment"))
-    cut = find_all(N, lambda n: F.coalesce(brief(n), F.lit(False)))
-    facts = flat.withColumns({
-        "card_error": F.when(page_challenge(N), "challenge_page").when(~own, "unrecognized_project_card"),
-        "date_text": F.when(F.size(dated) == 1, F.concat_ws(" ", pick(1), pick(2))),
-        "label": F.get(F.filter(labels, lambda t: closed_status(t).isNotNull()), 0),
-        "cut": F.transform(cut, lambda n: F.struct(n["id"].alias("id"), n["stop"].alias("stop")))})
-    outside = F.filter(N, lambda n: ~F.exists("cut", lambda x: (x["id"] <= n["id"]) & (n["id"] <= x["stop"])))
-    rest = facts.withColumn("rest", outside)
-    loose = F.get(F.transform(F.filter("rest", lambda n: (n["tag"] == "#text") & closed_status(n["text"]).isNotNull()), lambda n: n["text"]), 0)
-    offer = find(c("rest"), lambda n: F.coalesce(attribute(n, "id") == "reply_offer", F.lit(False)))
-    chain = lambda o: F.filter("rest", lambda n: (n["tag"] != "#text") & (n["id"] <= o["id"]) & (o["id"] <= n["stop"]))
-    reply_open = offer.isNotNull() & F.forall(chain(offer), _unhidden)
+    labels = any_of(tag("*", data_id="qa-order-status"), tag("*", "fl-project-status"), tag("*", "b-status"))
+    read = flat.withColumns({
+        "_title": find(tag("title")), "_own": own, "_labels": texts_of(labels),
+        "_dated": F.filter(texts_of(tag("*", "text-10", "opacity-50")), lambda s: s.rlike(full(vocab.ORIGINAL_CARD_DATE, "U"))),
+        "_cut": F.transform(find_all(lambda n: F.coalesce(brief(n), F.lit(False))), lambda n: F.struct(n["id"].alias("id"), n["stop"].alias("stop")))})
+    pick = lambda group: F.regexp_extract(F.get("_dated", 0), full(vocab.ORIGINAL_CARD_DATE, "U"), group)
+    facts = read.withColumns({
+        "card_error": F.when(page_challenge(c("_title")), "challenge_page").when(~c("_own"), "unrecognized_project_card"),
+        "date_text": F.when(F.size("_dated") == 1, F.concat_ws(" ", pick(1), pick(2))),
+        "label": F.get(F.filter("_labels", lambda t: closed_status(t).isNotNull()), 0),
+        # the customer's brief and the replies say nothing about the state of the order
+        "rest": find_all(lambda n: ~F.exists("_cut", lambda x: (x["id"] <= n["id"]) & (n["id"] <= x["stop"])))})
+    words = F.transform(find_all(lambda n: n["tag"] == "#text", "rest"), lambda n: tidy(raw_text(n)))
+    rest = facts.withColumns({
+        "_loose": F.get(F.filter(words, lambda t: closed_status(t).isNotNull()), 0),
+        "_offer": find(lambda n: attribute(n, "id") == "reply_offer", "rest")})
+    chain = find_all(lambda n: (n["tag"] != "#text") & (n["id"] <= c("_offer.id")) & (c("_offer.id") <= n["stop"]), "rest")
+    loose, reply_open = c("_loose"), c("_offer").isNotNull() & F.forall(chain, _unhidden)
     return rest.select(
         "source", "source_id", "card_error", "date_text",
         parse_publication_time(c("date_text"), moment(now)).alias("confirmed_at"),

@@ -10,7 +10,7 @@ from .. import vocab
 from ..functions.urls import safe_url, url_host, url_path, url_query
 from ..operators.skew import spread_join
 from ..rules import Profile
-from .html import attribute, find_all, html_nodes, tag
+from .html import attribute, find_all, tag, with_page
 
 RULE_KEYS = ("allow", "disallow", "crawl-delay", "request-rate")
 PAGINATED = {"fl_ru": 3, "freelance_ru": 3}
@@ -89,7 +89,7 @@ def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
     hosts = rows.filter(c("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
     groups = hosts.join(rules_by_host(rules).withColumnRenamed("host", "_host"), "_host")
     joined = spread_join(rows, groups, ["_host"], "_n", F.col("url"))
-    hit = lambda r: F.coalesce(c("_path").startswith(r["prefix"]), c("_path").rlike(r["pattern"]))
+    hit = lambda r: F.coalesce(c("_path").startswith(r["prefix"]), F.rlike(c("_path"), r["pattern"]))
     best = F.array_max(F.transform(F.filter("rules", hit), lambda r: F.struct(r["size"], r["allow"].alias("allow"))))
     return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).select(*urls.columns, "allowed")
 
@@ -144,9 +144,8 @@ def stop_after_restriction(log: DataFrame) -> DataFrame:
 
 def page_links(pages: DataFrame, key: str = "url") -> DataFrame:
     """(key, pos, href): links of each page in document order."""
-    links = F.transform(find_all(F.col("nodes"), tag("a", href=None)), lambda n: attribute(n, "href"))
-    flat = pages.select(key, html_nodes("html").alias("nodes"))
-    return flat.select(key, F.posexplode(links).alias("pos", "href"))
+    links = F.transform(find_all(tag("a", href=None)), lambda n: attribute(n, "href"))
+    return with_page(pages, key).select(key, F.posexplode(links).alias("pos", "href"))
 
 
 def _filters(query: Column) -> Column:
@@ -161,10 +160,10 @@ def next_pages(pages: DataFrame) -> DataFrame:
     """(source, url, page_no): the following listing page each page links to, at most up to the third page."""
     c = F.col
     known = pages.filter(c("source").isin(*PAGINATED) & (c("page_no") < 3))
-    links = F.transform(find_all(c("nodes"), tag("a", href=None)), lambda n: F.struct(
+    links = F.transform(find_all(tag("a", href=None)), lambda n: F.struct(
         attribute(n, "href").alias("href"), attribute(n, "data-page").isNotNull().alias("numbered")))
-    flat = known.select("source", c("url").alias("base"), "page_no", html_nodes("html").alias("nodes"))
-    rows = flat.select("source", "base", "page_no", F.posexplode(links).alias("pos", "link")).select(
+    flat = with_page(known, "source", c("url").alias("page_url"), "page_no")
+    rows = flat.select("source", c("page_url").alias("base"), "page_no", F.posexplode(links).alias("pos", "link")).select(
         "source", "base", "page_no", "pos", "link.numbered", safe_url(c("link.href"), c("base")).alias("target"))
     hosts = reduce(lambda a, b: a | b, ((c("source") == s) & url_host(c("target")).isin(*vocab.SOURCE_HOSTS[s]) for s in PAGINATED))
     same = hosts & (url_host(c("target")) == url_host(c("base")))

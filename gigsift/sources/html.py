@@ -1,7 +1,8 @@
-"""HTML pages as arrays of nodes.
+"""HTML pages as a text and an array of elements.
 
-One small Arrow function flattens a page; everything after it (cards, fields, links) is column expressions over the
-resulting array. Nodes stand in document order and know the end of their subtree, so "inside" is a comparison.
+One small Arrow function flattens a page; everything after it (cards, fields, links) is column expressions. Elements
+stand in document order and know the end of their subtree, so "inside" is a comparison; they also know their span in the
+page's text, so the text of an element is a substring.
 """
 
 from __future__ import annotations
@@ -12,29 +13,35 @@ from html.parser import HTMLParser
 from typing import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import squeeze
 
-NODES = ("array<struct<id:int,stop:int,up:int,tag:string,classes:array<string>,attrs:map<string,string>,text:string>>")
-_ARROW = pa.list_(pa.struct([
+NODE = T.StructType([
+    T.StructField("id", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("up", T.IntegerType()),
+    T.StructField("tag", T.StringType()), T.StructField("classes", T.ArrayType(T.StringType())),
+    T.StructField("attrs", T.MapType(T.StringType(), T.StringType())),
+    T.StructField("start", T.IntegerType()), T.StructField("size", T.IntegerType())])
+PAGE = T.StructType([T.StructField("text", T.StringType()), T.StructField("nodes", T.ArrayType(NODE))])
+_ARROW = pa.struct([("text", pa.string()), ("nodes", pa.list_(pa.struct([
     ("id", pa.int32()), ("stop", pa.int32()), ("up", pa.int32()), ("tag", pa.string()), ("classes", pa.list_(pa.string())),
-    ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+    ("attrs", pa.map_(pa.string(), pa.string())), ("start", pa.int32()), ("size", pa.int32())])))])
+BREAK = "\x1f"  # stands between text nodes; cleaning would drop it from page text
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "noscript"))
 
 
 class _Flattener(HTMLParser):
-    """Collects nodes; unclosed elements end with their parent, stray end tags are ignored."""
+    """Collects elements and text; unclosed elements end with their parent, stray end tags are ignored."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.nodes, self.open, self.hidden = [], [], 0
+        self.texts, self.length = [], 0
 
-    def _add(self, tag, attrs, text):
-        up = self.open[-1]["id"] if self.open else -1
-        node = {"id": len(self.nodes), "stop": len(self.nodes), "up": up, "tag": tag,
-                "classes": (attrs.get("class") or "").split(), "attrs": list(attrs.items()), "text": text}
+    def _add(self, tag, attrs, size=0):
+        node = {"id": len(self.nodes), "stop": len(self.nodes), "up": self.open[-1]["id"] if self.open else -1, "tag": tag,
+                "classes": attrs.get("class", "").split(), "attrs": list(attrs.items()), "start": self.length, "size": size}
         self.nodes.append(node)
         return node
 
@@ -44,10 +51,7 @@ class _Flattener(HTMLParser):
                 self.hidden += tag in HIDDEN
                 self.open.append({"id": -1, "tag": tag})
         else:
-            first = {}
-            for name, value in attrs:
-                first[name] = value or ""
-            node = self._add(tag, first, None)
+            node = self._add(tag, {name: value or "" for name, value in reversed(attrs)})
             if tag not in VOID:
                 self.open.append(node)
 
@@ -58,29 +62,31 @@ class _Flattener(HTMLParser):
 
     def handle_endtag(self, tag):
         if any(node["tag"] == tag for node in self.open):
-            while True:
-                node = self.open.pop()
-                self._close(node)
-                if node["tag"] == tag:
-                    break
+            closed = None
+            while closed != tag:
+                closed = self._close(self.open.pop())
 
     def _close(self, node):
         if node["id"] < 0:
             self.hidden -= node["tag"] in HIDDEN
         else:
             node["stop"] = len(self.nodes) - 1
+            node["size"] = max(0, self.length - 1 - node["start"])
+        return node["tag"]
 
     def handle_data(self, data):
         if not self.hidden:
-            text = unicodedata.normalize("NFKC", html.unescape(data.replace("\r\n", "\n"))).strip()
+            text = unicodedata.normalize("NFKC", html.unescape(data.replace("\r\n", "\n"))).replace(BREAK, "").strip()
             if text:
-                self._add("#text", {}, text)
+                self._add("#text", {}, len(text))
+                self.texts.append(text)
+                self.length += len(text) + 1
 
     def finish(self):
         self.close()
         while self.open:
             self._close(self.open.pop())
-        return self.nodes
+        return {"text": BREAK.join(self.texts), "nodes": self.nodes}
 
 
 def _flatten(page: str | None):
@@ -91,11 +97,19 @@ def _flatten(page: str | None):
     return parser.finish()
 
 
-@F.arrow_udf(NODES)
-def html_nodes(pages: pa.Array) -> pa.Array:
+@F.arrow_udf(PAGE)
+def html_page(pages: pa.Array) -> pa.Array:
+    """STRUCT<text, nodes> of each page."""
     return pa.array([_flatten(page.as_py()) for page in pages], type=_ARROW)
 
 
+def with_page(pages: DataFrame, *columns: str | Column) -> DataFrame:
+    """The given columns, `nodes`, `text` and `base` (where the text starts) of each page."""
+    flat = pages.select(*columns, html_page("html").alias("_page"))
+    kept = [name for name in flat.columns if name != "_page"]
+    return flat.select(*kept, F.col("_page.nodes").alias("nodes"), F.col("_page.text").alias("text"), F.lit(0).alias("base"))
+
+
 # --- selectors: predicates over one node of an array -------------------------------------------------------------
 
 Test = Callable[[Column], Column]
@@ -127,44 +141,46 @@ def attribute(node: Column, name: str) -> Column:
     return F.try_element_at(node["attrs"], F.lit(name))
 
 
-def inside(nodes: Column, outer: Test, inner: Test) -> Test:
+def inside(outer: Test, inner: Test, nodes: str = "nodes") -> Test:
     """Descendant: `inner` somewhere below a node accepted by `outer`."""
-    return lambda node: inner(node) & F.exists(
-        nodes, lambda a: outer(a) & (a["id"] < node["id"]) & (node["id"] <= a["stop"]))
+    return lambda node: inner(node) & F.exists(nodes, lambda a: outer(a) & below(a)(node))
+
+
+def below(top: Column) -> Test:
+    return lambda node: (top["id"] < node["id"]) & (node["id"] <= top["stop"])
 
 
-def find_all(nodes: Column, test: Test) -> Column:
-    return F.filter(nodes, test)
+def find_all(test: Test, nodes: str = "nodes") -> Column:
+    return F.filter(nodes, lambda n: F.coalesce(test(n), F.lit(False)))
 
 
-def find(nodes: Column, test: Test) -> Column:
-    return F.get(F.filter(nodes, test), 0)
+def find(test: Test, nodes: str = "nodes") -> Column:
+    return F.get(find_all(test, nodes), 0)
 
 
-def parent(nodes: Column, node: Column) -> Column:
-    return F.get(F.filter(nodes, lambda n: n["id"] == node["up"]), 0)
+def nearest_above(name: str, test: Test, nodes: str = "nodes") -> Column:
+    """Closest ancestor of the located element in column `name`."""
+    return F.try_element_at(find_all(lambda n: test(n) & below(n)(F.col(name)), nodes), F.lit(-1))
 
 
-def subtree(nodes: Column, node: Column) -> Column:
-    return F.filter(nodes, lambda n: (n["id"] >= node["id"]) & (n["id"] <= node["stop"]))
+def parent_of(name: str, nodes: str = "nodes") -> Column:
+    return find(lambda n: n["id"] == F.col(name)["up"], nodes)
 
 
-def _tidy(text: Column) -> Column:
-    return squeeze(F.regexp_replace(text, r"[\p{C}&&[^\n\t]]", ""))
+def raw_text(node: Column) -> Column:
+    """Text of a located element with BREAK between its text nodes; NULL without an element."""
+    return F.substring("text", node["start"] - F.col("base") + 1, node["size"])
 
 
-def raw_text(nodes: Column, node: Column, separator: str = " ") -> Column:
-    """Text below a node joined by a separator; NULL without a node."""
-    texts = F.filter(nodes, lambda n: (n["tag"] == "#text") & (n["id"] >= node["id"]) & (n["id"] <= node["stop"]))
-    return F.when(node.isNotNull(), F.array_join(F.transform(texts, lambda n: n["text"]), separator))
+def tidy(text: Column) -> Column:
+    """Clean text out of a page's text (entities and NFKC were resolved while flattening)."""
+    return squeeze(F.regexp_replace(F.translate(text, BREAK, " "), r"[\p{C}&&[^\n\t]]", ""))
 
 
-def text_of(nodes: Column, node: Column) -> Column:
-    """Clean text below a node; '' without a node."""
-    return F.coalesce(_tidy(raw_text(nodes, node)), F.lit(""))
+def text_of(node: Column) -> Column:
+    """Clean text of a located element; '' without an element."""
+    return F.coalesce(tidy(raw_text(node)), F.lit(""))
 
 
-def all_text(nodes: Column) -> Column:
-    """Clean visible text of a page."""
-    texts = F.filter(nodes, lambda n: n["tag"] == "#text")
-    return _tidy(F.array_join(F.transform(texts, lambda n: n["text"]), " "))
+def texts_of(test: Test) -> Column:
+    return F.transform(find_all(test), text_of)

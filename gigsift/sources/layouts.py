@@ -21,24 +21,25 @@ from ..operators.normalize import validate
 from ..operators.score import moment
 from ..rules import Profile
 from ..schema import row_id
-from .html import (any_of, attribute, find, find_all, html_nodes, inside, parent, raw_text, subtree, tag, text_of)
-
-N = F.col("nodes")
+from .html import (BREAK, any_of, attribute, below, find, find_all, inside, nearest_above, parent_of, raw_text, tag, text_of,
+                   texts_of, with_page)
 
 
 @dataclass(frozen=True)
 class Layout:
     """How one source lays out its listing pages.
 
-    `raw` maps names to columns over `nodes` (one card's nodes) and `heading`; `parsed` maps listing fields, `_error` (a
-    card error code or NULL) and `_drop` ("filtered", "ignored" or NULL) to columns over the raw ones.
+    `locate` lists steps which name the elements of a card (columns over `nodes` and over earlier steps); `raw` reads
+    texts and attributes from them; `parsed` maps listing fields, `_error` (a card error code or NULL) and `_drop`
+    ("filtered", "ignored" or NULL) to columns over the raw ones and `heading`.
     """
 
     source: str
     card: Callable[[Column], Column]
+    locate: Callable[[], list[dict[str, Column]]]
     raw: Callable[[], dict[str, Column]]
     parsed: Callable[[Column, Profile], dict[str, Column]]
-    empty_marker: Callable[[Column], Column] | None = None
+    empty_marker: Callable[[], Column] | None = None
     no_cards: str = "unrecognized_listing_layout"
     filtered_is_success: bool = False
 
@@ -76,19 +77,23 @@ def _is_id(value: str):
 
 # --- fl_ru -----------------------------------------------------------------------------------------------------
 
+def _fl_locate() -> list[dict[str, Column]]:
+    foot = tag("*", "b-post__foot")
+    return [{
+        "_link": find(inside(tag("h2"), tag("a", href=None))), "_kind": find(inside(foot, tag("*", "b-post__bold"))),
+        "_price": find(tag("*", "b-post__price")), "_age": find(inside(foot, tag("span", "text-gray-opacity-4"))),
+        "_label": find(tag("*", data_id="qa-order-status")), "_replies": find(tag("*", data_id="fl-view-count-href")),
+        "_icon": find(tag("*", title="Количество ответов")), "_brief": find(inside(tag("*", "b-post__body"), tag("*", "b-post__txt"))),
+    }, {"_beside": parent_of("_icon")}]
+
+
 def _fl_raw() -> dict[str, Column]:
-    link = find(N, inside(N, tag("h2"), tag("a", href=None)))
-    label = find(N, tag("*", data_id="fl-view-count-href"))
-    icon = find(N, tag("*", title="Количество ответов"))
+    c = F.col
     return {
-        "href": attribute(link, "href"), "link_text": text_of(N, link),
-        "kind": text_of(N, find(N, inside(N, tag("*", "b-post__foot"), tag("*", "b-post__bold")))),
-        "price": text_of(N, find(N, tag("*", "b-post__price"))),
-        "age_text": text_of(N, find(N, inside(N, tag("*", "b-post__foot"), tag("span", "text-gray-opacity-4")))),
-        "label": text_of(N, find(N, tag("*", data_id="qa-order-status"))),
-        "replies": F.coalesce(_or_null(text_of(N, label)), text_of(N, parent(N, icon))),
-        "brief": text_of(N, find(N, inside(N, tag("*", "b-post__body"), tag("*", "b-post__txt")))),
-        "pinned": F.array_contains(F.get(N, 0)["classes"], "topprjpay"),
+        "href": attribute(c("_link"), "href"), "link_text": text_of(c("_link")), "kind": text_of(c("_kind")),
+        "price": text_of(c("_price")), "age_text": text_of(c("_age")), "label": text_of(c("_label")),
+        "replies": F.coalesce(_or_null(text_of(c("_replies"))), text_of(c("_beside"))), "brief": text_of(c("_brief")),
+        "pinned": F.array_contains(F.get("nodes", 0)["classes"], "topprjpay"),
     }
 
 
@@ -108,31 +113,34 @@ def _fl_parsed(now: Column, profile: Profile) -> dict[str, Column]:
     }
 
 
-register(Layout("fl_ru", _is_id("project-item"), _fl_raw, _fl_parsed, filtered_is_success=True))
+register(Layout("fl_ru", _is_id("project-item"), _fl_locate, _fl_raw, _fl_parsed, filtered_is_success=True))
 
 
 # --- freelance_ru ----------------------------------------------------------------------------------------------
 
+def _freelance_locate() -> list[dict[str, Column]]:
+    item, foot = tag("*", "task-card__foot-item"), tag("*", "task-card__foot")
+    return [{
+        "_link": find(tag("a", "task-card__title-link", href=None)), "_price": find(tag("*", "task-card__budget")),
+        "_desc": find(tag("*", "task-card__desc")), "_meta": find(tag("*", "task-card__meta-rows")),
+        "_clock": find(inside(tag("*", "task-card__foot-item", title=None), tag("*", "fa-clock-o"))),
+        "_comments": find(inside(foot, tag("*", "fa-comments"))), "_views": find(inside(foot, tag("*", "fa-eye"))),
+    }, {"_dated": nearest_above("_clock", item), "_by_comments": parent_of("_comments"), "_by_views": parent_of("_views")}]
+
+
 def _freelance_raw() -> dict[str, Column]:
-    link = find(N, tag("a", "task-card__title-link", href=None))
+    c = F.col
     item = tag("*", "task-card__foot-item")
-    clock = find(N, inside(N, tag("*", "task-card__foot-item", title=None), tag("*", "fa-clock-o")))
-    holder = F.try_element_at(find_all(N, lambda n: item(n) & (n["id"] < clock["id"]) & (clock["id"] <= n["stop"])), F.lit(-1))
-    foot = tag("*", "task-card__foot")
-    beside = lambda icon: text_of(N, parent(N, find(N, inside(N, foot, tag("*", icon)))))
-    texts = lambda test: F.transform(find_all(N, test), lambda n: text_of(N, n))
-    labels = texts(any_of(tag("*", "task-card__status"), tag("*", "task-badge"), item))
+    labels = texts_of(any_of(tag("*", "task-card__status"), tag("*", "task-badge"), item))
     return {
-        "href": attribute(link, "href"), "link_text": text_of(N, link),
-        "price": text_of(N, find(N, tag("*", "task-card__budget"))),
-        "parts": F.filter(F.concat(
-            F.array(text_of(N, find(N, tag("*", "task-card__desc"))), text_of(N, find(N, tag("*", "task-card__meta-rows")))),
-            F.filter(texts(item), lambda t: t.contains("Опыт:"))), lambda t: t != ""),
-        "clock": F.coalesce(attribute(holder, "title"), F.lit("")),
+        "href": attribute(c("_link"), "href"), "link_text": text_of(c("_link")), "price": text_of(c("_price")),
+        "parts": F.filter(F.concat(F.array(text_of(c("_desc")), text_of(c("_meta"))),
+                                   F.filter(texts_of(item), lambda t: t.contains("Опыт:"))), lambda t: t != ""),
+        "clock": F.coalesce(attribute(c("_dated"), "title"), F.lit("")),
         "closed_label": F.get(F.filter(labels, lambda t: closed_status(t).isNotNull()), 0),
-        "comments": beside("fa-comments"), "views": beside("fa-eye"),
-        "chips": texts(inside(N, tag("*", "task-card__chips"), tag("*", "task-chip"))),
-        "premium": F.exists(N, tag("*", "task-badge--premium")) | F.array_contains(F.get(N, 0)["classes"], "task-card--premium"),
+        "comments": text_of(c("_by_comments")), "views": text_of(c("_by_views")),
+        "chips": texts_of(inside(tag("*", "task-card__chips"), tag("*", "task-chip"))),
+        "premium": F.exists("nodes", tag("*", "task-badge--premium")) | F.array_contains(F.get("nodes", 0)["classes"], "task-card--premium"),
     }
 
 
@@ -151,21 +159,24 @@ def _freelance_parsed(now: Column, profile: Profile) -> dict[str, Column]:
     }
 
 
-register(Layout("freelance_ru", tag("article", "task-card"), _freelance_raw, _freelance_parsed,
-                empty_marker=lambda nodes: F.exists(nodes, inside(nodes, tag("*", "task-feed-list"), tag("*", "empty")))))
+register(Layout("freelance_ru", tag("article", "task-card"), _freelance_locate, _freelance_raw, _freelance_parsed,
+                empty_marker=lambda: F.exists("nodes", inside(tag("*", "task-feed-list"), tag("*", "empty")))))
 
 
 # --- habr_freelance --------------------------------------------------------------------------------------------
 
+def _habr_locate() -> list[dict[str, Column]]:
+    return [{
+        "_link": find(inside(tag("*", "task__title"), tag("a", href=None))), "_time": find(tag("time", datetime=None)),
+        "_price": find(tag("*", "task__price")), "_brief": find(tag("*", "task__description")),
+        "_replies": find(tag("*", "params__responses")), "_tags": find(tag("*", "task__tags"))}]
+
+
 def _habr_raw() -> dict[str, Column]:
-    link = find(N, inside(N, tag("*", "task__title"), tag("a", href=None)))
+    c = F.col
     return {
-        "href": attribute(link, "href"), "link_text": text_of(N, link),
-        "time": attribute(find(N, tag("time", datetime=None)), "datetime"),
-        "price": text_of(N, find(N, tag("*", "task__price"))),
-        "brief": text_of(N, find(N, tag("*", "task__description"))),
-        "replies": text_of(N, find(N, tag("*", "params__responses"))),
-        "tags": text_of(N, find(N, tag("*", "task__tags"))),
+        "href": attribute(c("_link"), "href"), "link_text": text_of(c("_link")), "time": attribute(c("_time"), "datetime"),
+        "price": text_of(c("_price")), "brief": text_of(c("_brief")), "replies": text_of(c("_replies")), "tags": text_of(c("_tags")),
     }
 
 
@@ -178,24 +189,29 @@ def _habr_parsed(now: Column, profile: Profile) -> dict[str, Column]:
     }
 
 
-register(Layout("habr_freelance", tag("article", "task"), _habr_raw, _habr_parsed))
+register(Layout("habr_freelance", tag("article", "task"), _habr_locate, _habr_raw, _habr_parsed))
 
 
 # --- weblancer -------------------------------------------------------------------------------------------------
 
+def _weblancer_locate() -> list[dict[str, Column]]:
+    return [
+        {"_link": find(inside(tag("h2"), tag("a", href=None))), "_brief": find(tag("p")), "_spans": texts_of(tag("span"))},
+        {"_heading": nearest_above("_link", tag("h2"))},
+        {"_row": parent_of("_heading")},
+        {"_price": find(lambda n: tag("span", "whitespace-nowrap")(n) & below(F.col("_row"))(n))},
+    ]
+
+
 def _weblancer_raw() -> dict[str, Column]:
-    link = find(N, inside(N, tag("h2"), tag("a", href=None)))
-    heading = F.try_element_at(find_all(N, lambda n: (n["tag"] == "h2") & (n["id"] < link["id"]) & (link["id"] <= n["stop"])), F.lit(-1))
-    row = subtree(N, parent(N, heading))
-    spans = F.transform(find_all(N, tag("span")), lambda n: text_of(N, n))
-    first = lambda pattern: F.get(F.filter(spans, lambda s: s.rlike(full(pattern))), 0)
-    tags = find_all(N, lambda n: tag("a", href=None)(n) & (n["id"] != F.coalesce(link["id"], F.lit(-1)))
-                    & attribute(n, "href").rlike(r"\A/freelance/[^/]+/\z"))
+    c = F.col
+    first = lambda pattern: F.get(F.filter("_spans", lambda s: s.rlike(full(pattern))), 0)
+    tags = lambda n: (tag("a", href=None)(n) & (n["id"] != F.coalesce(c("_link.id"), F.lit(-1)))
+                      & attribute(n, "href").rlike(r"\A/freelance/[^/]+/\z"))
     return {
-        "href": attribute(link, "href"), "link_text": text_of(N, link),
-        "price": text_of(row, find(row, tag("span", "whitespace-nowrap"))),
+        "href": attribute(c("_link"), "href"), "link_text": text_of(c("_link")), "price": text_of(c("_price")),
         "date": first(r"\d{2}\.\d{2}\.\d{4}"), "replies": first(r"[\d\s]+\s+заяв\w*"), "views": first(r"[\d\s]+\s+просмотр\w*"),
-        "brief": text_of(N, find(N, tag("p"))), "tags": F.transform(tags, lambda n: text_of(N, n)),
+        "brief": text_of(c("_brief")), "tags": texts_of(tags),
     }
 
 
@@ -213,19 +229,24 @@ def _weblancer_parsed(now: Column, profile: Profile) -> dict[str, Column]:
     }
 
 
-register(Layout("weblancer", tag("article"), _weblancer_raw, _weblancer_parsed))
+register(Layout("weblancer", tag("article"), _weblancer_locate, _weblancer_raw, _weblancer_parsed))
 
 
 # --- telegram_public -------------------------------------------------------------------------------------------
 
+def _post_locate() -> list[dict[str, Column]]:
+    return [{"_text": find(tag("*", "tgme_widget_message_text")),
+             "_time": find(inside(tag("*", "tgme_widget_message_date"), tag("time", datetime=None)))}]
+
+
 def _post_raw() -> dict[str, Column]:
-    text = find(N, tag("*", "tgme_widget_message_text"))
-    links = find_all(N, lambda n: tag("a", href=None)(n) & (n["id"] > text["id"]) & (n["id"] <= text["stop"]))
+    c = F.col
+    links = find_all(lambda n: tag("a", href=None)(n) & below(c("_text"))(n))
     return {
-        "post": attribute(F.get(N, 0), "data-post"), "lines_text": raw_text(N, text, "\n"), "brief": text_of(N, text),
-        "time": F.coalesce(attribute(find(N, inside(N, tag("*", "tgme_widget_message_date"), tag("time", datetime=None))), "datetime"), F.lit("")),
+        "post": attribute(F.get("nodes", 0), "data-post"), "lines_text": F.translate(raw_text(c("_text")), BREAK, "\n"),
+        "brief": text_of(c("_text")), "time": F.coalesce(attribute(c("_time"), "datetime"), F.lit("")),
         "hrefs": F.coalesce(F.transform(links, lambda n: attribute(n, "href")), F.array().cast("array<string>")),
-        "forwarded": F.exists(N, tag("*", "tgme_widget_message_forwarded_from")),
+        "forwarded": F.exists("nodes", tag("*", "tgme_widget_message_forwarded_from")),
     }
 
 
@@ -272,36 +293,39 @@ def _post_parsed(now: Column, profile: Profile) -> dict[str, Column]:
     }
 
 
-register(Layout("telegram_public", tag("*", "tgme_widget_message", data_post=None), _post_raw, _post_parsed,
+register(Layout("telegram_public", tag("*", "tgme_widget_message", data_post=None), _post_locate, _post_raw, _post_parsed,
                 no_cards="public_preview_unavailable_or_empty", filtered_is_success=True))
 
 
 # --- the job ---------------------------------------------------------------------------------------------------
 
-def page_challenge(nodes: Column) -> Column:
+def challenge_form(node: Column) -> Column:
+    return ((node["tag"] == "form") & attribute(node, "action").contains("captcha")) | (attribute(node, "id") == "challenge-form")
+
+
+def page_challenge(title: Column) -> Column:
     """Is the page a browser check instead of content?"""
-    title = text_of(nodes, find(nodes, tag("title")))
-    forms = lambda n: ((n["tag"] == "form") & attribute(n, "action").contains("captcha")) | (attribute(n, "id") == "challenge-form")
-    return title.rlike(rx(vocab.CHALLENGE_TITLE)) | F.exists(nodes, lambda n: F.coalesce(forms(n), F.lit(False)))
+    return text_of(title).rlike(rx(vocab.CHALLENGE_TITLE)) | F.exists("nodes", lambda n: F.coalesce(challenge_form(n), F.lit(False)))
 
 
 LINEAGE = ("source", "page_url", "page_no", "seq", "page_error", "card_ord")
 
 
 def _cards(pages: DataFrame, layout: Layout) -> DataFrame:
-    """One row per card with its nodes, or one row without nodes for a page that yields none."""
+    """One row per card with its nodes and text, or one row without nodes for a page that yields none."""
     c = F.col
-    flat = pages.select("source", c("url").alias("page_url"), "page_no", "seq", html_nodes("html").alias("nodes"))
-    card = lambda n: F.coalesce(layout.card(n), F.lit(False))
-    spans = F.slice(F.transform(F.filter("nodes", card), lambda n: F.struct(n["id"].alias("id"), n["stop"].alias("stop"))),
-                    1, vocab.MAX_CARDS_PER_PAGE)
-    challenged = page_challenge(N)
-    empty = layout.empty_marker(N) if layout.empty_marker else F.lit(False)
-    error = F.when(challenged, "challenge_page").when((F.size("spans") == 0) & ~empty, layout.no_cards)
-    located = flat.withColumns({"spans": spans, "heading": text_of(N, find(N, tag("h1")))}).withColumn("page_error", error)
-    cut = F.when(c("page_error").isNull(), F.transform(
-        "spans", lambda s: F.slice(N, s["id"] + 1, s["stop"] - s["id"] + 1)))
-    return located.select("source", "page_url", "page_no", "seq", "heading", "page_error", F.posexplode_outer(cut).alias("card_ord", "nodes"))
+    flat = with_page(pages, "source", c("url").alias("page_url"), "page_no", "seq")
+    spans = F.transform(find_all(layout.card), lambda n: F.struct(n["id"].alias("id"), n["stop"].alias("stop"),
+                                                                 n["start"].alias("start"), n["size"].alias("size")))
+    located = flat.withColumns({"_title": find(tag("title")), "_h1": find(tag("h1")), "spans": F.slice(spans, 1, vocab.MAX_CARDS_PER_PAGE)})
+    empty = layout.empty_marker() if layout.empty_marker else F.lit(False)
+    error = F.when(page_challenge(c("_title")), "challenge_page").when((F.size("spans") == 0) & ~empty, layout.no_cards)
+    judged = located.withColumns({"heading": text_of(c("_h1")), "page_error": error})
+    cut = F.when(c("page_error").isNull(), F.transform("spans", lambda s: F.struct(
+        F.slice("nodes", s["id"] + 1, s["stop"] - s["id"] + 1).alias("nodes"),
+        F.substring("text", s["start"] + 1, s["size"]).alias("text"), s["start"].alias("base"))))
+    rows = judged.select("source", "page_url", "page_no", "seq", "heading", "page_error", F.posexplode_outer(cut).alias("card_ord", "card"))
+    return rows.select("source", "page_url", "page_no", "seq", "heading", "page_error", "card_ord", "card.nodes", "card.text", "card.base")
 
 
 def extract(pages: DataFrame, layout: Layout, now: datetime | Column, profile: Profile = Profile(),
@@ -309,11 +333,13 @@ def extract(pages: DataFrame, layout: Layout, now: datetime | Column, profile: P
     """One row per card: lineage, `card_state` (ok, invalid, filtered, ignored or NULL), `card_error` and listing fields."""
     c = F.col
     cards = _cards(pages.filter(c("source") == layout.source), layout)
-    raw = cards.select(*LINEAGE, "heading", *[value.alias(name) for name, value in layout.raw().items()])
+    located = reduce(lambda df, step: df.withColumns(step), layout.locate(), cards)
+    raw = located.select(*LINEAGE, "heading", *[value.alias(name) for name, value in layout.raw().items()])
     fields = {"_drop": F.lit(None).cast("string"), "_error": F.lit(None).cast("string"), **layout.parsed(moment(now), profile)}
     parsed = raw.select(*LINEAGE, *[value.alias(name) for name, value in fields.items()])
     order = F.lit(vocab.SOURCE_ORDER.index(layout.source) if layout.source in vocab.SOURCE_ORDER else len(vocab.SOURCE_ORDER))
-    checked = validate(parsed.withColumn("row_id", row_id(order, c("seq"), F.coalesce("card_ord", F.lit(0)))), description_limit)
+    numbered = parsed.withColumn("row_id", row_id(order, c("seq"), F.coalesce("card_ord", F.lit(0))))
+    checked = validate(numbered, description_limit, resolved=True)
     error = F.coalesce(c("_error"), F.get("errors", 0))
     state = (F.when(c("card_ord").isNull(), F.lit(None).cast("string")).when(c("_drop").isNotNull(), c("_drop"))
              .when(error.isNotNull(), "invalid").otherwise("ok"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..rules import Profile
+from ..session import settled
 from .score import open_confirmed
 
 
@@ -37,4 +38,5 @@ def apply_gate(assessed: DataFrame, profile: Profile = Profile(), seen: Column |
     """Add or replace `delivery_blockers` and `deliverable`."""
     flag = F.lit(False) if seen is None else F.coalesce(seen, F.lit(False))
     gated = assessed.withColumn("delivery_blockers", delivery_blockers(profile, flag))
-    return gated.withColumn("deliverable", F.col("eligible") & (F.size("delivery_blockers") == 0))
+    gated = gated.withColumn("deliverable", F.col("eligible") & (F.size("delivery_blockers") == 0))
+    return settled(gated, "delivery_blockers", "deliverable")

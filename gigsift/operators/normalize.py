@@ -8,6 +8,7 @@ from .. import vocab
 from ..functions.text import clean_or_null, clean_text, full, normalized_title
 from ..functions.urls import canonical_url, direct_card_url, fingerprint, safe_url, url_error
 from ..schema import MONEY, conform
+from ..session import settled
 
 MAX_MONEY = 1_000_000_000_000
 
@@ -86,7 +87,7 @@ def validate(raw: DataFrame, description_limit: int | None = 20_000, resolved: b
     errors = F.array_compact(F.array(*[F.when(wrong, F.lit(code)) for code, wrong in checks]))
     checked = cleaned.withColumn("errors", errors).withColumns({
         "url": safe_url(F.col("_url")), "external_url": safe_url(F.col("_external_url"))})
-    return checked.drop("_url", "_external_url", "_no_zone", "_bad_budget", "_bad_count")
+    return settled(checked.drop("_url", "_external_url", "_no_zone", "_bad_budget", "_bad_count"), "errors")
 
 
 NORMALIZED = (

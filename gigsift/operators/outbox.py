@@ -19,7 +19,7 @@ def plan_outbox(candidates: DataFrame, now: datetime | Column, profile: Profile
     anything is reserved, and the number of rows is limited."""
     waiting = candidates.filter("deliverable AND NOT already_seen")
     checked = apply_gate(assess(waiting, now, profile), profile, F.col("already_seen")).filter("deliverable")
-    rendered = with_messages(checked).filter("message IS NOT NULL")
+    rendered = with_messages(checked).filter("message_error IS NULL")
     return rendered.orderBy(*candidate_order()).limit(profile.max_send)
 
 

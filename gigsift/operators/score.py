@@ -13,6 +13,7 @@ from ..functions.lexicon import contains_any, experience_required, searchable
 from ..functions.text import fixed_point, rx
 from ..functions.values import age_hours, duration_days
 from ..rules import Profile
+from ..session import settled
 from .classify import relevance, stack_compatibility
 from .normalize import with_identity
 
@@ -242,7 +243,8 @@ def score(classified: DataFrame, now: datetime | Column, profile: Profile = Prof
         "risk_flags": live(_risk_flags(profile), mismatch_only)})
     done = graded.withColumn("eligible", c("scored") & c("_allowed") & (c("score") >= 6))
     done = done.withColumn("label", F.when(~c("eligible"), "SKIP").when(c("score") >= 8, "FIRE").otherwise("GOOD"))
-    return done.drop(*[name for name in done.columns if name.startswith("_")], "relevance", "stack")
+    done = done.drop(*[name for name in done.columns if name.startswith("_")], "relevance", "stack")
+    return settled(done, "relevance_gate", "scored", "score", "risk_flags", "eligible", "label")
 
 
 def assess(listings: DataFrame, now: datetime | Column, profile: Profile = Profile()) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -47,3 +47,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
+
+
+def settled(df: DataFrame, *names: str) -> DataFrame:
+    """The same rows, with the named columns passed through a one-row generator.
+
+    Filters on a column deep in a chain of projections are otherwise copied into every expression it is made of, and plans
+    grow exponentially. A generator is the one narrow operator they are not moved through; no shuffle, no extra rows.
+    """
+    rest = [name for name in df.columns if name not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

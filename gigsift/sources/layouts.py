@@ -21,6 +21,7 @@ from ..operators.normalize import validate
 from ..operators.score import moment
 from ..rules import Profile
 from ..schema import row_id
+from ..session import settled
 from .html import (BREAK, any_of, attribute, below, find, find_all, inside, nearest_above, parent_of, raw_text, tag, text_of,
                    texts_of, with_page)
 
@@ -343,7 +344,8 @@ def extract(pages: DataFrame, layout: Layout, now: datetime | Column, profile: P
     error = F.coalesce(c("_error"), F.get("errors", 0))
     state = (F.when(c("card_ord").isNull(), F.lit(None).cast("string")).when(c("_drop").isNotNull(), c("_drop"))
              .when(error.isNotNull(), "invalid").otherwise("ok"))
-    return checked.withColumns({"card_state": state, "card_error": F.when(state == "invalid", error)}).drop("_drop", "_error", "errors")
+    done = checked.withColumns({"card_state": state, "card_error": F.when(state == "invalid", error)}).drop("_drop", "_error", "errors")
+    return settled(done, "card_state", "card_error")
 
 
 def extract_all(pages: DataFrame, now: datetime | Column, profile: Profile = Profile()) -> DataFrame:

@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.text import format_budget
+from ..functions.values import age_hours
 from ..operators import deliver, metrics, outbox, render, score, views
+from ..operators.normalize import with_identity
 from ..rules import Profile
 from ..sources.scan import as_json
 from .views import NOW, assessed_orders, order_candidates, order_listings, view
@@ -170,18 +172,19 @@ def _(spark, folder):
 
 @query("freshness", "SELECT k AS row_id, p_fresh AS points FROM final")
 def _(spark, folder):
-    age = c("age_hours")
-    return view(assessed_orders, spark, folder).select("row_id", F.when(age.between(0, 24), score.freshness_points(age)).alias("points"))
+    age = age_hours(c("published_at"), score.moment(NOW))
+    return view(order_listings, spark, folder).select("row_id", F.when(age.between(0, 24), score.freshness_points(age)).alias("points"))
 
 
 @query("age_hours", "SELECT k AS row_id, round(age, 6) AS age_hours FROM final")
 def _(spark, folder):
-    return view(assessed_orders, spark, folder).select("row_id", F.round("age_hours", 6).alias("age_hours"))
+    return view(order_listings, spark, folder).select("row_id", F.round(age_hours(c("published_at"), score.moment(NOW)), 6).alias("age_hours"))
 
 
 @query("fresh", "SELECT k AS row_id, fresh FROM final")
 def _(spark, folder):
-    return view(assessed_orders, spark, folder).select("row_id", score.is_fresh(c("publication_confirmed"), c("age_hours"), 24).alias("fresh"))
+    age = age_hours(c("published_at"), score.moment(NOW))
+    return view(order_listings, spark, folder).select("row_id", score.is_fresh(c("publication_confirmed"), age, 24).alias("fresh"))
 
 
 @query("late_rows", "SELECT CASE WHEN age < 0 THEN 'future' WHEN age > 24 THEN 'late' END AS lateness, label, count(*) AS n FROM final WHERE age < 0 OR age > 24 GROUP BY 1, 2")
@@ -229,7 +232,7 @@ def _(spark, folder):
   WHEN 'fl_ru' THEN 'https://www.fl.ru/projects/' || k || '/order.html' WHEN 'weblancer' THEN 'https://www.weblancer.net/freelance/orders-1/order-' || k
   ELSE CASE WHEN k % 3 = 0 THEN 'https://freelance.ru/task/view/' || k END END AS direct_url FROM final""")
 def _(spark, folder):
-    return view(assessed_orders, spark, folder).select("row_id", "direct_url")
+    return with_identity(view(order_listings, spark, folder)).select("row_id", "direct_url")
 
 
 @query("delivery_gate", "SELECT k AS row_id, blockers, eligible AND blockers = '' AS deliverable FROM final")

@@ -216,13 +216,18 @@ def _weblancer_raw() -> dict[str, Column]:
     }
 
 
-def _weblancer_parsed(now: Column, profile: Profile) -> dict[str, Column]:
-    c = F.col
-    link = _link("weblancer", "missing_link", "invalid_project_path")
-    slug = F.regexp_extract(url_path(link["url"]), full(r"/freelance/([^/]+)-\d+/[^/]+-(\d+)/?", "U"), 1)
+def category_label(slug: Column) -> Column:
+    """Readable name of a category, the slug itself if it is not known."""
     label = slug
     for known, name in vocab.WEBLANCER_CATEGORIES.items():
         label = F.when(slug == known, name).otherwise(label)
+    return label
+
+
+def _weblancer_parsed(now: Column, profile: Profile) -> dict[str, Column]:
+    c = F.col
+    link = _link("weblancer", "missing_link", "invalid_project_path")
+    label = category_label(F.regexp_extract(url_path(link["url"]), full(r"/freelance/([^/]+)-\d+/[^/]+-(\d+)/?", "U"), 1))
     return {
         **link, **_budget(c("price")), "title": c("link_text"), "description": _or_null(c("brief")),
         "published_at": parse_publication_time(c("date"), now), "responses_count": parse_count(c("replies")),

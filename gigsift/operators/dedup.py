@@ -51,25 +51,26 @@ def title_edges(listings: DataFrame) -> DataFrame:
 def _stars(edges: DataFrame) -> DataFrame:
     """(big, small) edges from every row to the smallest row sharing one of its identities."""
     hashed = edges.select("row_id", F.unhex(F.md5(F.concat_ws("\n", "kind", "value"))).alias("identity"))
-    hubs = hashed.groupBy("identity").agg(F.min("row_id").alias("small"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    linked = spread_join(hashed, hubs, ["identity"], "_n", F.col("row_id"), "inner")
+    hubs = checkpoint(hashed.groupBy("identity").agg(F.min("row_id").alias("small"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    heaviest = hubs.agg(F.max("_n")).first()[0] or 0
+    linked = spread_join(hashed, hubs, ["identity"], "_n", F.col("row_id"), "inner", heaviest)
     return linked.filter("row_id > small").select(F.col("row_id").alias("big"), "small").distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     """Connect every larger neighbour of a row to the smallest row around it."""
     around = edges.select(F.col("small").alias("u"), F.col("big").alias("v")).union(edges.select("big", "small"))
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
     down = edges.select(F.col("small").alias("u"), F.col("big").alias("v"))
-    return (spread_join(down, least, ["u"], "_n", F.col("v"), "inner").filter("v > m")
+    return (spread_join(down, least, ["u"], "_n", F.col("v"), "inner", 2 * size).filter("v > m")
             .select(F.col("v").alias("big"), F.col("m").alias("small")).distinct())
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     """Connect a row and its smaller neighbours to the smallest of them."""
     up = edges.select(F.col("big").alias("u"), F.col("small").alias("v"))
     least = up.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    moved = spread_join(up, least, ["u"], "_n", F.col("v"), "inner").filter("v > m").select("v", "m")
+    moved = spread_join(up, least, ["u"], "_n", F.col("v"), "inner", 2 * size).filter("v > m").select("v", "m")
     return moved.union(least.select("u", "m")).toDF("big", "small").distinct()
 
 
@@ -85,11 +86,12 @@ def components(edges: DataFrame) -> DataFrame:
     """(row_id, component): the smallest connected row, for rows which share an identity with another row.
 
     Alternating large-star / small-star contraction (Kiveris et al., 2014). Each round is two aggregations and two joins
-    over the remaining edges and ends in a checkpoint.
+    over the remaining edges, each cut by a checkpoint.
     """
     links = checkpoint(_stars(edges))
     while not _is_settled(links):
-        links = checkpoint(_small_star(_large_star(links)))
+        wide = checkpoint(_large_star(links, links.count()))
+        links = checkpoint(_small_star(wide, wide.count()))
     roots = links.select(F.col("small").alias("row_id"), F.col("small").alias("component")).distinct()
     return links.select(F.col("big").alias("row_id"), F.col("small").alias("component")).union(roots)
 

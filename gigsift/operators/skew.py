@@ -12,13 +12,17 @@ SALTS = 4096
 
 
 def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weight: str, spread_by: Column,
-                how: str = "left") -> DataFrame:
+                how: str = "left", heaviest: int | None = None) -> DataFrame:
     """`rows` joined with `groups`, which has one row per key and its number of rows in `weight`.
 
     The heaviest groups, no more than HOT_GROUPS rows, reach their rows by broadcast. Those rows and rows with a NULL key
-    take a salted shuffle key, so that they spread over all tasks while the remaining groups join by shuffle.
+    take a salted shuffle key, so that they spread over all tasks while the remaining groups join by shuffle. A caller
+    which knows that no group exceeds `heaviest` rows gets a plain join where no group can be hot.
     """
     keys = list(keys)
+    if heaviest is not None and heaviest < HOT_MIN_ROWS:
+        plain = rows.join(groups, keys, how)
+        return plain if how in ("left_anti", "left_semi") else plain.select(*rows.columns, *[n for n in groups.columns if n not in keys])
     values = [name for name in groups.columns if name not in keys]
     packed = groups.select(*keys, F.struct(*values).alias("_group"))
     hot = (groups.filter(F.col(weight) >= HOT_MIN_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_GROUPS)

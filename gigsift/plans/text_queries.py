@@ -274,7 +274,8 @@ def _(spark, folder):
     forms = (F.concat(F.lit("https://www.fl.ru/projects/"), number, F.lit("/x.html?utm_source=a")), F.concat(F.lit("https://freelance.ru/task/view/"), number, F.lit("/")),
              F.concat(F.lit("https://freelance.habr.com/tasks/"), number), F.concat(F.lit("https://t.me/channel/"), number, F.lit("?single")), F.regexp_replace("url", "^http:", "https:"))
     link = F.element_at(F.array(*forms), (c("page_id") % 5 + 1).cast("int"))
-    return table(spark, folder, "pages").select("page_id", urls.is_project_link(urls.canonical_url(urls.safe_url(link))).alias("is_project"))
+    rows = table(spark, folder, "pages").select("page_id", urls.safe_url(link).alias("url")).withColumn("canonical", urls.canonical_url(c("url")))
+    return rows.select("page_id", urls.is_project_link(c("canonical")).alias("is_project"))
 
 
 @query("direct_url", """SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://www.fl.ru/projects/' || page_id || '/x.html' WHEN 2 THEN 'https://freelance.ru/task/view/' || page_id END AS direct_url FROM pages""")

@@ -64,6 +64,19 @@ def first_seen(events: DataFrame, key: str, at: str) -> DataFrame:
     return events.groupBy(key).agg(F.min(at).alias("first_seen_at"))
 
 
+def fold_first_seen(events: DataFrame, key: str, at: str, root: str, checkpoint_dir: str) -> None:
+    """Fold everything a stream holds into `first_seen` snapshots, batch by batch; a replayed batch gives the same version."""
+    schema = f"{key} {events.schema[key].dataType.simpleString()}, first_seen_at timestamp"
+
+    def step(batch: DataFrame, number: int) -> None:
+        known = _state_before(batch.sparkSession, root, "first_seen", schema, number)
+        merged = known.unionByName(first_seen(batch, key, at)).groupBy(key).agg(F.min("first_seen_at").alias("first_seen_at"))
+        history.write_snapshot(merged, root, "first_seen", number + 1)
+
+    writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_dir)
+    writer.trigger(availableNow=True).start().awaitTermination()
+
+
 def first_seen_changes(events: DataFrame, key: str, at: str) -> DataFrame:
     """Emits a key once, when it is first observed; its state never expires. Needs the RocksDB state store."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle

@@ -114,10 +114,10 @@ def split_valid(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 def with_identity(listings: DataFrame) -> DataFrame:
     """Add the derived identity columns: key, norm_title, canonical, direct_url, fingerprint."""
     c = F.col
-    return (listings
-            .withColumns({
-                "key": F.concat_ws(":", "source", "source_id"),
-                "norm_title": normalized_title(c("title")),
-                "canonical": canonical_url(c("url")),
-                "direct_url": direct_card_url(c("origin_kind"), c("source"), c("source_id"), c("url"), c("external_url"))})
-            .withColumn("fingerprint", fingerprint(c("norm_title"), c("origin_kind"), c("url"), c("external_url"))))
+    named = listings.withColumns({
+        "key": F.concat_ws(":", "source", "source_id"),
+        "norm_title": normalized_title(c("title")),
+        "canonical": canonical_url(c("url")),
+        "direct_url": direct_card_url(c("origin_kind"), c("source"), c("source_id"), c("url"), c("external_url"))})
+    marked = named.withColumn("fingerprint", fingerprint(c("norm_title"), c("origin_kind"), c("url"), c("external_url")))
+    return settled(marked, "key", "norm_title", "canonical", "direct_url", "fingerprint")

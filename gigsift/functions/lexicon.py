@@ -59,8 +59,18 @@ def gated(folded: str, pattern: str, test: str) -> str:
 
 def named_hits(tests: Mapping[str, str]) -> Column:
     """Array of the names whose SQL condition holds, in the given order."""
-    cases = (f"CASE WHEN {test} THEN {quoted(name)} END" for name, test in tests.items())
-    return F.expr(f"array_compact(array({', '.join(cases)}))")
+    # a joined text instead of array_compact(array(...)): the latter is a higher-order function, whose arguments Spark
+    # evaluates outside of generated code
+    cases = ", ".join(f"CASE WHEN {test} THEN {quoted(name)} END" for name, test in tests.items())
+    if not cases:
+        return F.array().cast("array<string>")
+    return F.expr(f"coalesce(split(nullif(concat_ws('\\u0001', {cases}), ''), '\\u0001'), cast(array() AS array<string>))")
+
+
+def named_columns(tests: Iterable[tuple[str, Column]]) -> Column:
+    """As `named_hits`, for conditions given as columns."""
+    joined = F.concat_ws("\x01", *[F.when(test, F.lit(name)) for name, test in tests])
+    return F.coalesce(F.split(F.nullif(joined, F.lit("")), "\x01"), F.array().cast("array<string>"))
 
 
 def term_pattern(term: str, patterns: Mapping[str, str]) -> str:
@@ -81,6 +91,11 @@ def any_term(text: str, folded: str, terms: Iterable[str], patterns: Mapping[str
     return F.expr(" OR ".join(_has_term(text, folded, t, patterns) for t in terms) or "false")
 
 
+def pattern_start(pattern: str) -> str:
+    """Guard which keeps the costly look-behinds for places where the pattern itself fits."""
+    return f"(?:{pattern})"
+
+
 def mention_pattern(pattern: str) -> str:
     """Pattern which steps over every mention and captures only those that are not excluded.
 
@@ -91,7 +106,7 @@ def mention_pattern(pattern: str) -> str:
     before = "|".join(rf"{word}\s{{0,{vocab.NEGATION_WIDTH_BEFORE - len(word)}}}" for word in vocab.NEGATORS_BEFORE)
     room = vocab.NEGATION_WIDTH_BEFORE - len(vocab.EXPERIENCE_WORD)
     experience = rf"{vocab.EXPERIENCE_WORD}\w{{0,{room}}}\s{{0,{room}}}"
-    return rx(rf"(?<!\w)(?:(?<={before}){core}|(?<!{experience}){core}(?={vocab.NEGATED_AFTER})|({core}))")
+    return rx(rf"(?<!\w)(?={pattern_start(pattern)})(?:(?<={before}){core}|(?<!{experience}){core}(?={vocab.NEGATED_AFTER})|({core}))")
 
 
 def _mentioned(text: str, folded: str, pattern: str) -> str:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
+from ..functions.lexicon import named_columns
 from ..rules import Profile
 from ..session import settled
 from .score import open_confirmed
@@ -31,7 +32,7 @@ def delivery_blockers(profile: Profile, seen: Column) -> Column:
         ("FIRE_COMPETITION", fire & (responses.isNull() | (responses > 20))),
         ("ALREADY_SEEN", seen),
     )
-    return F.array_compact(F.array(*[F.when(closed, F.lit(name)) for name, closed in gates]))
+    return named_columns(gates)
 
 
 def apply_gate(assessed: DataFrame, profile: Profile = Profile(), seen: Column | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from operator import add, or_
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from ..functions.lexicon import contains_any, experience_required, searchable
+from ..functions.lexicon import contains_any, experience_required, named_columns, searchable
 from ..functions.text import fixed_point, rx
 from ..functions.values import age_hours, duration_days
 from ..rules import Profile
@@ -206,7 +206,7 @@ def _risk_flags(profile: Profile) -> Column:
         ("LARGE_PROJECT", c("_large_late") & ~c("_large_budget")), ("EXPERIENCE_GATE", c("_experience")),
         ("OPEN_STATUS_UNKNOWN", c("_status_unknown")), ("OLDER_THAN_HOT_WINDOW", old),
     )
-    return F.array_compact(F.array(*[F.when(present, F.lit(name)) for name, present in flags]))
+    return named_columns(flags)
 
 
 def score(classified: DataFrame, now: datetime | Column, profile: Profile = Profile()) -> DataFrame:

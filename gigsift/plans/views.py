@@ -12,7 +12,7 @@ from ..operators.normalize import with_identity
 from ..operators.score import assess
 from ..rules import Profile
 from ..schema import conform
-from ..session import prepare, table
+from ..session import prepare, spread, table
 from ..functions.text import squeeze
 
 NOW = datetime(2026, 9, 21, 12, tzinfo=timezone.utc)
@@ -97,7 +97,7 @@ def order_listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assessed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return assess(view(order_listings, spark, folder), NOW)
+    return assess(spread(view(order_listings, spark, folder), "row_id"), NOW)
 
 
 def order_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -107,7 +107,7 @@ def order_candidates(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents")
+    return spread(table(spark, folder, "documents"), "doc_id")
 
 
 def doc_listings(spark: SparkSession, folder: str) -> DataFrame:
@@ -119,7 +119,7 @@ def doc_listings(spark: SparkSession, folder: str) -> DataFrame:
     first = F.substring(squeeze(F.get(F.split("text", "\n"), 0)), 1, 180)
     post = k % 3 == 0
     card = F.concat(F.lit("https://"), c("source"), F.lit(".example.com/doc/"), (c("n_chars") % 997).cast("string"), F.lit("?ref="), k.cast("string"))
-    return with_identity(conform(table(spark, folder, "documents").select(
+    return with_identity(conform(spread(table(spark, folder, "documents"), "doc_id").select(
         k.alias("row_id"), c("source"), k.cast("string").alias("source_id"), F.coalesce(F.nullif(first, F.lit("")), F.lit("-")).alias("title"),
         F.when(post, F.concat(F.lit("https://t.me/documents/"), k.cast("string"))).otherwise(card).alias("url"), c("text").alias("description"),
         c("lang").alias("category"), F.when(post & (k % 6 == 0), card).alias("external_url"),

@@ -17,6 +17,9 @@ SETTINGS = {
 
 
 def build_session(app: str = "gigsift", master: str | None = None, **conf: str) -> SparkSession:
+    # Classification compiles to large methods; without this flag the JVM would interpret them.
+    flags = "-XX:-DontCompileHugeMethods"
+    conf = {"spark.driver.extraJavaOptions": flags, "spark.executor.extraJavaOptions": flags, **conf}
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -49,6 +52,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Give row-wise heavy work at least one partition per core where the input has fewer splits than that."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 def settled(df: DataFrame, *names: str) -> DataFrame:
     """The same rows, with the named columns passed through a one-row generator.
 

@@ -97,7 +97,7 @@ def order_listings(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def assessed_orders(spark: SparkSession, folder: str) -> DataFrame:
-    return assess(spread(view(order_listings, spark, folder), "row_id"), NOW)
+    return assess(spread(view(order_listings, spark, folder), "row_id", table(spark, folder, "orders")), NOW)
 
 
 def order_candidates(spark: SparkSession, folder: str) -> DataFrame:

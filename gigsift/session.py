@@ -52,10 +52,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give row-wise heavy work at least one partition per core where the input has fewer splits than that."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+SMALL_INPUT = 1 << 30
+
+
+def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
+    """One partition per core in front of row-wise heavy work, where the input is too small to be split or where adaptive
+    execution would coalesce it into one task. Larger inputs keep the partitioning of their scan or shuffle. The size is
+    that of `source`, the table the rows come from (estimates of joins are no use here)."""
+    if (df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_INPUT:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
 
 
 def settled(df: DataFrame, *names: str) -> DataFrame:

@@ -290,9 +290,9 @@ def _(spark, folder):
         F.when(kind < 2, "marketplace").otherwise("repost"), F.when(kind < 2, "fl_ru").otherwise("telegram_public"), number, pick(own, other, post, post), link).alias("direct_url"))
 
 
-@query("html_text", r"""SELECT page_id, sha256(t) AS text_hash, length(t) AS n FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(
+@query("html_text", r"""SELECT page_id, sha256(t) AS text_hash, length(t) AS n FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(
    regexp_replace(regexp_replace(regexp_replace(html, '<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', '', 'gs'), '<!--.*?-->|<!DOCTYPE[^>]*>', '', 'gsi'), '<[^>]*>', ' ', 'g'),
-   '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""")
+   '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '\s+', ' ', 'g')) AS t FROM pages)""")
 def _(spark, folder):
     rows = html.with_page(table(spark, folder, "pages"), "page_id").select("page_id", html.tidy(c("text")).alias("t"))
     return rows.select("page_id", F.sha2("t", 256).alias("text_hash"), F.length("t").cast("bigint").alias("n"))

@@ -79,3 +79,23 @@ def mix(values: np.ndarray) -> np.ndarray:
     values = values ^ (values >> np.uint64(29))
     values = values * np.uint64(0xBF58476D1CE4E5B9)
     return values ^ (values >> np.uint64(32))
+
+
+def ddl_of(df: DataFrame) -> str:
+    return ", ".join(f"`{field.name.replace('`', '``')}` {field.dataType.simpleString()}" for field in df.schema)
+
+
+def with_computed(df: DataFrame, text: str, added: dict[str, tuple[str, pa.DataType]], compute) -> DataFrame:
+    """`df` and the columns `added` (name -> SQL type, Arrow type), of which `compute(texts)` makes a list of values each, for the
+    UTF-8 bytes of the column `text` of a batch. Columns of the same names are replaced."""
+    base = df.drop(*added)
+    at, names = base.columns.index(text), base.columns
+    kinds = [kind for _, kind in added.values()]
+
+    def run(batches):
+        for batch in batches:
+            made = compute(utf8(batch.column(at)))
+            arrays = [pa.array(values, kind) for values, kind in zip(made, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*names, *added])
+
+    return base.mapInArrow(run, ", ".join([ddl_of(base), *(f"`{name}` {sql}" for name, (sql, _) in added.items())]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, line_dedup, mixing, quality, secrets, simhash, suffix_tree
+from . import chat, decontam, line_dedup, mixing, neighbours, quality, secrets, simhash, span_dedup, suffix_tree
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ GROUP BY doc_id
 """
 
 
+def op2_span_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return span_dedup.repeated_spans(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality.score_quality(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "labels"))
 
@@ -80,13 +84,17 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op9_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, folder, "embeddings"), F.col("vec_id") % neighbours.EVERY == 0)
+
+
 def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, folder, "documents"))
 
 
 QUERIES = {
-    "op1_line_dedup": op1_line_dedup, "op3_quality": op3_quality,
+    "op1_line_dedup": op1_line_dedup, "op2_span_dedup": op2_span_dedup, "op3_quality": op3_quality,
     "op4_suffix_tree": op4_suffix_tree, "op5_chat": op5_chat, "op6_secrets": op6_secrets, "op7_decontamination": op7_decontamination,
-    "op8_simhash": op8_simhash, "op10_mixing": op10_mixing,
+    "op8_simhash": op8_simhash, "op9_neighbours": op9_neighbours, "op10_mixing": op10_mixing,
 }
 ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL}

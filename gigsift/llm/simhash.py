@@ -21,11 +21,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import record_batch, require, stored, utf8, words_of
+from .common import mix, record_batch, require, stored, utf8, words_of
 from .graph import components
 
 SHINGLE, BUDGET, SEED, BITS = 3, 3, 42, 64
-CHUNK, WALK = 1 << 18, 1 << 20
+CHUNK, WALK = 1 << 18, 1 << 19
 
 _PRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 _LINKS = pa.schema([("low", pa.int64()), ("high", pa.int64())])
@@ -76,12 +76,14 @@ def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
             label[:] = up
 
 
-def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int = WALK) -> np.ndarray:
+def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int = WALK, counted: int = BITS, agree=None) -> np.ndarray:
     """For sorted distinct uint64 leaves: the label of each, equal for leaves connected by links of at most `budget` differing
-    bits, among leaves which agree in their first `depth` bits.
+    bits, among leaves which agree in their first `depth` bits. Bits from `counted` on only tell leaves apart; `agree`, given two
+    arrays of places, says which links hold.
 
     A node is a range of leaves with a common prefix. The frontier holds node pairs of one level; where it outgrows `walk` pairs,
-    it is halved and the halves are walked one after the other.
+    it is halved and the halves are walked one after the other. Pairs of nodes whose leaves are all connected already are left out,
+    so a dense group costs about as much as a tree over it, not as all its pairs.
     """
     size = len(leaves)
     label = np.arange(size)
@@ -91,8 +93,13 @@ def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int =
     many = ends - begins > 1
     ones: dict[int, np.ndarray] = {}
     stack = [(depth, begins[many], ends[many], begins[many], ends[many], np.zeros(int(many.sum()), dtype=np.int8))]
+    breaks, mask = None, np.uint64(((1 << counted) - 1) << (BITS - counted))
     while stack:
         level, a0, a1, b0, b1, errors = stack.pop()
+        if breaks is None:
+            breaks = np.concatenate([[0], np.cumsum(label[1:] != label[:-1])])
+        open_pairs = (label[a0] != label[b0]) | (breaks[a1 - 1] != breaks[a0]) | (breaks[b1 - 1] != breaks[b0])
+        a0, a1, b0, b1, errors = (part[open_pairs] for part in (a0, a1, b0, b1, errors))
         if len(a0) > walk:
             half = len(a0) // 2
             stack += [(level, a0[half:], a1[half:], b0[half:], b1[half:], errors[half:]),
@@ -101,19 +108,25 @@ def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int =
         leaf = (a1 - a0 == 1) & (b1 - b0 == 1)  # what is left of the paths has no branches: compare it at once
         if leaf.any():
             left, right = a0[leaf], b0[leaf]
-            near = np.bitwise_count(leaves[left] ^ leaves[right]) <= budget
-            _unite(label, left[near], right[near])
+            near = np.bitwise_count((leaves[left] ^ leaves[right]) & mask) <= budget
+            left, right = left[near], right[near]
+            if agree is not None and len(left):
+                holds = agree(left, right)
+                left, right = left[holds], right[holds]
+            if len(left):
+                _unite(label, left, right)
+                breaks = None
             a0, a1, b0, b1, errors = (part[~leaf] for part in (a0, a1, b0, b1, errors))
         if not len(a0):
             continue
         if level not in ones:
             bits = (leaves >> np.uint64(BITS - 1 - level)) & np.uint64(1)
             ones[level] = np.concatenate([[0], np.cumsum(bits.astype(np.int64))])
-        count = ones[level]
+        count, cost = ones[level], int(level < counted)
         am, bm = a1 - (count[a1] - count[a0]), b1 - (count[b1] - count[b0])
         other = a0 != b0
         children = ((a0, am, b0, bm, errors, None), (am, a1, bm, b1, errors, None),
-                    (a0, am, bm, b1, errors + 1, None), (am, a1, b0, bm, errors + 1, other))
+                    (a0, am, bm, b1, errors + cost, None), (am, a1, b0, bm, errors + cost, other))
         following = []
         for c0, c1, d0, d1, spent, only in children:
             keep = (c1 > c0) & (d1 > d0) & (spent <= budget) & ~((c0 == d0) & (c1 - c0 == 1))
@@ -191,9 +204,114 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGET) -> DataFrame:
+# --- near duplicates by similarity -----------------------------------------------------------------------------------
+#
+# At a similarity of 0.8, fingerprints of 64 bits differ in about ten, more than any trie can spend. A signature of PRINTS short
+# fingerprints is used instead: two documents are candidates if one of these differs in no more than `budget` of its SLICE bits, which
+# the trie join finds, and are linked if their whole signatures differ in no more than `most` bits.
+
+PRINTS, SLICE, SIMILAR_SHINGLE = 12, 32, 5
+MOST = 66  # of 384 bits: 58 differ on average at a Jaccard similarity of 0.8, give or take 7, and 192 between unrelated texts
+LANES = PRINTS * SLICE // BITS
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("signature", pa.binary())])
+_DEALT = pa.schema([("part", pa.int32()), ("rest", pa.int32()), ("point", pa.int64()), ("signature", pa.binary())])
+_OFFSETS = mix(np.arange(11, 11 + LANES, dtype=np.uint64))
+
+
+def signature(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> bytes:
+    """PRINTS fingerprints of SLICE bits each; all zero for a text without words."""
+    if not words:
+        return bytes(PRINTS * SLICE // 8)
+    joined = b" ".join(words)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    width = min(shingle, len(words))
+    view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    hashes = [digest(view[b:e], SEED) for b, e in zip((ends - sizes).tolist(), ends[width - 1:].tolist())]
+    counts = np.zeros(LANES * BITS, dtype=np.int64)
+    for part in range(0, len(hashes), 1 << 14):
+        lanes = mix(np.array(hashes[part:part + (1 << 14)], dtype=np.uint64)[:, None] ^ _OFFSETS[None, :])
+        counts += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > len(hashes)).tobytes()
+
+
+def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, signature) of every row."""
+    def run(batches):
+        for batch in batches:
+            yield record_batch(_SIGNED, (batch.column(0), [signature(words_of(text), shingle) for text in utf8(batch.column(1))]))
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, signature binary")
+
+
+def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET) -> DataFrame:
+    """(low, high) links of `points` (point, signature) which connect just what candidates within `most` bits connect."""
+    turns, block = budget + 1, SLICE // (budget + 1)
+
+    def deal(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            slices = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, PRINTS).astype(np.uint32)
+            for place in range(PRINTS):
+                for turn in range(turns):
+                    by = np.uint32(turn * block)
+                    own = slices[:, place] if turn == 0 else (slices[:, place] << by) | (slices[:, place] >> np.uint32(SLICE - turn * block))
+                    part = ((place * turns + turn) << block) + (own >> np.uint32(SLICE - block)).astype(np.int64)
+                    rest = (own & np.uint32((1 << (SLICE - block)) - 1)).astype(np.int32)
+                    yield record_batch(_DEALT, (part, rest, batch.column(0), batch.column(1)))
+
+    def walk(parts, rests, points, packed):
+        # leaf: number of the part, the rest of the slice, and a number that tells equal ones apart
+        group = np.concatenate([[0], np.cumsum(parts[1:] != parts[:-1])]).astype(np.uint64)
+        numbers = np.arange(len(parts), dtype=np.uint64)
+        leaves = (group << np.uint64(48)) | (rests.astype(np.uint64) << np.uint64(24)) | numbers
+        lanes = np.frombuffer(packed, dtype=np.uint64).reshape(-1, LANES)
+        agree = lambda left, right: np.bitwise_count(lanes[left] ^ lanes[right]).sum(axis=1) <= most
+        label = trie_join(leaves, 16, budget, counted=16 + SLICE - block, agree=agree)
+        tied = np.flatnonzero(label != numbers.astype(np.int64))
+        ends = points[label[tied]], points[tied]
+        return record_batch(_LINKS, (np.minimum(*ends), np.maximum(*ends)))
+
+    def run(batches):
+        kept: list[tuple] = []
+        waiting = 0
+
+        def finish(rows):
+            return walk(*(np.concatenate([row[k] for row in rows]) for k in range(3)), b"".join(row[3] for row in rows))
+
+        for batch in batches:
+            kept.append((*(batch.column(k).to_numpy() for k in range(3)), b"".join(batch.column(3).to_pylist())))
+            waiting += batch.num_rows
+            if waiting >= CHUNK:  # cut at the last border between parts
+                last = kept[-1]
+                border = int(np.searchsorted(last[0], last[0][-1]))
+                if border or (len(kept) > 1 and kept[-2][0][-1] != last[0][-1]):
+                    size = PRINTS * SLICE // 8
+                    yield finish([*kept[:-1], (*(column[:border] for column in last[:3]), last[3][:border * size])])
+                    kept = [(*(column[border:] for column in last[:3]), last[3][border * size:])]
+                    waiting = len(kept[0][0])
+        if waiting:
+            yield finish(kept)
+
+    dealt = points.select("point", "signature").mapInArrow(deal, "part int, rest int, point long, signature binary")
+    return dealt.repartition("part").sortWithinPartitions("part", "rest").mapInArrow(run, "low long, high long")
+
+
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
+    """(doc_id, component_id) of every row of `docs`: the smallest doc_id connected by a similarity of about 0.8 or more."""
+    signed = stored(signatures(docs, shingle), "document-signatures")
+    points = stored(signed.groupBy("signature").agg(F.min("doc_id").alias("first")).withColumn("point", F.monotonically_increasing_id()), "signatures")
+    tied = components(similar_links(points, most)).withColumnRenamed("node", "point")
+    named = stored(tied.join(points.select("point", "first"), "point"), "signature-groups")
+    roots = named.groupBy("root").agg(F.min("first").alias("smallest"))
+    joined = points.join(named.select("point", "root").join(roots, "root"), "point", "left")
+    return signed.join(joined.select("signature", F.coalesce("smallest", "first").alias("component_id")), "signature").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
     """One document of each group of near duplicates, the one of the smallest doc_id; of rows that share it, one. Rows with a
     null doc_id have no name to be told apart by and stay."""
-    named = near_duplicates(docs, shingle, budget).filter("doc_id = component_id").select("doc_id").distinct()
+    named = similar_groups(docs, shingle, most).filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.filter("doc_id IS NOT NULL").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
     return kept.union(docs.filter("doc_id IS NULL"))

@@ -68,8 +68,9 @@ def target_shares(cells: DataFrame, margin: str, targets: dict[str, float] | Non
         total = sum(targets.values())
         rows = [("=" + value, share / total) for value, share in targets.items()]
         return spark.createDataFrame(rows, f"{margin} string, target double")
-    raised = cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("raised"))
-    return raised.crossJoin(raised.agg(F.sum("raised").alias("all"))).select(margin, (F.col("raised") / F.col("all")).alias("target"))
+    raised = stored(cells.groupBy(margin).agg(F.pow(F.sum("tokens"), F.lit(exponent)).alias("raised")), "raised-tokens")
+    total = raised.agg(F.sum("raised")).first()[0]
+    return raised.select(margin, (F.col("raised") / F.lit(total)).alias("target"))
 
 
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = ROUNDS,

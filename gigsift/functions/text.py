@@ -82,14 +82,15 @@ def percent_decode(value: Column) -> Column:
     return F.url_decode(guarded)
 
 
-def redact(message: Column, secrets: tuple[str, ...] = ()) -> Column:
-    """Message without secrets, URLs and tokens, decoded twice so that encoded ones are found as well."""
+def redact(message: Column, secrets: tuple[str, ...] = (), limit: int | None = None) -> Column:
+    """Message without secrets, URLs and tokens, decoded twice so that encoded ones are found as well; cut to `limit` characters, if given."""
     value = percent_decode(percent_decode(message))
     for secret in filter(None, secrets):
         value = F.replace(value, F.lit(secret), F.lit(vocab.REDACTED_SECRET))
     value = F.regexp_replace(value, rx(vocab.REDACT_URL, "i"), F.lit(vocab.REDACTED_URL))
     value = F.regexp_replace(value, rx(vocab.REDACT_TOKEN, "U"), F.lit(vocab.REDACTED_TOKEN))
-    value = F.substring(squeeze(F.regexp_replace(value, r"\p{C}", " ")), 1, 500)
+    value = squeeze(F.regexp_replace(value, r"\p{C}", " "))
+    value = value if limit is None else F.substring(value, 1, limit)
     return F.coalesce(F.nullif(value, F.lit("")), F.lit(vocab.REDACT_EMPTY))
 
 

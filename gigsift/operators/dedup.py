@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions.text import long_title
@@ -12,6 +12,15 @@ from .normalize import with_identity
 from .skew import spread_join
 
 
+NARROW = ("row_id", "key", "fingerprint", "canonical", "norm_title", "origin_kind", "url", "external_url")
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """All identity and title edges. The columns they are made of are written once, without the texts."""
+    narrow = checkpoint(rows.select(*NARROW))
+    return identity_edges(narrow).union(title_edges(narrow))
+
+
 def _identified(listings: DataFrame) -> DataFrame:
     return listings if "fingerprint" in listings.columns else with_identity(listings)
 
@@ -52,25 +61,24 @@ def _stars(edges: DataFrame) -> DataFrame:
     """(big, small) edges from every row to the smallest row sharing one of its identities."""
     hashed = edges.select("row_id", F.unhex(F.md5(F.concat_ws("\n", "kind", "value"))).alias("identity"))
     hubs = checkpoint(hashed.groupBy("identity").agg(F.min("row_id").alias("small"), F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
-    heaviest = hubs.agg(F.max("_n")).first()[0] or 0
-    linked = spread_join(hashed, hubs, ["identity"], "_n", F.col("row_id"), "inner", heaviest)
+    linked = spread_join(hashed, hubs, ["identity"], "_n", F.col("row_id"), "inner")
     return linked.filter("row_id > small").select(F.col("row_id").alias("big"), "small").distinct()
 
 
-def _large_star(edges: DataFrame, size: int) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Connect every larger neighbour of a row to the smallest row around it."""
     around = edges.select(F.col("small").alias("u"), F.col("big").alias("v")).union(edges.select("big", "small"))
     least = around.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n")).withColumn("m", F.least("u", "m"))
     down = edges.select(F.col("small").alias("u"), F.col("big").alias("v"))
-    return (spread_join(down, least, ["u"], "_n", F.col("v"), "inner", 2 * size).filter("v > m")
+    return (spread_join(down, least, ["u"], "_n", F.col("v"), "inner").filter("v > m")
             .select(F.col("v").alias("big"), F.col("m").alias("small")).distinct())
 
 
-def _small_star(edges: DataFrame, size: int) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Connect a row and its smaller neighbours to the smallest of them."""
     up = edges.select(F.col("big").alias("u"), F.col("small").alias("v"))
     least = up.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("_n"))
-    moved = spread_join(up, least, ["u"], "_n", F.col("v"), "inner", 2 * size).filter("v > m").select("v", "m")
+    moved = spread_join(up, least, ["u"], "_n", F.col("v"), "inner").filter("v > m").select("v", "m")
     return moved.union(least.select("u", "m")).toDF("big", "small").distinct()
 
 
@@ -90,8 +98,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     links = checkpoint(_stars(edges))
     while not _is_settled(links):
-        wide = checkpoint(_large_star(links, links.count()))
-        links = checkpoint(_small_star(wide, wide.count()))
+        wide = checkpoint(_large_star(links))
+        links = checkpoint(_small_star(wide))
     roots = links.select(F.col("small").alias("row_id"), F.col("small").alias("component")).distinct()
     return links.select(F.col("big").alias("row_id"), F.col("small").alias("component")).union(roots)
 
@@ -99,7 +107,7 @@ def components(edges: DataFrame) -> DataFrame:
 def duplicate_components(listings: DataFrame) -> DataFrame:
     """(row_id, component) for every listing."""
     rows = _identified(listings)
-    found = components(identity_edges(rows).union(title_edges(rows)))
+    found = components(_edges(rows))
     return rows.select("row_id").join(found, "row_id", "left").withColumn("component", F.coalesce("component", "row_id"))
 
 
@@ -137,7 +145,7 @@ def deduplicate(listings: DataFrame) -> DataFrame:
     """One survivor per duplicate component: marketplace before direct post before repost, dated, longest, first key."""
     c = F.col
     rows = _identified(listings)
-    found = components(identity_edges(rows).union(title_edges(rows)))
+    found = components(_edges(rows))
     labelled = rows.join(found, "row_id", "left")
     market = c("origin_kind") == "marketplace"
     priority = F.when(market, 0).when(c("origin_kind") == "direct_post", 1).otherwise(2)
@@ -148,16 +156,48 @@ def deduplicate(listings: DataFrame) -> DataFrame:
     return _merge(labelled, groups, c("_best.row_id"), _dates_differ())
 
 
+def _parents(rows: DataFrame) -> DataFrame:
+    """(row_id, parent) within each source: the first row with the same key, else the row before it with the same canonical URL.
+
+    The row before is a lag over ranges of (source, URL, row): tasks get equal parts of the order however many rows share one URL, and
+    the last row of each task is handed to the next one.
+    """
+    c = F.col
+    keyed = rows.groupBy("source", "source_id").agg(F.min("row_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    narrow = spread_join(rows.select("row_id", "source", "source_id", "canonical"), keyed, ["source", "source_id"], "_n", c("row_id"), "inner")
+    order = ["source", "canonical", "row_id"]
+    ranges = checkpoint(narrow.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    within = Window.partitionBy("_part").orderBy(*order)
+    ends = ranges.groupBy("_part").agg(F.max(F.struct(*order)).alias("_last"))
+    carried = ends.withColumn("_before", F.lag("_last").over(Window.orderBy("_part"))).select("_part", "_before")  # one row per task
+    same = F.struct("source", "canonical")
+    before = F.coalesce(F.lag(F.struct(*order)).over(within), c("_before"))
+    linked = ranges.join(F.broadcast(carried), "_part").withColumn("_prior", before)
+    by_url = F.when(c("canonical").isNotNull() & (F.struct(c("_prior.source"), c("_prior.canonical")) == same), c("_prior.row_id"))
+    parent = F.when(c("_first") < c("row_id"), c("_first")).otherwise(by_url)
+    return linked.select("row_id", parent.alias("parent"))
+
+
+def _roots(parents: DataFrame) -> DataFrame:
+    """(row_id, root): follow parents to a row without one, doubling the step each round."""
+    c = F.col
+    chains = checkpoint(parents.select("row_id", F.coalesce("parent", "row_id").alias("root")))
+    while True:
+        above = chains.select(c("row_id").alias("root"), c("root").alias("_up"))
+        longer = checkpoint(chains.join(above, "root").select("row_id", c("root").alias("_was"), c("_up").alias("root")))
+        chains = longer.select("row_id", "root")
+        if longer.filter("_was <> root").isEmpty():
+            return chains
+
+
 def exact_dedup(listings: DataFrame) -> DataFrame:
-    """Within each source: one row per key or canonical URL, the first one, with the safety merge."""
+    """Within each source, in row order: a row repeats the first row with its key, or else the row before it with its canonical URL, and
+    is merged into what that one was merged into. Rows which repeat none survive, with the safety merge of their repeats."""
     c = F.col
-    rows = _identified(listings)
-    pair = lambda kind, value: F.struct(F.lit(kind).alias("kind"), F.concat_ws("\n", c("source"), value).alias("value"))
-    edges = rows.select("row_id", F.explode(F.array(pair("key", c("source_id")), pair("url", c("canonical")))).alias("i")).select(
-        "row_id", "i.kind", "i.value")
-    labelled = rows.join(components(edges), "row_id", "left")
+    rows = checkpoint(_identified(listings))
+    labelled = rows.join(_roots(_parents(rows)).withColumnRenamed("root", "component"), "row_id")
     market = c("origin_kind") == "marketplace"
-    groups = labelled.filter(c("component").isNotNull()).groupBy("component").agg(
+    groups = labelled.groupBy("component").agg(
         F.min(F.struct("row_id", "publication_confirmed")).alias("_first"),
         *_safety(F.when(market & c("publication_confirmed"), c("published_at")), market))
-    return _merge(labelled, groups, c("_first.row_id"), _dates_differ() & c("_first.publication_confirmed"))
+    return _merge(labelled, groups, c("component"), _dates_differ() & c("_first.publication_confirmed"))

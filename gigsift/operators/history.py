@@ -11,10 +11,10 @@ from ..functions.urls import canonical_url, url_error
 from ..rules import Profile
 from ..schema import DELIVERIES, HISTORY
 from ..session import checkpoint
+from .precedence import KEYS, first_come
 from .score import moment
 from .skew import matched_groups, spread_join
-
-KEYS = ["kind", "value"]
+from .views import ranked
 
 
 class StateError(RuntimeError):
@@ -26,12 +26,12 @@ def _pairs(*columns: tuple[str, Column]) -> Column:
     return F.array_distinct(F.array_compact(F.array(*rows)))
 
 
-def listing_identities(listings: DataFrame) -> DataFrame:
-    """(row_id, kind, value) a listing is looked up with. Needs the identity columns."""
+def listing_identities(listings: DataFrame, by: str = "row_id") -> DataFrame:
+    """(row_id, kind, value) a listing is looked up with; `by` names the column that tells rows apart. Needs the identity columns."""
     c = F.col
     pairs = _pairs(("fingerprint", c("fingerprint")), ("key", c("key")), ("url", c("canonical")), ("url", c("_direct")))
     rows = listings.withColumn("_direct", canonical_url(c("direct_url")))
-    return rows.select("row_id", F.explode(pairs).alias("i")).select("row_id", "i.kind", "i.value")
+    return rows.select(by, F.explode(pairs).alias("i")).select(by, "i.kind", "i.value")
 
 
 def history_identities(history: DataFrame, *carried: str) -> DataFrame:
@@ -71,32 +71,15 @@ def as_record(listings: DataFrame, now: Column) -> DataFrame:
         now.alias("first_seen_at"), F.lit(None).cast("timestamp").alias("sent_at"), F.lit("seen").alias("status"))
 
 
-def new_records(listings: DataFrame, history: DataFrame, now: datetime | Column) -> DataFrame:
-    """Records to add: listings, in row order, which match neither history nor a record added before them.
-
-    Rows wait for each other only along shared identities, so each round decides all rows whose earlier candidates are
-    decided. The lowest waiting row is always decided; hot identities collapse in the first round.
-    """
-    known = history_identities(history).distinct().withColumn("blocking", F.lit(False))
-    fresh = listings.join(_flag_matches(listings, known).select("row_id"), "row_id", "left_anti")
+def new_records(listings: DataFrame, history: DataFrame, now: datetime | Column, on_round=None) -> DataFrame:
+    """Records to add: listings, in row order, which match neither history nor a record added before them."""
     c = F.col
-    probes = _pairs(("fingerprint", c("fingerprint")), ("key", c("key")), ("url", c("canonical")), ("url", c("_direct")))
-    offers = _pairs(("fingerprint", c("fingerprint")), ("key", c("key")), ("url", F.coalesce("_direct", "canonical")))
-    waiting = checkpoint(fresh.withColumn("_direct", canonical_url(c("direct_url"))).select(
-        "row_id", probes.alias("probes"), offers.alias("offers")))
-    added = waiting.select("row_id").limit(0)
-    while not waiting.isEmpty():
-        asked = waiting.select("row_id", F.explode("probes").alias("i")).select("row_id", "i.kind", "i.value")
-        offered = waiting.select("row_id", F.explode("offers").alias("i")).select("row_id", "i.kind", "i.value")
-        first = offered.groupBy(*KEYS).agg(F.min("row_id").alias("first"))
-        earliest = spread_join(asked, matched_groups(asked, first, KEYS), KEYS, "_n", F.col("row_id"), "inner")
-        ready = earliest.groupBy("row_id").agg(F.min("first").alias("first"))
-        decided = checkpoint(waiting.join(ready, "row_id", "left").filter("first IS NULL OR first >= row_id").select("row_id", "offers"))
-        added = added.union(decided.select("row_id"))
-        taken = decided.select(F.explode("offers").alias("i")).select("i.kind", "i.value").distinct()
-        gone = spread_join(asked, matched_groups(asked, taken, KEYS), KEYS, "_n", F.col("row_id"), "inner").select("row_id").distinct()
-        waiting = checkpoint(waiting.join(gone, "row_id", "left_anti").join(decided, "row_id", "left_anti"))
-    return as_record(listings.join(added, "row_id", "left_semi"), moment(now)).drop("row_id")
+    known = history_identities(history).distinct().withColumn("blocking", F.lit(False))
+    fresh = checkpoint(listings.join(_flag_matches(listings, known).select("row_id"), "row_id", "left_anti"))
+    offers = _pairs(("fingerprint", c("fingerprint")), ("key", c("key")), ("url", F.coalesce(canonical_url(c("direct_url")), c("canonical"))))
+    offered = fresh.select("row_id", F.explode(offers).alias("i")).select("row_id", "i.kind", "i.value")
+    added = first_come(listing_identities(fresh), offered, on_round)
+    return as_record(fresh.join(added, "row_id", "left_semi"), moment(now)).drop("row_id")
 
 
 def observe(listings: DataFrame, history: DataFrame, now: datetime | Column) -> DataFrame:
@@ -104,58 +87,82 @@ def observe(listings: DataFrame, history: DataFrame, now: datetime | Column) ->
     return history.unionByName(new_records(listings, history, now))
 
 
-# --- delivery state: the picked listings of a run are bounded by Profile.max_send --------------------------------
+# --- delivery state --------------------------------------------------------------------------------------------------
 
 
-def _touched(history: DataFrame, picked: DataFrame, profile: Profile) -> DataFrame:
-    """(fingerprint, key) of history records which match one of the picked listings."""
-    probes = listing_identities(picked.limit(profile.max_send)).join(picked.select("row_id", "key"), "row_id")
-    return (history_identities(history, F.col("fingerprint"), F.col("first_seen_at"))
-            .join(F.broadcast(probes.select(*KEYS, "key")), KEYS)
-            .select("fingerprint", "key", "first_seen_at").distinct())
+def _matches(history: DataFrame, picked: DataFrame) -> DataFrame:
+    """(key, fingerprint, first_seen_at, status, by_key): the records which picked listings match; by_key where nothing but the key does."""
+    probes = listing_identities(picked, "key")
+    records = history_identities(history, "fingerprint", "first_seen_at", "status").withColumnRenamed("fingerprint", "record")
+    met = probes.join(records, KEYS).groupBy("key", "record").agg(
+        F.min("first_seen_at").alias("first_seen_at"), F.min("status").alias("status"), F.min(F.col("kind") == "key").alias("by_key"))
+    return met.withColumnRenamed("record", "fingerprint")
 
 
 def reserve(history: DataFrame, deliveries: DataFrame, picked: DataFrame, now: datetime | Column,
-            profile: Profile = Profile()) -> tuple[DataFrame, DataFrame]:
-    """(history, deliveries) with every picked listing pending; `first_seen_at` of an earlier observation is kept."""
+            profile: Profile = Profile()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(history, deliveries, taken): each listing of `picked`, in the order of its column `rank` if there is one, else of row_id, claims the
+    earliest record it matches, which turns pending and keeps its `first_seen_at`. A listing is not taken if it has a delivery, or if a record
+    it matches is pending or sent, be it by a claim of a listing before it; so no record is claimed twice."""
     c, at = F.col, moment(now)
-    kept = retain(deliveries, profile.history_limit, picked.limit(profile.max_send).count())
-    known = observe(picked, history, now)
-    first = _touched(known, picked, profile).groupBy("key").agg(
-        F.min(F.struct("first_seen_at", "fingerprint")).alias("m")).select("key", c("m.fingerprint").alias("fingerprint"))
-    claims = first.join(picked.select("key", c("source").alias("_source"), c("source_id").alias("_source_id")), "key").drop("key")
-    claimed = (known.join(F.broadcast(claims.limit(profile.max_send)), "fingerprint", "left")
-               .withColumns({"status": F.when(c("_source").isNotNull(), "pending").otherwise(c("status")),
-                             "source": F.coalesce("_source", "source"), "source_id": F.coalesce("_source_id", "source_id")})
-               .select(*HISTORY.fieldNames()))
+    order = "rank" if "rank" in picked.columns else "row_id"
+    first = F.min(F.struct(order, "row_id")).alias("_first")
+    wanted = checkpoint(picked.join(picked.groupBy("key").agg(first), "key").filter(F.struct(order, "row_id") == c("_first")).drop("_first")
+                        .join(deliveries.select("key"), "key", "left_anti"))
+    known = checkpoint(observe(wanted, history, now))
+    met = checkpoint(_matches(known, wanted))
+    blocked = met.filter(c("status").isin("pending", "sent")).select("key").distinct()
+    free = met.join(blocked, "key", "left_anti")
+    claims = free.groupBy("key").agg(F.min(F.struct("first_seen_at", "fingerprint"))["fingerprint"].alias("record"))
+    numbered = checkpoint(ranked(claims.join(wanted.select("key", order, F.col("row_id").alias("_row")), "key"), [c(order), c("_row")])
+                          .withColumn("row_id", c("rank").cast("bigint")).select("key", "row_id", "record"))
+    record = lambda value: (F.lit("record").alias("kind"), c(value).alias("value"))
+    # a record found by its key alone gets another key when it is claimed, and is no obstacle then
+    asked = free.filter("NOT by_key").join(numbered.select("key", "row_id"), "key").select("row_id", *record("fingerprint"))
+    offered = numbered.select("row_id", *record("record"))
+    winners = checkpoint(numbered.join(first_come(asked, offered), "row_id"))
+    owner = winners.groupBy("record").agg(F.min("row_id").alias("row_id")).join(winners, ["record", "row_id"])
+    claimed = known.join(owner.select(c("record").alias("fingerprint"), "key").join(wanted.select(
+        "key", c("source").alias("_source"), c("source_id").alias("_source_id")), "key").drop("key"), "fingerprint", "left").withColumns({
+            "status": F.when(c("_source").isNotNull(), "pending").otherwise(c("status")),
+            "source": F.coalesce("_source", "source"), "source_id": F.coalesce("_source_id", "source_id")}).select(*HISTORY.fieldNames())
+    taken = checkpoint(wanted.join(owner.select("key"), "key", "left_semi"))
+    kept = retain(deliveries, profile.history_limit, taken.count())
     assessment = F.to_json(F.struct(*[name for name in ("score", "label", "stack_compatibility", "stack_reason", "risk_flags", "reasons")
                                       if name in picked.columns]))
-    rows = picked.select("key", "source", "source_id", F.lit("pending").alias("status"), at.alias("reserved_at"),
-                         F.lit(None).cast("timestamp").alias("sent_at"), assessment.alias("assessment"))
-    return claimed, kept.unionByName(rows)
+    rows = taken.select("key", "source", "source_id", F.lit("pending").alias("status"), at.alias("reserved_at"),
+                        F.lit(None).cast("timestamp").alias("sent_at"), assessment.alias("assessment"))
+    return checkpoint(claimed), checkpoint(kept.unionByName(rows)), taken
+
 
+OUTCOME_ORDER = ("definite", "uncertain", "sent")  # the last one that occurs for a key holds
 
-def settle(history: DataFrame, deliveries: DataFrame, picked: DataFrame, outcomes: DataFrame, now: datetime | Column,
-           profile: Profile = Profile()) -> tuple[DataFrame, DataFrame]:
-    """Apply `outcomes`(key, outcome sent|definite|uncertain): sent is kept with its first time, a definite failure is
-    released, an uncertain one stays pending."""
+
+def settle(history: DataFrame, deliveries: DataFrame, picked: DataFrame, outcomes: DataFrame, now: datetime | Column
+           ) -> tuple[DataFrame, DataFrame]:
+    """Apply all `outcomes`(key, outcome) to pending deliveries: a sent one is kept with its time, a definite failure is released, an
+    uncertain one stays pending. Of several outcomes of a key, sent goes before uncertain before definite. `picked` has the identities of
+    the deliveries; those it lacks are found by their key."""
     c, at = F.col, moment(now)
-    results = outcomes.filter(c("outcome").isin("sent", "definite")).select("key", "outcome").dropDuplicates(["key"])
+    place = F.array_position(F.array(*map(F.lit, OUTCOME_ORDER)), c("outcome"))
     pending = deliveries.filter("status = 'pending'").select("key")
-    effective = results.join(pending, "key", "left_semi").limit(profile.max_send)
-    touched = _touched(history, picked.join(effective, "key", "left_semi"), profile).join(effective, "key")
-    verdict = touched.groupBy("fingerprint").agg(F.max("outcome").alias("_outcome"))
-    updated = (history.join(F.broadcast(verdict), "fingerprint", "left")
+    final = checkpoint(outcomes.filter(place > 0).groupBy("key").agg(F.max_by("outcome", place).alias("outcome"))
+                       .filter("outcome <> 'uncertain'").join(pending, "key", "left_semi"))
+    known = picked.join(final, "key", "left_semi").dropDuplicates(["key"])
+    by_key = history.select(F.concat_ws(":", "source", "source_id").alias("key"), "fingerprint")
+    touched = _matches(history, known).select("key", "fingerprint").union(by_key).join(final, "key")
+    verdict = checkpoint(touched.groupBy("fingerprint").agg(F.max("outcome").alias("_outcome")))
+    updated = (history.join(verdict, "fingerprint", "left")
                .withColumn("_sent", F.coalesce(c("_outcome") == "sent", F.lit(False)))
                .withColumns({"sent_at": F.when(c("_sent"), at).otherwise(c("sent_at")),
                              "status": F.when(c("_sent"), "sent").when(
                                  (c("_outcome") == "definite") & (c("status") == "pending"), "seen").otherwise(c("status"))})
                .select(*HISTORY.fieldNames()))
-    entries = (deliveries.join(F.broadcast(effective), "key", "left").filter("outcome IS NULL OR outcome = 'sent'")
+    entries = (deliveries.join(final, "key", "left").filter("outcome IS NULL OR outcome = 'sent'")
                .withColumns({"status": F.coalesce(c("outcome"), c("status")),
                              "sent_at": F.when(c("outcome") == "sent", F.coalesce("sent_at", at)).otherwise(c("sent_at"))})
                .select(*DELIVERIES.fieldNames()))
-    return updated, entries
+    return checkpoint(updated), checkpoint(entries)
 
 
 def retain(deliveries: DataFrame, limit: int, adding: int = 1) -> DataFrame:
@@ -166,8 +173,8 @@ def retain(deliveries: DataFrame, limit: int, adding: int = 1) -> DataFrame:
         return deliveries
     if sent < excess:
         raise StateError("too many pending deliveries: reconcile uncertain sends first")
-    oldest = deliveries.filter("status = 'sent'").orderBy("sent_at", "key").limit(excess).select("key")
-    return deliveries.join(oldest, "key", "left_anti")
+    oldest = ranked(deliveries.filter("status = 'sent'").select("sent_at", "key"), [F.col("sent_at"), F.col("key")]).filter(F.col("rank") <= excess)
+    return deliveries.join(oldest.select("key"), "key", "left_anti")
 
 
 def fold_state(log: DataFrame, bucket: str = "day") -> DataFrame:
@@ -219,8 +226,10 @@ def history_problems(history: DataFrame, deliveries: DataFrame) -> DataFrame:
     lonely = deliveries.join(backed, (deliveries["key"] == backed["key"]) & (deliveries["status"] == backed["status"])
                              & deliveries["sent_at"].eqNullSafe(backed["_at"]), "left_anti")
     orphans = lonely.agg(F.count(F.lit(1)).alias("inconsistent_delivery_history"))
+    repeated = lambda df, key, rule: df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).agg(F.count_if(c("_n") > 1).alias(rule))
+    doubles = (repeated(history, "fingerprint", "duplicate_fingerprint"), repeated(deliveries, "key", "duplicate_delivery"))
     tall = lambda df: df.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), c(n).alias("n")) for n in df.columns])).alias("r")).select("r.rule", "r.n")
-    return tall(records).union(tall(entries)).union(tall(orphans))
+    return tall(records).union(tall(entries)).union(tall(orphans)).union(tall(doubles[0])).union(tall(doubles[1]))
 
 
 def require_valid(history: DataFrame, deliveries: DataFrame) -> None:
@@ -296,11 +305,83 @@ def read_snapshot(spark: SparkSession, root: str, table: str, schema) -> DataFra
     return spark.read.schema(schema).parquet(snapshot_path(root, table, version))
 
 
+def read_versions(spark: SparkSession, root: str, table: str, at_most: int) -> DataFrame | None:
+    """All complete snapshots of a table up to a version, with the column `version`."""
+    if latest_version(spark, root, table, at_most) is None:
+        return None
+    return spark.read.parquet(f"{root.rstrip('/')}/{table}").filter(F.col("version") <= at_most)
+
+
 def write_snapshot(df: DataFrame, root: str, table: str, version: int) -> None:
     """Write a complete new version; writing the same version again replaces it, so a replayed batch is harmless."""
     df.write.mode("overwrite").parquet(snapshot_path(root, table, version))
 
 
+# State tables are kept in buckets of their key. A version holds the buckets that changed with it, and `<table>_buckets` says which they are,
+# also those that became empty; it is written last, so that a version without it does not count.
+
+BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
+
+
+def changed_buckets(old: DataFrame, new: DataFrame, key: str) -> list[int]:
+    """Buckets in which two state tables differ."""
+    columns = [F.col(name) for name in new.columns]
+    rows = lambda df, sign: _bucketed(df.select(*columns), key).select("bucket", F.lit(sign).alias("sign"), F.xxhash64(*columns).alias("h1"), F.hash(*columns).alias("h2"))
+    sums = rows(old, -1).union(rows(new, 1)).groupBy("bucket").agg(
+        F.sum("sign").alias("n"), F.sum(F.col("h1").cast("decimal(38,0)") * F.col("sign")).alias("s1"), F.sum(F.col("h2").cast("bigint") * F.col("sign")).alias("s2"))
+    return sorted(row["bucket"] for row in sums.filter("n <> 0 OR s1 <> 0 OR s2 <> 0").collect())
+
+
+def write_state(new: DataFrame, old: DataFrame, root: str, table: str, key: str, version: int) -> list[int]:
+    """Write the buckets of `new` which differ from `old` as a version, and return them; nothing is written if there are none."""
+    changed = changed_buckets(old, new, key)
+    if changed:
+        rows = _bucketed(new, key).filter(F.col("bucket").isin(changed)).repartition("bucket")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(snapshot_path(root, table, version))
+        marks = new.sparkSession.createDataFrame([(bucket,) for bucket in changed], "bucket int")
+        write_snapshot(marks.coalesce(1), root, f"{table}_buckets", version)
+    return changed
+
+
+def _newest_buckets(spark: SparkSession, root: str, table: str, at_most: int | None) -> dict[int, int]:
+    version = latest_version(spark, root, f"{table}_buckets", at_most)
+    if version is None:
+        return {}
+    marks = read_versions(spark, root, f"{table}_buckets", version)
+    return {row["bucket"]: row["version"] for row in marks.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
+
+
+def read_state(spark: SparkSession, root: str, table: str, schema, at_most: int | None = None) -> DataFrame:
+    """A state table as of a version: the newest form of each bucket."""
+    jvm = spark._jvm
+    paths = [f"{snapshot_path(root, table, version)}/bucket={bucket}" for bucket, version in _newest_buckets(spark, root, table, at_most).items()]
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    paths = [path for path in paths if (at := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(conf).exists(at)]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
+def expire_state(spark: SparkSession, root: str, table: str, keep: int) -> list[str]:
+    """Remove buckets which no version from `keep` on reads, and return their folders."""
+    jvm, needed, gone = spark._jvm, {}, []
+    newest = latest_version(spark, root, f"{table}_buckets")
+    if newest is None or keep > newest:
+        return gone
+    needed = _newest_buckets(spark, root, table, keep)
+    folder = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for version in (status.getPath() for status in fs.listStatus(folder)):
+        number = int(version.getName().split("=")[1])
+        for bucket in (status.getPath() for status in fs.listStatus(version) if status.isDirectory()):
+            if number < keep and needed.get(int(bucket.getName().split("=")[1])) != number:
+                fs.delete(bucket, True)
+                gone.append(bucket.toString())
+    return gone
+
+
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Do two state tables hold the same rows? Then no new version is written."""
     columns = [F.col(name) for name in left.columns]

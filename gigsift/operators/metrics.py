@@ -96,6 +96,23 @@ def run_summary(candidates: DataFrame, fetched: Column | int, profile: Profile =
     return counted.withColumn("total_fetched", total.cast("bigint")).withColumn("discovery_duplicates", F.col("total_fetched") - F.col("unique"))
 
 
+def full_summary(counted: DataFrame, per_source: DataFrame, checked_at: datetime | Column, sent: int = 0,
+                 delivery_error: str | None = None) -> DataFrame:
+    """The one row of `run_summary` with what was found and what failed per source; there is one entry per registered source."""
+    c = F.col
+    read = ~c("status").isin("disabled", "error")
+    failed = c("status").isin("error", "partial")
+    entry = lambda when, value: F.map_from_entries(F.transform(F.array_sort(F.collect_list(
+        F.when(when, F.struct("source_ord", "source", value.alias("value"))))), lambda e: F.struct(e["source"], e["value"])))
+    sources = per_source.agg(
+        entry(read, c("fetched")).alias("source_counts"), entry(failed, c("first_error")).alias("source_error_codes"),
+        F.transform(F.array_sort(F.collect_list(F.when(failed, F.struct("source_ord", "source")))), lambda e: e["source"]).alias("source_errors"),
+        entry(F.lit(True), F.struct("status", *COUNTERS)).alias("source_metrics"))
+    one = lambda df: df.withColumn("_one", F.lit(1))  # one row each
+    return one(counted).join(one(sources), "_one").drop("_one").withColumns({
+        "sent": F.lit(sent), "delivery_error": F.lit(delivery_error).cast("string"), "checked_at": moment(checked_at)})
+
+
 def run_events(metrics: DataFrame, at: datetime | Column) -> DataFrame:
     """(time, event, source, fields): one structured event per source, to be appended to the run log."""
     event = (F.when(F.col("status") == "error", "source_failed").when(F.col("status") == "partial", "source_partial")

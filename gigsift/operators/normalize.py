@@ -44,7 +44,7 @@ def _instant(df: DataFrame, name: str) -> tuple[Column, Column]:
     return value, F.col(name).isNotNull() & value.isNull()
 
 
-def validate(raw: DataFrame, description_limit: int | None = 20_000, resolved: bool = False) -> DataFrame:
+def validate(raw: DataFrame, description_limit: int | None = None, resolved: bool = False) -> DataFrame:
     """Normalise every field and add `errors`, the codes of all violated constraints in check order."""
     raw = _with_defaults(raw)
     published, no_zone = _instant(raw, "published_at")

@@ -20,7 +20,8 @@ def plan_outbox(candidates: DataFrame, now: datetime | Column, profile: Profile
     waiting = candidates.filter("deliverable AND NOT already_seen")
     checked = apply_gate(assess(waiting, now, profile), profile, F.col("already_seen")).filter("deliverable")
     rendered = with_messages(checked).filter("message_error IS NULL")
-    return rendered.orderBy(*candidate_order()).limit(profile.max_send)
+    best = rendered.orderBy(*candidate_order()).limit(profile.max_send)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(*candidate_order())))  # no more than max_send rows
 
 
 def send_prefix(attempts: DataFrame, group: str, cap: int) -> DataFrame:

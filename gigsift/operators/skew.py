@@ -6,26 +6,22 @@ from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-HOT_GROUPS = 256        # at most this many groups are broadcast
-HOT_MIN_ROWS = 100_000  # groups below this size never need it
+HOT_SHARE = 1024  # a group with more than 1 / HOT_SHARE of all rows is split; there are fewer than HOT_SHARE of them
 SALTS = 4096
 
 
-def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weight: str, spread_by: Column,
-                how: str = "left", heaviest: int | None = None) -> DataFrame:
+def spread_join(rows: DataFrame, groups: DataFrame, keys: Sequence[str], weight: str, spread_by: Column, how: str = "left") -> DataFrame:
     """`rows` joined with `groups`, which has one row per key and its number of rows in `weight`.
 
-    The heaviest groups, no more than HOT_GROUPS rows, reach their rows by broadcast. Those rows and rows with a NULL key
-    take a salted shuffle key, so that they spread over all tasks while the remaining groups join by shuffle. A caller
-    which knows that no group exceeds `heaviest` rows gets a plain join where no group can be hot.
+    Groups above 1 / HOT_SHARE of the total weight reach their rows by broadcast: as weights add up to the total, there are fewer
+    than HOT_SHARE of them at any size. Their rows and rows with a NULL key take a salted shuffle key, so that they spread over all
+    tasks, while the remaining groups, none of which is hot, join by shuffle.
     """
     keys = list(keys)
-    if heaviest is not None and heaviest < HOT_MIN_ROWS:
-        plain = rows.join(groups, keys, how)
-        return plain if how in ("left_anti", "left_semi") else plain.select(*rows.columns, *[n for n in groups.columns if n not in keys])
     values = [name for name in groups.columns if name not in keys]
     packed = groups.select(*keys, F.struct(*values).alias("_group"))
-    hot = (groups.filter(F.col(weight) >= HOT_MIN_ROWS).orderBy(F.desc(weight), *keys).limit(HOT_GROUPS)
+    total = groups.agg(F.sum(weight).alias("_total")).withColumn("_one", F.lit(1))
+    hot = (groups.withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").filter(F.col(weight) * HOT_SHARE > F.col("_total"))
            .select(*keys, F.struct(*values).alias("_hot")))
     marked = rows.join(F.broadcast(hot), keys, "left")
     absent = F.lit(False)

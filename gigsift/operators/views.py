@@ -49,10 +49,10 @@ def latest_per_key(rows: DataFrame, key: str, order: Column, *columns: str) -> D
 def ranked(rows: DataFrame, order: list[Column]) -> DataFrame:
     """Add `rank`, the 1-based position in the total order.
 
-    Rows are range-partitioned and checkpointed, then numbered inside each partition and shifted by the sizes of the
-    partitions before it: no task sees more than its own range.
+    Rows are written, as sampling for the ranges reads them twice, range-partitioned and checkpointed, then numbered inside each
+    partition and shifted by the sizes of the partitions before it: no task sees more than its own range. Pass narrow rows.
     """
-    parts = checkpoint(rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = checkpoint(checkpoint(rows).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_offset"))

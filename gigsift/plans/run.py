@@ -7,12 +7,13 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, functions as F
 
+from .. import vocab
 from ..operators import dedup, deliver, history, metrics, outbox, score
 from ..operators.normalize import split_valid, with_identity
 from ..rules import Profile
 from ..schema import DELIVERIES, HISTORY, conform
 from ..session import checkpoint
-from ..sources import detail, layouts
+from ..sources import detail, frontier, layouts
 
 
 @dataclass(frozen=True)
@@ -24,7 +25,7 @@ class Result:
     candidates: DataFrame    # survivors with assessment, `already_seen`, blockers
     page_log: DataFrame
     source_metrics: DataFrame
-    summary: DataFrame
+    summary: DataFrame       # one row: all counters, source counts, errors, time
 
 
 def evaluate(listings: DataFrame, known: tuple[DataFrame, DataFrame], now: datetime, profile: Profile = Profile()) -> DataFrame:
@@ -41,37 +42,50 @@ def check(pages: DataFrame, now: datetime, profile: Profile = Profile(), known:
     known = known or (spark.createDataFrame([], HISTORY), spark.createDataFrame([], DELIVERIES))
     history.require_valid(*known)
     cards = checkpoint(layouts.extract_all(pages, now, profile))
-    log = layouts.page_log(cards)
+    # nothing is read after a source's first restriction
+    log = checkpoint(frontier.stop_after_restriction(layouts.page_log(cards)))
+    reached = log.select("source", F.col("url").alias("page_url"), "seq")
+    cards = checkpoint(cards.join(reached, ["source", "page_url", "seq"], "left_semi"))
     good = cards.filter("card_state = 'ok'")
     listings = dedup.exact_dedup(with_identity(conform(good).select(*[f for f in conform(good).columns if f not in CARD_COLUMNS])))
     detail_log = None
     if detail_pages is not None:
         listings = checkpoint(listings)
-        picked = checkpoint(detail.detail_candidates(listings, now, profile))
+        restricted = log.filter(F.col("error").isin(*vocab.STOP_CODES)).select("source").distinct()
+        picked = checkpoint(detail.detail_candidates(listings, now, profile).join(restricted, "source", "left_anti"))
         listings, detail_log = detail.confirm(listings, picked, detail_pages, now)
     listings = checkpoint(listings)
     registry = metrics.source_registry(spark, profile)
     assessed = score.assess(listings, now, profile)
     per_source = metrics.source_metrics(registry, log, assessed, profile, detail_log)
     candidates = checkpoint(evaluate(listings, known, now, profile))
-    summary = metrics.run_summary(candidates, listings.count(), profile)
+    per_source = checkpoint(per_source)
+    summary = checkpoint(metrics.full_summary(metrics.run_summary(candidates, listings.count(), profile), per_source, now))
     quarantine = cards.filter("card_state = 'invalid'").select("source", "page_url", "card_ord", F.col("card_error").alias("error"))
     return Result(listings, quarantine, candidates, log, per_source, summary)
 
 
-CARD_COLUMNS = ("page_url", "page_no", "seq", "page_error", "card_ord", "card_state", "card_error")
+CARD_COLUMNS = ("page_url", "page_no", "seq", "page_error", "cards_cut", "card_ord", "card_state", "card_error")
 
 
 def plan_delivery(result: Result, state: tuple[DataFrame, DataFrame], now: datetime, later: datetime, profile: Profile = Profile()
                   ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(outbox, history, deliveries): observe everything found, then reserve what the outbox hands to the sender."""
+    """(outbox, history, deliveries): observe everything found, then reserve what may be sent, in rank order; a listing which a reservation
+    before it has made a duplicate is left out of the outbox."""
     observed = checkpoint(history.observe(result.listings, state[0], now))
     box = checkpoint(outbox.plan_outbox(result.candidates, later, profile))
-    records, entries = history.reserve(observed, state[1], box, later, profile)
-    return box, records, entries
+    records, entries, taken = history.reserve(observed, state[1], box, later, profile)
+    return taken, records, entries
 
 
-def ingest_listings(raw: DataFrame, description_limit: int | None = 20_000) -> tuple[DataFrame, DataFrame]:
+def reconcile(state: tuple[DataFrame, DataFrame], sent: DataFrame, attempts: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+    """(history, deliveries) after the sender's `attempts` (key and the columns of `classify_outcomes`) on outbox rows `sent`. Attempts on
+    deliveries which are settled already change nothing, so a log may be read again from its start."""
+    outcomes = outbox.classify_outcomes(attempts, now).filter("outcome <> 'retry'").select("key", "outcome")
+    return history.settle(*state, sent, outcomes, now)
+
+
+def ingest_listings(raw: DataFrame, description_limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(valid, quarantined) listings of a raw listing table."""
     from ..operators.normalize import validate
     return split_valid(validate(raw, description_limit))

@@ -10,7 +10,7 @@ from ..operators import dedup, history, metrics, outbox, views
 from ..operators.score import moment
 from ..rules import Profile
 from ..schema import DELIVERIES, HISTORY
-from ..session import table
+from ..session import shared_folder, table
 from ..sources import detail, frontier, layouts, scan
 from .text_queries import NORM, TITLE_SQL
 from .views import NOW, doc_listings, event_log, view
@@ -78,11 +78,21 @@ def _(spark, folder):
     return dedup.deduplicate(view(doc_listings, spark, folder)).select("row_id", "open_status", "publication_confirmed", "publication_evidence")
 
 
-@query("exact_dedup", f"""WITH RECURSIVE {DOCS}, near AS (SELECT DISTINCT a.row_id AS a, b.row_id AS b FROM ids a JOIN ids b ON a.source = b.source AND a.canonical = b.canonical AND a.row_id <> b.row_id),
-  reach AS (SELECT row_id AS node, row_id AS root FROM ids UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.node)
-  SELECT node AS row_id FROM reach GROUP BY node HAVING min(root) = node""")
+SEQUENTIAL = f"""WITH RECURSIVE {DOCS}, keyed AS (SELECT *, row_id * 7 % 613 AS sid FROM ids),
+  parents AS (SELECT *, CASE WHEN min(row_id) OVER (PARTITION BY source, sid) < row_id THEN min(row_id) OVER (PARTITION BY source, sid)
+    ELSE lag(row_id) OVER (PARTITION BY source, canonical ORDER BY row_id) END AS parent FROM keyed),
+  tree AS (SELECT row_id, row_id AS root FROM parents WHERE parent IS NULL UNION ALL SELECT p.row_id, t.root FROM parents p JOIN tree t ON p.parent = t.row_id),
+  safety AS (SELECT root, arg_min(open_status, row_id) FILTER (WHERE NOT post AND open_status <> 'unknown') AS closed,
+    count(DISTINCT published_at) FILTER (WHERE NOT post AND confirmed) + CASE WHEN bool_or(published_at IS NULL) FILTER (WHERE NOT post AND confirmed) THEN 1 ELSE 0 END AS dates
+    FROM tree JOIN ids USING (row_id) GROUP BY 1)"""
+
+
+@query("exact_dedup", f"""{SEQUENTIAL} SELECT row_id, coalesce(closed, open_status) AS open_status, confirmed AND NOT (dates > 1) AS publication_confirmed
+  FROM safety JOIN ids ON ids.row_id = root""")
 def _(spark, folder):
-    return dedup.exact_dedup(view(doc_listings, spark, folder)).select("row_id")
+    """A key is shared by documents whose ids agree modulo 613, so keys and URLs bind different rows."""
+    rows = view(doc_listings, spark, folder).withColumn("source_id", (c("row_id") * 7 % 613).cast("string"))
+    return dedup.exact_dedup(rows.withColumn("key", F.concat_ws(":", "source", "source_id"))).select("row_id", "open_status", "publication_confirmed")
 
 
 def _halves(spark, folder):
@@ -102,12 +112,64 @@ def _(spark, folder):
     return history.mark_seen(batch, past, spark.createDataFrame([], DELIVERIES)).select("row_id", "already_seen")
 
 
-@query("observe_new")
+@query("observe_new", f"""WITH RECURSIVE {DOCS}, past AS (SELECT * FROM ids WHERE row_id % 2 = 0),
+  odd AS (SELECT *, ['f' || fingerprint, 'k' || key, 'u' || canonical] AS tags, row_number() OVER (ORDER BY row_id) AS n FROM ids i WHERE row_id % 2 = 1
+    AND fingerprint NOT IN (SELECT fingerprint FROM past) AND key NOT IN (SELECT key FROM past) AND canonical NOT IN (SELECT canonical FROM past)),
+  walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST([] AS VARCHAR[]) AS tags, CAST(-1 AS BIGINT) AS row_id UNION ALL
+    SELECT o.n, CASE WHEN list_has_any(w.tags, o.tags) THEN w.tags ELSE list_concat(w.tags, o.tags) END, CASE WHEN list_has_any(w.tags, o.tags) THEN -1 ELSE o.row_id END
+    FROM walk w JOIN odd o ON o.n = w.n + 1)
+  SELECT fingerprint, source, CAST(row_id AS VARCHAR) AS source_id, canonical AS normalized_url, 'seen' AS status FROM odd JOIN walk USING (row_id)""")
 def _(spark, folder):
     batch, past = _halves(spark, folder)
     return history.new_records(batch, past, NOW).select("fingerprint", "source", "source_id", "normalized_url", "status")
 
 
+# Records: one per user who viewed, found by one of 97 URLs. Picks: every click, found by its user's URL, in the order of events.
+RESERVED = """rec AS (SELECT sha256('user:' || user_id) AS fingerprint, user_id % 97 AS u, min(ts) AS first_seen, CASE WHEN user_id % 251 = 0 THEN 'pending' ELSE 'seen' END AS status
+    FROM events WHERE event_type = 'view' GROUP BY user_id),
+  urls AS (SELECT u, bool_or(status = 'pending') AS blocked, arg_min(fingerprint, (first_seen, fingerprint)) AS earliest FROM rec GROUP BY u),
+  picks AS (SELECT user_id % 97 AS u, min(event_id) AS event_id FROM events WHERE event_type = 'click' GROUP BY 1),
+  claims AS (SELECT p.u, p.event_id, coalesce(earliest, sha256('click:' || p.event_id)) AS fingerprint, earliest IS NULL AS fresh
+    FROM picks p LEFT JOIN urls USING (u) WHERE NOT coalesce(blocked, false))"""
+
+
+def _reservation(spark, folder):
+    """(history, deliveries, taken, picks) after every click has tried to reserve."""
+    events = table(spark, folder, "events")
+    url = F.concat(F.lit("https://orders.example.com/u/"), c("user_id") % 97)
+    past = events.filter("event_type = 'view'").groupBy("user_id").agg(F.min("ts").alias("first_seen_at")).select(
+        F.sha2(F.concat(F.lit("user:"), "user_id"), 256).alias("fingerprint"), F.lit("users").alias("source"), c("user_id").cast("string").alias("source_id"),
+        url.alias("normalized_url"), "first_seen_at", F.lit(None).cast("timestamp").alias("sent_at"), F.when(c("user_id") % 251 == 0, "pending").otherwise("seen").alias("status"))
+    picks = events.filter("event_type = 'click'").select(
+        c("event_id").alias("row_id"), F.lit("clicks").alias("source"), c("event_id").cast("string").alias("source_id"), F.concat(F.lit("clicks:"), "event_id").alias("key"),
+        F.sha2(F.concat(F.lit("click:"), "event_id"), 256).alias("fingerprint"), url.alias("url"), url.alias("canonical"), F.lit(None).cast("string").alias("direct_url"))
+    return *history.reserve(past, spark.createDataFrame([], DELIVERIES), picks, NOW), picks
+
+
+@query("reserve_fold", f"""WITH {RESERVED} SELECT r.fingerprint, coalesce('clicks:' || c.event_id, 'users') AS holder, CASE WHEN c.event_id IS NOT NULL THEN 'pending' ELSE status END AS status
+  FROM rec r LEFT JOIN claims c USING (fingerprint) UNION ALL SELECT fingerprint, 'clicks:' || event_id, 'pending' FROM claims WHERE fresh""")
+def _(spark, folder):
+    records, *_ = _reservation(spark, folder)
+    holder = F.when(c("source") == "users", "users").otherwise(F.concat_ws(":", "source", "source_id"))
+    return records.select("fingerprint", holder.alias("holder"), "status")
+
+
+@query("settle_fold", f"""WITH {RESERVED}, told AS (SELECT user_id % 97 AS u, bool_or(event_type = 'purchase' AND user_id % 3 = 0) AS sent, bool_or(event_type = 'signup' AND user_id % 5 = 0) AS unsure,
+    bool_or(event_type = 'error') AS failed FROM events GROUP BY 1),
+  final AS (SELECT u, event_id, fingerprint, fresh, CASE WHEN sent THEN 'sent' WHEN unsure THEN 'pending' WHEN failed THEN 'seen' ELSE 'pending' END AS status FROM claims LEFT JOIN told USING (u)),
+  every AS (SELECT fingerprint, u, status FROM rec UNION ALL SELECT fingerprint, u, 'seen' FROM final WHERE fresh)
+  SELECT e.fingerprint, CASE WHEN f.u IS NULL THEN e.status WHEN f.status = 'sent' THEN 'sent' WHEN f.fingerprint = e.fingerprint THEN f.status ELSE e.status END AS status,
+    coalesce(f.status = 'sent', false) AS has_sent FROM every e LEFT JOIN final f ON f.u = e.u""")
+def _(spark, folder):
+    records, entries, taken, _ = _reservation(spark, folder)
+    kind = (F.when((c("event_type") == "purchase") & (c("user_id") % 3 == 0), "sent").when((c("event_type") == "signup") & (c("user_id") % 5 == 0), "uncertain")
+            .when(c("event_type") == "error", "definite"))
+    outcomes = table(spark, folder, "events").select((c("user_id") % 97).alias("u"), kind.alias("outcome")).filter("outcome IS NOT NULL").distinct()
+    holders = taken.select("key", F.regexp_extract("url", r"/u/(\d+)\z", 1).cast("bigint").alias("u"))
+    records, _ = history.settle(records, entries, taken, outcomes.join(holders, "u").select("key", "outcome"), NOW)
+    return records.select("fingerprint", "status", c("sent_at").isNotNull().alias("has_sent"))
+
+
 @query("except_keys", f"WITH {DOCS} SELECT key FROM ids i WHERE row_id % 2 = 1 AND fingerprint NOT IN (SELECT fingerprint FROM ids WHERE row_id % 2 = 0)")
 def _(spark, folder):
     batch, past = _halves(spark, folder)
@@ -129,7 +191,9 @@ def _(spark, folder):
   UNION ALL SELECT 'invalid_sent_timestamp', count(*) FILTER (WHERE status = 'sent' AND NOT has_sent) FROM h UNION ALL SELECT 'unexpected_sent_timestamp', count(*) FILTER (WHERE status <> 'sent' AND has_sent) FROM h
   UNION ALL SELECT 'invalid_history_url', count(*) FILTER (WHERE row_id % 37 = 0) FROM h UNION ALL SELECT 'invalid_state_entry', count(*) FILTER (WHERE row_id % 41 = 0) FROM h
   UNION ALL SELECT 'invalid_state_status', 0 FROM (SELECT 1) UNION ALL SELECT 'invalid_state_timestamp', count(*) FILTER (WHERE row_id % 43 = 0) FROM h
-  UNION ALL SELECT 'inconsistent_delivery_history', count(*) FILTER (WHERE row_id % 41 = 0 OR source = 'Bad' OR status <> 'pending' OR has_sent) FROM h""")
+  UNION ALL SELECT 'inconsistent_delivery_history', count(*) FILTER (WHERE row_id % 41 = 0 OR source = 'Bad' OR status <> 'pending' OR has_sent) FROM h
+  UNION ALL SELECT 'duplicate_fingerprint', count(*) FROM (SELECT fingerprint FROM h GROUP BY 1 HAVING count(*) > 1)
+  UNION ALL SELECT 'duplicate_delivery', count(*) FROM (SELECT CASE WHEN row_id % 41 = 0 THEN 'x' ELSE key END AS k FROM ids GROUP BY 1 HAVING count(*) > 1)""")
 def _(spark, folder):
     k = c("row_id")
     good = history.as_record(view(doc_listings, spark, folder), F.lit(NOW))
@@ -171,7 +235,7 @@ def _(spark, folder):
     from ..streaming.ingest import fold_first_seen
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    root = f"{spark.conf.get('spark.checkpoint.dir', '/tmp')}/stream-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     fold_first_seen(stream.select(c("user_id").alias("key"), "ts"), "key", "ts", f"{root}/state", f"{root}/log")
     return history.read_snapshot(spark, f"{root}/state", "first_seen", "key bigint, first_seen_at timestamp")
 

@@ -66,11 +66,12 @@ def _(spark, folder):
     return documents(spark, folder).select("doc_id", F.coalesce(layouts.first_content_line(lines), F.lit("")).alias("line"))
 
 
-@query("redact", r"""SELECT doc_id, CASE WHEN r = '' THEN 'No additional network details' ELSE r END AS redacted FROM (SELECT doc_id,
-    substr(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, 'erin', '[REDACTED]'), 'https?://[^\s<>"'']+', '[REDACTED_URL]', 'gi'),
-      '\d{5,20}:[A-Za-z0-9_-]{20,100}', '[REDACTED_TOKEN]', 'g'), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')), 1, 500) AS r FROM documents)""")
+@query("redact", r"""SELECT doc_id, length(r) AS n, sha256(CASE WHEN r = '' THEN 'No additional network details' ELSE r END) AS redacted_sha256 FROM (SELECT doc_id,
+    trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, 'erin', '[REDACTED]'), 'https?://[^\s<>"'']+', '[REDACTED_URL]', 'gi'),
+      '\d{5,20}:[A-Za-z0-9_-]{20,100}', '[REDACTED_TOKEN]', 'g'), '[\x00-\x1f\x7f]', ' ', 'g'), '\s+', ' ', 'g')) AS r FROM documents)""")
 def _(spark, folder):
-    return documents(spark, folder).select("doc_id", tx.redact(c("text"), ("erin",)).alias("redacted"))
+    rows = documents(spark, folder).select("doc_id", tx.redact(c("text"), ("erin",)).alias("r"))
+    return rows.select("doc_id", F.length("r").cast("bigint").alias("n"), F.sha2("r", 256).alias("redacted_sha256"))
 
 
 @query("fingerprint", f"""SELECT doc_id, sha256({NORM % TITLE_SQL} || E'\\n' || CASE WHEN doc_id % 3 <> 0 OR doc_id % 6 = 0
@@ -142,11 +143,13 @@ def _(spark, folder):
     return rows.select("doc_id", lexicon.mentioned("_text", "_folded", "with").alias("mentioned"))
 
 
-@query("declared_tokens", r"""SELECT doc_id, array_to_string(regexp_extract_all(regexp_extract(line, '^stack: ([^;\n]{1,160})', 1), '[A-Za-z][A-Za-z0-9]*'), ',') AS tokens
-  FROM (SELECT doc_id, 'stack: ' || regexp_extract(regexp_replace(text, '[^A-Za-z0-9 ]', '', 'g'), '[A-Za-z0-9]+ [A-Za-z0-9]+') || ';' AS line FROM documents)""")
+@query("declared_tokens", r"""SELECT doc_id, array_to_string(list_transform(flatten(list_transform(regexp_extract_all(line, 'stack: ([^;\n]{1,160})', 1),
+    lambda d: regexp_extract_all(d, '(?:^|[^A-Za-z0-9])[A-Za-z][A-Za-z0-9]*'))), lambda t: regexp_replace(t, '^[^A-Za-z0-9]', '')), ',') AS tokens
+  FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9 \n]', '', 'g'), ' (the|de|der) ', ' stack: ', 'g') AS line FROM documents)""")
 def _(spark, folder):
-    pair = F.regexp_extract(F.regexp_replace("text", "[^A-Za-z0-9 ]", ""), "[A-Za-z0-9]+ [A-Za-z0-9]+", 0)
-    rows = documents(spark, folder).withColumn("_text", F.concat(F.lit("stack: "), pair, F.lit(";")))
+    """Every article of the whole text declares a stack."""
+    line = F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 \n]", ""), " (the|de|der) ", " stack: ")
+    rows = documents(spark, folder).withColumn("_text", line)
     return rows.select("doc_id", F.array_join(lexicon.declared_tokens(c("_text"), lexicon.searchable(c("_text"))), ",").alias("tokens"))
 
 
@@ -158,15 +161,14 @@ def _(spark, folder):
     return rows.select(F.concat_ws("-", "conv_id", "turn").alias("doc_id"), values.post_skip_reason(c("text"), DOC_PROFILE).alias("kind"))
 
 
-@query("experience", """SELECT doc_id, n_chars % 9 >= 3 AND (n_chars % 2 = 0 OR n_chars % 3 = 0) AS required FROM documents""")
+@query("experience", r"""SELECT doc_id, regexp_matches(replace(replace(lower(text), ' the ', ' 4 years '), ' of ', ' experience '),
+    '(?s)experience[^\p{L}\p{N}_].{0,34}4 years|4 years.{0,10}experience') AS required FROM documents""")
 def _(spark, folder):
-    years = (c("n_chars") % 9).cast("string")
-    note = F.concat(F.when(c("n_chars") % 3 == 0, "experience ").otherwise("some "), years, F.when(c("n_chars") % 2 == 0, "+ years").otherwise(" years"))
-    return documents(spark, folder).select("doc_id", lexicon.experience_required(F.concat(F.lower("text"), F.lit(" . "), note)).alias("required"))
+    """Two common words of the whole text become years and experience."""
+    note = F.replace(F.replace(F.lower("text"), F.lit(" the "), F.lit(" 4 years ")), F.lit(" of "), F.lit(" experience "))
+    return documents(spark, folder).select("doc_id", lexicon.experience_required(note).alias("required"))
 
 
-# --- values in text rendered from columns ------------------------------------------------------------------------
-
 @query("parse_count", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 2 THEN NULL ELSE CAST(floor(o_totalprice) AS INTEGER) END AS n FROM orders""")
 def _(spark, folder):
     n = F.floor("o_totalprice").cast("int")

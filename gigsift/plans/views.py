@@ -12,7 +12,7 @@ from ..operators.normalize import with_identity
 from ..operators.score import assess
 from ..rules import Profile
 from ..schema import conform
-from ..session import prepare, spread, table
+from ..session import spread, table
 from ..functions.text import squeeze
 
 NOW = datetime(2026, 9, 21, 12, tzinfo=timezone.utc)
@@ -135,7 +135,3 @@ def event_log(spark: SparkSession, folder: str) -> DataFrame:
     action = (F.when(F.col("event_type") == "click", "reserve").when(F.col("event_type") == "purchase", "sent")
               .when(F.col("event_type") == "error", "release").otherwise("observe"))
     return table(spark, folder, "events").select(F.col("user_id").alias("key"), "ts", F.col("event_id").alias("seq"), action.alias("action"))
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    return prepare(spark)

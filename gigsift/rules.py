@@ -54,6 +54,7 @@ class Profile:
     allow_stack_mismatch: bool = False
     max_send: int = 10
     history_limit: int = 10_000
+    max_cards_per_page: int | None = None
 
     def __post_init__(self) -> None:
         self.validate()

@@ -59,8 +59,8 @@ DELIVERIES = T.StructType([
     T.StructField("assessment", T.StringType()),
 ])
 
-# one bigint which sorts like (source, page, card): 7 bits of card, 49 bits of page, 7 bits of source
-CARD_BITS, PAGE_BITS = 7, 49
+# one bigint which sorts like (source, page, card): 7 bits of source, 35 of page; 21 of card hold every card of a page within the size limit
+CARD_BITS, PAGE_BITS = 21, 35
 
 
 def row_id(source_ord: Column, page_ord: Column, card_ord: Column) -> Column:

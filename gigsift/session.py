@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -11,8 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # rows of page tables are wide: keep Arrow batches small
-    "spark.sql.execution.arrow.maxRecordsPerBatch": "512",
+    # rows of page tables are wide: Arrow batches are bounded by bytes
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
 }
 
 
@@ -35,16 +37,24 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share; a local session without one gets its own."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="gigsift-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder the session names."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            folder = tempfile.mkdtemp(prefix="gigsift-checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
@@ -52,16 +62,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
-SMALL_INPUT = 1 << 30
-
-
 def spread(df: DataFrame, key: str, source: DataFrame | None = None) -> DataFrame:
-    """One partition per core in front of row-wise heavy work, where the input is too small to be split or where adaptive
-    execution would coalesce it into one task. Larger inputs keep the partitioning of their scan or shuffle. The size is
-    that of `source`, the table the rows come from (estimates of joins are no use here)."""
-    if (df if source is None else source)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() > SMALL_INPUT:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, key)
+    """Use all cores for row-wise heavy work where `source`, the table the rows come from, is read by fewer tasks than there are cores;
+    a table of more files or row groups keeps the partitioning of its scan."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if (df if source is None else source).rdd.getNumPartitions() < cores else df
 
 
 def settled(df: DataFrame, *names: str) -> DataFrame:

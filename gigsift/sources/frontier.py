@@ -58,10 +58,10 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     grouped = relevant.withColumn("_start", starts.cast("int")).withColumn("_group", F.sum("_start").over(order)).filter(c("_group") > 0)
     name = F.lower("value")
     rank = F.when(c("_agent") & (name == "*"), 0).when(c("_agent") & F.lit(bot).contains(name), F.length("value"))
-    ranks = grouped.groupBy("host", "_group").agg(F.max(rank).alias("_rank")).filter(c("_rank").isNotNull())
-    best = ranks.groupBy("host").agg(F.max("_rank").alias("_rank"))
-    chosen = ranks.join(best, ["host", "_rank"]).select("host", "_group")
-    return grouped.filter(~c("_agent")).join(chosen, ["host", "_group"], "left_semi").select("host", "pos", "key", "value")
+    # all windows share the partitioning by host: one shuffle
+    ranked = grouped.withColumn("_rank", F.max(rank).over(Window.partitionBy("host", "_group")))
+    judged = ranked.withColumn("_best", F.max("_rank").over(Window.partitionBy("host")))
+    return judged.filter(~c("_agent") & (c("_rank") == c("_best"))).select("host", "pos", "key", "value")
 
 
 def rules_by_host(rules: DataFrame) -> DataFrame:

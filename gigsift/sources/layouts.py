@@ -21,7 +21,7 @@ from ..operators.normalize import validate
 from ..operators.score import moment
 from ..rules import Profile
 from ..schema import row_id
-from ..session import settled
+from ..session import checkpoint, settled
 from .html import (BREAK, any_of, attribute, below, find, find_all, inside, nearest_above, parent_of, raw_text, tag, text_of,
                    texts_of, with_page)
 
@@ -314,31 +314,42 @@ def page_challenge(title: Column) -> Column:
     return text_of(title).rlike(rx(vocab.CHALLENGE_TITLE)) | F.exists("nodes", lambda n: F.coalesce(challenge_form(n), F.lit(False)))
 
 
-LINEAGE = ("source", "page_url", "page_no", "seq", "page_error", "card_ord")
+LINEAGE = ("source", "page_url", "page_no", "seq", "page_error", "cards_cut", "card_ord")
 
 
-def _cards(pages: DataFrame, layout: Layout) -> DataFrame:
-    """One row per card with its nodes and text, or one row without nodes for a page that yields none."""
+def flat_pages(pages: DataFrame) -> DataFrame:
+    """(source, page_url, page_no, seq, refused, nodes, text, base) of each page; one that exceeds the size limit is not parsed."""
+    c = F.col
+    too_large = F.coalesce(F.octet_length("html") > vocab.MAX_PAGE_BYTES, F.lit(False))
+    fitting = pages.withColumns({"refused": F.when(too_large, "response_too_large"), "html": F.when(~too_large, c("html"))})
+    return with_page(fitting, "source", c("url").alias("page_url"), "page_no", "seq", "refused")
+
+
+def _cards(flat: DataFrame, layout: Layout, most: int | None) -> DataFrame:
+    """One row per card with its nodes and text, or one row without nodes for a page that yields none. Of more than `most` cards on a page,
+    where that is set, the first are taken; cards_cut counts the others."""
     c = F.col
-    flat = with_page(pages, "source", c("url").alias("page_url"), "page_no", "seq")
     spans = F.transform(find_all(layout.card), lambda n: F.struct(n["id"].alias("id"), n["stop"].alias("stop"),
                                                                  n["start"].alias("start"), n["size"].alias("size")))
-    located = flat.withColumns({"_title": find(tag("title")), "_h1": find(tag("h1")), "spans": F.slice(spans, 1, vocab.MAX_CARDS_PER_PAGE)})
+    located = flat.withColumns({"_title": find(tag("title")), "_h1": find(tag("h1")), "_all": spans})
+    located = located.withColumns({"spans": c("_all") if most is None else F.slice("_all", 1, most)})
+    located = located.withColumn("cards_cut", F.size("_all") - F.size("spans")).drop("_all")
     empty = layout.empty_marker() if layout.empty_marker else F.lit(False)
-    error = F.when(page_challenge(c("_title")), "challenge_page").when((F.size("spans") == 0) & ~empty, layout.no_cards)
+    error = F.when(c("refused").isNotNull(), c("refused")).when(page_challenge(c("_title")), "challenge_page").when((F.size("spans") == 0) & ~empty, layout.no_cards)
     judged = located.withColumns({"heading": text_of(c("_h1")), "page_error": error})
     cut = F.when(c("page_error").isNull(), F.transform("spans", lambda s: F.struct(
         F.slice("nodes", s["id"] + 1, s["stop"] - s["id"] + 1).alias("nodes"),
         F.substring("text", s["start"] + 1, s["size"]).alias("text"), s["start"].alias("base"))))
-    rows = judged.select("source", "page_url", "page_no", "seq", "heading", "page_error", F.posexplode_outer(cut).alias("card_ord", "card"))
-    return rows.select("source", "page_url", "page_no", "seq", "heading", "page_error", "card_ord", "card.nodes", "card.text", "card.base")
+    rows = judged.select("source", "page_url", "page_no", "seq", "heading", "page_error", "cards_cut", F.posexplode_outer(cut).alias("card_ord", "card"))
+    return rows.select("source", "page_url", "page_no", "seq", "heading", "page_error", "cards_cut", "card_ord", "card.nodes", "card.text", "card.base")
 
 
 def extract(pages: DataFrame, layout: Layout, now: datetime | Column, profile: Profile = Profile(),
-            description_limit: int | None = 20_000) -> DataFrame:
-    """One row per card: lineage, `card_state` (ok, invalid, filtered, ignored or NULL), `card_error` and listing fields."""
+            description_limit: int | None = None) -> DataFrame:
+    """One row per card of `pages`, raw or made by `flat_pages`: lineage, `card_state` (ok, invalid, filtered, ignored or NULL), `card_error` and listing fields."""
     c = F.col
-    cards = _cards(pages.filter(c("source") == layout.source), layout)
+    own = pages.filter(c("source") == layout.source)
+    cards = _cards(own if "nodes" in own.columns else flat_pages(own), layout, profile.max_cards_per_page)
     located = reduce(lambda df, step: df.withColumns(step), layout.locate(), cards)
     raw = located.select(*LINEAGE, "heading", *[value.alias(name) for name, value in layout.raw().items()])
     fields = {"_drop": F.lit(None).cast("string"), "_error": F.lit(None).cast("string"), **layout.parsed(moment(now), profile)}
@@ -354,18 +365,20 @@ def extract(pages: DataFrame, layout: Layout, now: datetime | Column, profile: P
 
 
 def extract_all(pages: DataFrame, now: datetime | Column, profile: Profile = Profile()) -> DataFrame:
-    """Cards of all enabled sources."""
-    parts = [extract(pages, layout, now, profile) for name, layout in LAYOUTS.items() if name not in profile.disabled_sources]
+    """Cards of all enabled sources. Pages are read and parsed once, whatever the number of layouts."""
+    enabled = [layout for name, layout in LAYOUTS.items() if name not in profile.disabled_sources]
+    flat = checkpoint(flat_pages(pages.filter(F.col("source").isin([layout.source for layout in enabled]))))
+    parts = [extract(flat, layout, now, profile) for layout in enabled]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 def page_log(cards: DataFrame) -> DataFrame:
-    """(source, url, page_no, seq, error, parse_errors, filtered_count, cards): the result of each page."""
+    """(source, url, page_no, seq, error, parse_errors, filtered_count, cards, cards_cut): the result of each page."""
     c = F.col
     counted = cards.groupBy("source", c("page_url").alias("url"), "page_no", "seq").agg(
         F.max("page_error").alias("page_error"), F.count_if(c("card_state") == "ok").alias("cards"),
         F.count_if(c("card_state") == "invalid").alias("invalid"), F.count_if(c("card_state") == "filtered").alias("filtered_count"),
-        F.count_if(c("card_state") == "ignored").alias("ignored"))
+        F.count_if(c("card_state") == "ignored").alias("ignored"), F.coalesce(F.max("cards_cut"), F.lit(0)).cast("bigint").alias("cards_cut"))
     lenient = c("source").isin(*[name for name, layout in LAYOUTS.items() if layout.filtered_is_success])
     all_bad = (c("cards") == 0) & (c("invalid") > 0) & ~(lenient & (c("filtered_count") > 0))
     error = F.coalesce(c("page_error"), F.when(all_bad, "all_cards_invalid"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .. import vocab
-from ..operators.views import latest_per_key
+from ..operators.views import candidate_order, latest_per_key
 from ..schema import PAGES
 
 
@@ -61,5 +61,12 @@ def write_json(rows: DataFrame, path: str) -> None:
     as_json(rows).write.mode("overwrite").text(path)
 
 
+def write_result(summary: DataFrame, candidates: DataFrame, path: str) -> None:
+    """One run's result as JSON lines: the summary under <path>/summary, a document per candidate in candidate order under <path>/projects."""
+    write_json(summary, f"{path}/summary")
+    order = candidate_order()
+    as_json(candidates.repartitionByRange(*order).sortWithinPartitions(*order)).write.mode("overwrite").text(f"{path}/projects")
+
+
 def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)

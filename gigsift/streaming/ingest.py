@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import history
-from ..plans.run import check, plan_delivery
+from ..operators import history, metrics
+from ..plans.run import Result, check, plan_delivery, reconcile
 from ..rules import Profile
 from ..schema import DELIVERIES, HISTORY, PAGES
 
@@ -20,27 +20,39 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-def batch_step(root: str, profile: Profile = Profile(), clock: Callable[[], datetime] | None = None, dry_run: bool = False):
+STATE = (("history", "fingerprint", HISTORY), ("deliveries", "key", DELIVERIES))
+Reader = Callable[[SparkSession], DataFrame]
+
+
+def batch_step(root: str, profile: Profile = Profile(), clock: Callable[[], datetime] | None = None, dry_run: bool = False,
+               attempts: Reader | None = None, details: Reader | None = None, report: Callable[[Result], None] | None = None):
     """Function for `foreachBatch`: one run over the batch against the newest state under `root`.
 
-    State is kept as complete snapshots. A batch reads the newest version below its own number and writes its own, so a
-    replay after a lost driver gives the same tables. No version is written if nothing changed or in a dry run.
+    First the sender's `attempts` on earlier outboxes are settled, then the batch is checked, with the original cards of `details`, and what
+    may be sent is reserved and handed to the outbox. State is kept in buckets, and a version holds those that changed. A batch reads what
+    versions below its own number hold and writes its own, so a replay after a lost driver gives the same tables. No version is written if
+    nothing changed, and nothing at all in a dry run. `report` gets the result of each check.
     """
     tell = clock or (lambda: datetime.now(timezone.utc))
 
     def step(pages: DataFrame, batch: int) -> None:
         spark, now = pages.sparkSession, tell()
-        state = tuple(_state_before(spark, root, name, schema, batch) for name, schema in (("history", HISTORY), ("deliveries", DELIVERIES)))
-        result = check(pages, now, profile, state)
+        before = tuple(history.read_state(spark, root, name, schema, batch) for name, _, schema in STATE)
+        state = before
+        if attempts is not None and (boxes := history.read_versions(spark, root, "outbox", batch)) is not None:
+            state = reconcile(before, boxes, attempts(spark), now)
+        result = check(pages, now, profile, state, details(spark) if details else None)
+        if report:
+            report(result)
         if dry_run:
             return
-        box, records, entries = plan_delivery(result, state, now, tell(), profile)
-        if not history.same_rows(records, state[0]):
-            history.write_snapshot(records, root, "history", batch + 1)
-        if not history.same_rows(entries, state[1]):
-            history.write_snapshot(entries, root, "deliveries", batch + 1)
-        history.write_snapshot(box, root, "outbox", batch + 1)
+        box, *after = plan_delivery(result, state, now, tell(), profile)
+        for (name, key, _), old, new in zip(STATE, before, after):
+            history.write_state(new, old, root, name, key, batch + 1)
+        if not box.isEmpty():
+            history.write_snapshot(box, root, "outbox", batch + 1)
         history.write_snapshot(result.source_metrics, root, "metrics", batch + 1)
+        history.write_snapshot(metrics.run_events(result.source_metrics, now), root, "events", batch + 1)
 
     return step
 
@@ -53,9 +65,9 @@ def _state_before(spark: SparkSession, root: str, table: str, schema, batch: int
 
 
 def start(pages: DataFrame, root: str, checkpoint_dir: str, profile: Profile = Profile(), every: str | None = "10 minutes",
-          clock: Callable[[], datetime] | None = None, dry_run: bool = False) -> StreamingQuery:
-    """Run every interval, or once over all that is there (`every=None`)."""
-    writer = pages.writeStream.foreachBatch(batch_step(root, profile, clock, dry_run)).option("checkpointLocation", checkpoint_dir)
+          **options) -> StreamingQuery:
+    """Run every interval, or once over all that is there (`every=None`). Further options are those of `batch_step`."""
+    writer = pages.writeStream.foreachBatch(batch_step(root, profile, **options)).option("checkpointLocation", checkpoint_dir)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 

@@ -47,7 +47,9 @@ def retry_delay(value: Column, now: Column, fallback: Column) -> Column:
     date = F.regexp_extract(value, r"\A\s*(?:[A-Za-z]{3},\s*)?(\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}:\d{2}) (?:GMT|UTC|[+-]0000)\s*\z", 1)
     at = F.try_to_timestamp(date, F.lit("d MMM yyyy HH:mm:ss"))
     seconds = (F.unix_micros(at) - F.unix_micros(now)) / 1_000_000
-    return F.coalesce(F.greatest(F.lit(0.0), value.try_cast("double")), F.greatest(F.lit(0.0), seconds), fallback)
+    # greatest() skips nulls, so each value is looked at only where there is one
+    least = lambda number: F.when(number.isNotNull(), F.greatest(F.lit(0.0), number))
+    return F.coalesce(least(value.try_cast("double")), least(seconds), fallback)
 
 
 def classify_outcomes(outcomes: DataFrame, now: datetime | Column) -> DataFrame:

@@ -143,7 +143,7 @@ def _(spark, folder):
     return rows.select("doc_id", lexicon.mentioned("_text", "_folded", "with").alias("mentioned"))
 
 
-@query("declared_tokens", r"""SELECT doc_id, array_to_string(list_transform(flatten(list_transform(regexp_extract_all(line, 'stack: ([^;\n]{1,160})', 1),
+@query("declared_tokens", r"""SELECT doc_id, array_to_string(list_transform(flatten(list_transform(regexp_extract_all(line, 'stack:\s*([^;\n]{1,160})', 1),
     lambda d: regexp_extract_all(d, '(?:^|[^A-Za-z0-9])[A-Za-z][A-Za-z0-9]*'))), lambda t: regexp_replace(t, '^[^A-Za-z0-9]', '')), ',') AS tokens
   FROM (SELECT doc_id, regexp_replace(regexp_replace(text, '[^A-Za-z0-9 \n]', '', 'g'), ' (the|de|der) ', ' stack: ', 'g') AS line FROM documents)""")
 def _(spark, folder):

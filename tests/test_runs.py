@@ -2,7 +2,6 @@
 
 from datetime import timedelta
 
-import pages as html
 import pytest
 from conftest import NOW
 
@@ -10,7 +9,6 @@ from gigsift.operators import history
 from gigsift.plans import run
 from gigsift.rules import Profile
 from gigsift.schema import DELIVERIES, HISTORY, PAGES
-from gigsift.sources import layouts, scan
 from gigsift.streaming import ingest
 
 LONE = Profile(disabled_sources=("habr_freelance", "fl_ru", "telegram_public", "weblancer"))  # one layout: plans compile faster
@@ -33,7 +31,7 @@ def read(spark, root, name):
     return spark.read.parquet(f"{root}/{name}").drop("version") if history.latest_version(spark, str(root), name) else None
 
 
-def test_stream_sends_settles_and_writes_nothing_in_a_dry_run(spark, tmp_path):
+def test_a_streamed_run_reserves_and_hands_over(spark, tmp_path):
     root, folder, log, told = tmp_path / "state", tmp_path / "pages", tmp_path / "log", []
     page = rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(501, 502)))
     page.write.parquet(str(folder))
@@ -50,27 +48,6 @@ def test_stream_sends_settles_and_writes_nothing_in_a_dry_run(spark, tmp_path):
     assert set(first.values()) == {1}
     assert {r.key for r in read(spark, root, "outbox").collect()} == {"freelance_ru:501", "freelance_ru:502"}
     assert read(spark, root, "events").filter("event = 'source_ok'").count() == 1
-    told.append(("freelance_ru:501", 0, None, 200, '{"ok": true, "result": {"message_id": 9}}', 40, 0.1, None))
-    told.append(("freelance_ru:502", 0, None, 400, '{"ok": false, "error_code": 400}', 40, 0.1, None))
-    page.write.mode("append").parquet(str(folder))
-    third = once()
-    assert set(third.values()) == {2}
-    state = {r.source_id: r.status for r in history.read_state(spark, str(root), "history", HISTORY).collect()}
-    assert state == {"501": "sent", "502": "pending"}  # released, and reserved again by the same run
-    page.write.mode("append").parquet(str(folder))
-    assert once(dry_run=True) == third
-
-
-def test_replayed_batch_writes_the_same_state(spark, tmp_path):
-    page = rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(501)))
-    step = ingest.batch_step(str(tmp_path), LONE, clock=lambda: NOW)
-    step(page, 0)
-    state = lambda: [sorted(map(str, history.read_state(spark, str(tmp_path), name, schema).collect())) for name, _, schema in ingest.STATE]
-    before = state()
-    step(page, 0)
-    ingest.batch_step(str(tmp_path), LONE, clock=lambda: NOW)(page, 1)  # nothing new: no version
-    assert [history.latest_version(spark, str(tmp_path), name) for name in ("history_buckets", "deliveries_buckets", "outbox", "metrics")] == [1, 1, 1, 2]
-    assert state() == before and len(before[0]) == len(before[1]) == 1
 
 
 def test_a_version_holds_only_the_buckets_that_changed(spark, tmp_path):
@@ -87,68 +64,7 @@ def test_a_version_holds_only_the_buckets_that_changed(spark, tmp_path):
     assert history.expire_state(spark, str(tmp_path), "history", 5) and read()["0"] == "pending" and len(read()) == 500
 
 
-def test_nothing_is_read_after_a_restriction_and_no_detail_card_either(spark):
-    pages = rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(1)), ("freelance_ru", "https://freelance.ru/task?page=2", html.CHALLENGE),
-                 ("freelance_ru", "https://freelance.ru/task?page=3", feed(2)), ("fl_ru", "https://www.fl.ru/projects/", html.FL),
-                 ("fl_ru", "https://www.fl.ru/projects/page-2/", html.CHALLENGE))
-    cards = spark.createDataFrame([("fl_ru", "901", html.CARD % ("", "", "текст"))], "source string, source_id string, html string")
-    result = run.check(pages, NOW, ALL, detail_pages=cards)
-    assert {r.source_id for r in result.listings.filter("source = 'freelance_ru'").collect()} == {"1"}
-    assert not result.listings.filter("source = 'fl_ru' AND publication_confirmed").count()
-    summary = result.summary.first()
-    assert summary.source_errors == ["freelance_ru", "fl_ru"] and set(summary.source_error_codes.values()) == {"challenge_page"}
-    assert summary.source_counts["freelance_ru"] == 1 and summary.sent == 0 and summary.checked_at is not None
-    confirmed = run.check(pages.filter("url NOT LIKE '%page%'"), NOW, ALL, detail_pages=cards)
-    assert confirmed.listings.filter("source_id = '901' AND publication_confirmed").count() == 1
-
-
-def test_result_documents(spark, tmp_path):
-    result = run.check(rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(1, 2, 3))), NOW, ALL)
-    scan.write_result(result.summary, result.candidates, str(tmp_path))
-    summary = spark.read.json(f"{tmp_path}/summary").first()
-    assert summary.unique == 3 and summary.source_metrics.freelance_ru.fetched == 3
-    assert spark.read.json(f"{tmp_path}/projects").count() == 3
-
-
-def test_every_card_of_a_page_counts(spark):
-    page = rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(*range(1000, 1150))))
-    found = layouts.extract_all(page, NOW, ALL)
-    assert found.filter("card_state = 'ok'").select("row_id").distinct().count() == 150
-    cut = layouts.extract_all(page, NOW, Profile(disabled_sources=(), max_cards_per_page=100))
-    log = layouts.page_log(cut).first()
-    assert (log.cards, log.cards_cut) == (100, 50)
-
-
-def test_pages_are_parsed_once_and_too_large_ones_not_at_all(spark, capsys):
-    pages = rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(1)), ("weblancer", "https://www.weblancer.net/", html.WEBLANCER),
-                 ("habr_freelance", "https://freelance.habr.com/", "<p>" + "x" * (2 << 20)))
-    found = layouts.extract_all(pages, NOW, ALL)
-    found.explain()
-    plan = capsys.readouterr().out
-    assert "ArrowEvalPython" not in plan and "FileScan" not in plan  # the parsed pages have been written
-    log = {r.source: r.error for r in layouts.page_log(found).collect()}
-    assert log == {"freelance_ru": None, "weblancer": None, "habr_freelance": "response_too_large"}
-
-
 def test_damaged_state_stops_a_run(spark):
     record = spark.createDataFrame([("0" * 64, "s", "1", None, NOW, None, "seen")] * 2, HISTORY)
     with pytest.raises(history.StateError, match="duplicate_fingerprint"):
         run.check(rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(1))), NOW, ALL, (record, spark.createDataFrame([], DELIVERIES)))
-
-
-def test_a_key_is_reported_once_when_it_is_first_seen(spark, tmp_path):
-    events = lambda *pairs: spark.createDataFrame([(k, NOW + timedelta(minutes=m)) for k, m in pairs], "key long, ts timestamp")
-    events((1, 5), (2, 9), (1, 3)).coalesce(1).write.parquet(str(tmp_path / "in"))
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        for _ in range(2):
-            stream = spark.readStream.schema("key long, ts timestamp").parquet(str(tmp_path / "in"))
-            query = ingest.first_seen_changes(stream, "key", "ts").writeStream.option("checkpointLocation", str(tmp_path / "log")).format("parquet").option(
-                "path", str(tmp_path / "out")).outputMode("append").trigger(availableNow=True).start()
-            query.awaitTermination()
-            events((1, 1), (3, 2)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    finally:
-        spark.conf.unset(provider)
-    found = {r.key: r.first_seen_at for r in spark.read.parquet(str(tmp_path / "out")).collect()}
-    assert found == {k: (NOW + timedelta(minutes=m)).replace(tzinfo=None) for k, m in ((1, 3), (2, 9), (3, 2))}

@@ -55,6 +55,7 @@ def first_come(asked: DataFrame, offered: DataFrame, on_round: Callable[[int], N
         decided = checkpoint(decided.union(ready.select("row_id", F.lit(True).alias("take"))))
         new = decided.filter("take").select("row_id")
         taken = new if taken is None else checkpoint(taken.union(new))
-        given = offered.join(new, "row_id").select(*KEYS).distinct()
-        done = decided.select("row_id").union(asked.join(given, KEYS).select("row_id")).distinct()
+        given = offered.join(new, "row_id").groupBy(*KEYS).agg(F.min("row_id").alias("giver"))
+        refused = asked.join(given, KEYS).filter("row_id > giver").select("row_id")
+        done = decided.select("row_id").union(refused).distinct()
         asked, offered = (checkpoint(table.join(done, "row_id", "left_anti")) for table in (asked, offered))

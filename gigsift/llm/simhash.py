@@ -63,15 +63,21 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
 
 
-def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> None:
-    """Join the trees of label[] at the given links; afterwards every label is the smallest of its tree."""
+def _unite(label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Join the trees of label[] at the given links; afterwards every label is the smallest of its tree. Returns the links that joined
+    two trees, which are a forest."""
+    used = [(left[:0], right[:0])]
     while True:
         a, b = label[left], label[right]
         apart = a != b
         if not apart.any():
-            return
+            return tuple(np.concatenate(ends) for ends in zip(*used))
         left, right, a, b = left[apart], right[apart], a[apart], b[apart]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        upper, lower = np.maximum(a, b), np.minimum(a, b)
+        np.minimum.at(label, upper, lower)
+        hooks = np.flatnonzero(label[upper] == lower)
+        hooks = hooks[np.unique(upper[hooks], return_index=True)[1]]
+        used.append((left[hooks], right[hooks]))
         while not np.array_equal(up := label[label], label):
             label[:] = up
 
@@ -85,8 +91,16 @@ def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int =
     it is halved and the halves are walked one after the other. Pairs of nodes whose leaves are all connected already are left out,
     so a dense group costs about as much as a tree over it, not as all its pairs.
     """
+    label = np.arange(len(leaves))
+    for _ in trie_links(leaves, depth, budget, label, walk, counted, agree):
+        pass
+    return label
+
+
+def trie_links(leaves: np.ndarray, depth: int, budget: int, label: np.ndarray, walk: int = WALK, counted: int = BITS, agree=None, unite: bool = True):
+    """The links trie_join finds between trees of label[] (the smallest place of each leaf's tree), some at a time: with `unite` a
+    spanning forest, which label[] is joined by; without it, all links between the trees given, and label[] stays."""
     size = len(leaves)
-    label = np.arange(size)
     tops = leaves >> np.uint64(BITS - depth) if depth else np.zeros(size, dtype=np.uint64)
     begins = np.flatnonzero(np.concatenate([[True], tops[1:] != tops[:-1]])) if size else np.empty(0, dtype=np.int64)
     ends = np.append(begins[1:], size)
@@ -113,9 +127,11 @@ def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int =
             if agree is not None and len(left):
                 holds = agree(left, right)
                 left, right = left[holds], right[holds]
-            if len(left):
-                _unite(label, left, right)
+            if len(left) and unite:
+                yield _unite(label, left, right)
                 breaks = None
+            elif len(left):
+                yield left, right
             a0, a1, b0, b1, errors = (part[~leaf] for part in (a0, a1, b0, b1, errors))
         if not len(a0):
             continue
@@ -133,7 +149,6 @@ def trie_join(leaves: np.ndarray, depth: int, budget: int = BUDGET, walk: int =
             keep = keep if only is None else keep & only
             following.append([part[keep] for part in (c0, c1, d0, d1, spent)])
         stack.append((level + 1, *(np.concatenate(parts) for parts in zip(*following))))
-    return label
 
 
 def _turned(prints: np.ndarray, by: int) -> np.ndarray:
@@ -206,107 +221,165 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 
 # --- near duplicates by similarity -----------------------------------------------------------------------------------
 #
-# At a similarity of 0.8, fingerprints of 64 bits differ in about ten, more than any trie can spend. A signature of PRINTS short
-# fingerprints is used instead: two documents are candidates if one of these differs in no more than `budget` of its SLICE bits, which
-# the trie join finds, and are linked if their whole signatures differ in no more than `most` bits.
-
-PRINTS, SLICE, SIMILAR_SHINGLE = 12, 32, 5
-MOST = 66  # of 384 bits: 58 differ on average at a Jaccard similarity of 0.8, give or take 7, and 192 between unrelated texts
-LANES = PRINTS * SLICE // BITS
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("signature", pa.binary())])
-_DEALT = pa.schema([("part", pa.int32()), ("rest", pa.int32()), ("point", pa.int64()), ("signature", pa.binary())])
+# Two documents are linked if the Jaccard similarity of their distinct shingles is SIMILAR or more, which is computed from the sets
+# themselves. Signatures only find candidates: at 0.8, fingerprints of 64 bits differ in about ten, more than any trie can spend, so a
+# signature is PRINTS short fingerprints, and two documents are candidates if one of these differs in no more than `budget` of its SLICE
+# bits, which the trie join finds, if the first SENT lanes of 64 bits differ in no more than their share of `most`, and if their numbers
+# of shingles allow SIMILAR.
+#
+# Candidates are verified in two passes, so that a dense group is not compared pair by pair: first a forest of candidates for every trie,
+# then all candidates between components of what the first pass has linked. Only candidates that nothing connects are many then.
+
+PRINTS, SLICE, SIMILAR_SHINGLE = 24, 32, 5
+SIMILAR = (4, 5)  # as a fraction, compared in whole numbers
+MOST = 192  # of 768 bits: 116 differ on average at a similarity of 0.8, give or take 10, and 384 between unrelated texts
+LANES, SENT = PRINTS * SLICE // BITS, 4
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("size", pa.int32()), ("signature", pa.binary())])
+_SETS = pa.schema([("shingles", pa.binary()), ("hashes", pa.list_(pa.int64()))])
+_DEALT = pa.schema([("part", pa.int32()), ("rest", pa.int32()), ("point", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())])
 _OFFSETS = mix(np.arange(11, 11 + LANES, dtype=np.uint64))
 
 
-def signature(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> bytes:
-    """PRINTS fingerprints of SLICE bits each; all zero for a text without words."""
+def shingle_set(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of the distinct shingles, sorted; none for a text without words."""
     if not words:
-        return bytes(PRINTS * SLICE // 8)
+        return np.empty(0, dtype=np.uint64)
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
     ends = np.cumsum(sizes + 1) - 1
     width = min(shingle, len(words))
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
-    hashes = [digest(view[b:e], SEED) for b, e in zip((ends - sizes).tolist(), ends[width - 1:].tolist())]
+    return np.unique(np.array([digest(view[b:e], SEED) for b, e in zip((ends - sizes).tolist(), ends[width - 1:].tolist())], dtype=np.uint64))
+
+
+def _signature(hashes: np.ndarray) -> bytes:
     counts = np.zeros(LANES * BITS, dtype=np.int64)
     for part in range(0, len(hashes), 1 << 14):
-        lanes = mix(np.array(hashes[part:part + (1 << 14)], dtype=np.uint64)[:, None] ^ _OFFSETS[None, :])
+        lanes = mix(hashes[part:part + (1 << 14), None] ^ _OFFSETS[None, :])
         counts += np.unpackbits(lanes.view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
     return np.packbits(2 * counts > len(hashes)).tobytes()
 
 
+def signature(words: list[bytes], shingle: int = SIMILAR_SHINGLE) -> bytes:
+    """PRINTS fingerprints of SLICE bits each over the distinct shingles; all zero for a text without words."""
+    return _signature(shingle_set(words, shingle))
+
+
+def _set_name(hashes: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(hashes.tobytes())
+
+
 def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, signature) of every row."""
+    """(doc_id, shingles, size, signature) of every row: a name of the set of its shingles, their number, and its signature."""
     def run(batches):
         for batch in batches:
-            yield record_batch(_SIGNED, (batch.column(0), [signature(words_of(text), shingle) for text in utf8(batch.column(1))]))
+            sets = [shingle_set(words_of(text), shingle) for text in utf8(batch.column(1))]
+            yield record_batch(_SIGNED, (batch.column(0), list(map(_set_name, sets)), list(map(len, sets)), list(map(_signature, sets))))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary, size int, signature binary")
 
 
-def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET) -> DataFrame:
-    """(low, high) links of `points` (point, signature) which connect just what candidates within `most` bits connect."""
+def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, unite: bool = True) -> DataFrame:
+    """(low, high) candidates among `points` (point, root, size, signature) of different roots: with `unite` those of a spanning forest
+    for every trie, without it all."""
     turns, block = budget + 1, SLICE // (budget + 1)
+    allowed = most * SENT // LANES
+    numerator, denominator = SIMILAR
 
     def deal(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            slices = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=">u4").reshape(-1, PRINTS).astype(np.uint32)
+            slices = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=">u4").reshape(-1, PRINTS).astype(np.uint32)
+            sent = pa.array([bits[:SENT * BITS // 8] for bits in batch.column(3).to_pylist()], pa.binary())
             for place in range(PRINTS):
                 for turn in range(turns):
                     by = np.uint32(turn * block)
                     own = slices[:, place] if turn == 0 else (slices[:, place] << by) | (slices[:, place] >> np.uint32(SLICE - turn * block))
                     part = ((place * turns + turn) << block) + (own >> np.uint32(SLICE - block)).astype(np.int64)
                     rest = (own & np.uint32((1 << (SLICE - block)) - 1)).astype(np.int32)
-                    yield record_batch(_DEALT, (part, rest, batch.column(0), batch.column(1)))
+                    yield record_batch(_DEALT, (part, rest, *batch.columns[:3], sent))
 
-    def walk(parts, rests, points, packed):
+    def walk(parts, rests, points, roots, sizes, packed):
         # leaf: number of the part, the rest of the slice, and a number that tells equal ones apart
         group = np.concatenate([[0], np.cumsum(parts[1:] != parts[:-1])]).astype(np.uint64)
         numbers = np.arange(len(parts), dtype=np.uint64)
         leaves = (group << np.uint64(48)) | (rests.astype(np.uint64) << np.uint64(24)) | numbers
-        lanes = np.frombuffer(packed, dtype=np.uint64).reshape(-1, LANES)
-        agree = lambda left, right: np.bitwise_count(lanes[left] ^ lanes[right]).sum(axis=1) <= most
-        label = trie_join(leaves, 16, budget, counted=16 + SLICE - block, agree=agree)
-        tied = np.flatnonzero(label != numbers.astype(np.int64))
-        ends = points[label[tied]], points[tied]
-        return record_batch(_LINKS, (np.minimum(*ends), np.maximum(*ends)))
+        lanes = np.frombuffer(packed, dtype=np.uint64).reshape(-1, SENT)
+        _, first, own = np.unique(roots, return_index=True, return_inverse=True)
+
+        def agree(left, right):
+            a, b = sizes[left].astype(np.int64), sizes[right].astype(np.int64)
+            return ((np.bitwise_count(lanes[left] ^ lanes[right]).sum(axis=1) <= allowed)
+                    & (denominator * np.minimum(a, b) >= numerator * np.maximum(a, b)) & (roots[left] != roots[right]))
+
+        for left, right in trie_links(leaves, 16, budget, first[own], counted=16 + SLICE - block, agree=agree, unite=unite):
+            yield record_batch(_LINKS, (np.minimum(points[left], points[right]), np.maximum(points[left], points[right])))
 
     def run(batches):
         kept: list[tuple] = []
         waiting = 0
 
         def finish(rows):
-            return walk(*(np.concatenate([row[k] for row in rows]) for k in range(3)), b"".join(row[3] for row in rows))
+            return walk(*(np.concatenate([row[k] for row in rows]) for k in range(5)), b"".join(row[5] for row in rows))
 
         for batch in batches:
-            kept.append((*(batch.column(k).to_numpy() for k in range(3)), b"".join(batch.column(3).to_pylist())))
+            if not batch.num_rows:
+                continue
+            kept.append((*(batch.column(k).to_numpy() for k in range(5)), b"".join(batch.column(5).to_pylist())))
             waiting += batch.num_rows
             if waiting >= CHUNK:  # cut at the last border between parts
                 last = kept[-1]
                 border = int(np.searchsorted(last[0], last[0][-1]))
                 if border or (len(kept) > 1 and kept[-2][0][-1] != last[0][-1]):
-                    size = PRINTS * SLICE // 8
-                    yield finish([*kept[:-1], (*(column[:border] for column in last[:3]), last[3][:border * size])])
-                    kept = [(*(column[border:] for column in last[:3]), last[3][border * size:])]
+                    size = SENT * BITS // 8
+                    yield from finish([*kept[:-1], (*(column[:border] for column in last[:5]), last[5][:border * size])])
+                    kept = [(*(column[border:] for column in last[:5]), last[5][border * size:])]
                     waiting = len(kept[0][0])
         if waiting:
-            yield finish(kept)
+            yield from finish(kept)
+
+    dealt = points.select("point", "root", "size", "signature").mapInArrow(deal, "part int, rest int, point long, root long, size int, bits binary")
+    return dealt.repartition("part").sortWithinPartitions("part", "rest").mapInArrow(run, "low long, high long").distinct()
+
 
-    dealt = points.select("point", "signature").mapInArrow(deal, "part int, rest int, point long, signature binary")
-    return dealt.repartition("part").sortWithinPartitions("part", "rest").mapInArrow(run, "low long, high long")
+def verified(links: DataFrame, points: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """Those of `links` (low, high) whose points have shingles of a similarity of SIMILAR or more. The sets are made again from the texts
+    of the points that have links; each link meets its two sets in joins."""
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(words_of(text), shingle) for text in utf8(batch.column(0))]
+            yield record_batch(_SETS, (list(map(_set_name, sets)), [own.view(np.int64) for own in sets]))
+
+    ends = links.select(F.col("low").alias("point")).union(links.select("high")).distinct()
+    wanted = stored(points.join(ends, "point").select("point", "shingles", F.col("first").alias("wanted")), "linked-points")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(wanted.select("wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
+    made = texts.mapInArrow(run, "shingles binary, hashes array<long>")
+    sets = stored(wanted.select("point", "shingles").join(made, "shingles").dropDuplicates(["point"]).select("point", "hashes"), "shingle-sets")
+    both = (links.join(sets.select(F.col("point").alias("low"), F.col("hashes").alias("a")), "low")
+            .join(sets.select(F.col("point").alias("high"), F.col("hashes").alias("b")), "high"))
+    shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+    # shared / (total - shared) >= numerator / denominator
+    return both.filter((SIMILAR[0] + SIMILAR[1]) * shared >= SIMILAR[0] * total).select("low", "high")
 
 
 def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
-    """(doc_id, component_id) of every row of `docs`: the smallest doc_id connected by a similarity of about 0.8 or more."""
+    """(doc_id, component_id) of every row of `docs`: the smallest doc_id connected by links of a similarity of SIMILAR or more."""
     signed = stored(signatures(docs, shingle), "document-signatures")
-    points = stored(signed.groupBy("signature").agg(F.min("doc_id").alias("first")).withColumn("point", F.monotonically_increasing_id()), "signatures")
-    tied = components(similar_links(points, most)).withColumnRenamed("node", "point")
-    named = stored(tied.join(points.select("point", "first"), "point"), "signature-groups")
+    points = stored(signed.groupBy("shingles").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+                    .withColumn("point", F.monotonically_increasing_id()), "signatures")
+    forest = stored(similar_links(points.withColumn("root", F.col("point")), most), "candidates")
+    held = stored(verified(forest, points, docs, shingle), "verified-links")
+    trees = stored(components(held), "trees")
+    rooted = points.join(trees.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
+    others = stored(similar_links(rooted, most, unite=False).join(forest, ["low", "high"], "left_anti"), "candidates")
+    more = verified(others, points, docs, shingle)
+    tied = components(held.union(more)).withColumnRenamed("node", "point")
+    named = stored(tied.join(points.select("point", "first"), "point"), "similar-groups")
     roots = named.groupBy("root").agg(F.min("first").alias("smallest"))
     joined = points.join(named.select("point", "root").join(roots, "root"), "point", "left")
-    return signed.join(joined.select("signature", F.coalesce("smallest", "first").alias("component_id")), "signature").select("doc_id", "component_id")
+    return signed.join(joined.select("shingles", F.coalesce("smallest", "first").alias("component_id")), "shingles").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:

@@ -82,6 +82,27 @@ def test_similar_groups_hold_what_is_similar_and_nothing_else(spark):
     assert all(found[i] == i for i in range(240, 300))
 
 
+def test_links_are_those_of_a_similarity_of_four_fifths(spark):
+    texts, random = [], np.random.default_rng(11)
+    for i in range(150):  # neighbours of 0.70 to 0.90, cut from one sequence of distinct words
+        size = int(random.integers(60, 300))
+        base = [f"d{i}x{k}" for k in range(size)]
+        shared = round((0.70 + 0.2 * i / 150) * (size - 4))
+        texts += [" ".join(base), " ".join(base[:shared + 4])]
+    found = {r.doc_id: r.component_id for r in op.similar_groups(helpers.table(spark, texts)).collect()}
+    alike = [similarity(texts[k], texts[k + 1]) >= 0.8 for k in range(0, 300, 2)]
+    linked_pairs = [found[k] == found[k + 1] for k in range(0, 300, 2)]
+    assert not any(got and not true for got, true in zip(linked_pairs, alike)) and 50 < sum(alike) < 100
+    assert sum(linked_pairs) >= 0.99 * sum(alike)
+
+
+def test_repeated_shingles_count_once(spark):
+    head, tail = helpers.words(1, 60, 9000), helpers.words(2, 40, 9000)
+    texts = [f"{head} " + "again and again and over " * 60, "again and again and over " * 60 + tail]
+    found = {r.doc_id: r.component_id for r in op.similar_groups(helpers.table(spark, texts)).collect()}
+    assert similarity(*texts) < 0.5 and found == {0: 0, 1: 1}
+
+
 def test_a_dense_group_is_walked_without_all_its_pairs():
     random = np.random.default_rng(3)
     noise = lambda n: sum((np.uint64(1) << random.integers(0, 64, n).astype(np.uint64)) for _ in range(1))

@@ -1,23 +1,26 @@
 """Approximate nearest neighbours by shifted space-filling curves.
 
 Unit vectors are projected on CURVES blocks of DIMENSIONS orthonormal directions; each block is a small cube, shifted at random and
-walked by a Hilbert curve. Rows are range-partitioned by curve and key, which gives every row a rank on every curve; BLOCK rows of
-consecutive ranks are a block. A query is compared with the rows of its own block and of REACH blocks on either side, on every curve, and
-the best of all windows are merged. Scores are exact cosines in double precision.
+walked by a Hilbert curve. Rows are range-partitioned by curve and key, which gives every row a rank on every curve; rows of consecutive
+ranks are a block, of BLOCK rows at least. A query is compared with the rows of its own block and of some blocks on either side, REACH at
+least, on every curve, and the best of all windows are merged. Scores are exact cosines in double precision.
 
 Rows with equal vectors are one point of the curves, with the smallest of their ids, so a vector that many rows share neither fills a
-block nor pushes others out of a window. A block meets at most BLOCK * (2 * REACH + 1) distinct queries.
+block nor pushes others out of a window.
 
-The directions and shifts follow from SEED alone: nothing is fitted, every row is indexed. Work per query is constant, so recall falls as
-isotropic data grow; up to BLOCK * REACH rows the result is exact.
+The directions and shifts follow from SEED alone: nothing is fitted, every row is indexed. Windows hold a SHARE of all rows at least, so
+that recall does not fall as isotropic data grow; work per query grows with the table. Blocks grow first, up to WIDEST rows, then the
+number of blocks in a window. Up to BLOCK * REACH rows the result is exact.
 
 Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those of another length than the
 longest; rows that share id and vector are one; a null vec_id takes no part; fewer candidates than asked for are all returned; ties go to
-the smaller id; an empty table has no result. Memory: a task holds one block and one Arrow batch.
+the smaller id; an empty table has no result. Memory: a task holds one block of WIDEST rows at most, one Arrow batch and SCORES scores.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
@@ -26,6 +29,7 @@ from .common import record_batch, require, stored
 
 CURVES, DIMENSIONS, BITS = 16, 4, 15
 BLOCK, REACH, SEED = 1024, 2, 9
+SHARE, WIDEST, SCORES = 1 / 16, 8192, 1 << 20
 NEAREST, EVERY = 5, 50
 
 _KEYS = pa.schema([("curve", pa.int32()), ("key", pa.int64()), ("point", pa.int64())])
@@ -67,6 +71,13 @@ def curve_frames(size: int, curves: int = CURVES, dimensions: int = DIMENSIONS,
     return frames, random.random((curves, wide))
 
 
+def window_of(count: int) -> tuple[int, int]:
+    """Rows of a block, and blocks on either side of a query's own, for so many points."""
+    rows = count * SHARE
+    block = min(WIDEST, max(BLOCK, math.ceil(rows / (2 * REACH + 1))))
+    return block, max(REACH, math.ceil((rows / block - 1) / 2))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(len(column), -1)
 
@@ -131,10 +142,14 @@ def ranked_points(points: DataFrame, block: int = BLOCK) -> DataFrame:
     return placed.join(offsets, ["curve", "part"]).select("curve", "point", F.floor((F.col("offset") + F.col("place")) / block).alias("block"))
 
 
-def nearest(embeddings: DataFrame, is_query, k: int = NEAREST, block: int = BLOCK, reach: int = REACH) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each row for which the condition `is_query` on vec_id holds."""
+def nearest(embeddings: DataFrame, is_query, k: int = NEAREST, block: int | None = None, reach: int | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k nearest found for each row for which the condition `is_query` on vec_id holds. Windows that
+    are not given follow from the number of points."""
     rows = stored(usable(embeddings), "vectors")
     points = stored(points_of(rows, k + 1), "points")
+    if block is None or reach is None:
+        widths = window_of(points.count())
+        block, reach = widths[0] if block is None else block, widths[1] if reach is None else reach
     asked = stored(rows.filter(is_query).distinct().join(points.select("vector", "point"), "vector").select(
         F.col("vec_id").alias("query_id"), "point"), "queries")
     ranked = stored(ranked_points(points, block), "curve-blocks")
@@ -164,13 +179,24 @@ def nearest(embeddings: DataFrame, is_query, k: int = NEAREST, block: int = BLOC
                 if norms is None:
                     block_rows = np.concatenate(matrix)
                     norms = np.sqrt(np.einsum("bd,bd->b", block_rows, block_rows))
-                sizes = np.sqrt(np.einsum("qd,qd->q", vectors, vectors))
-                # a plain sum per pair: equal pairs get equal scores in every block
-                scores = np.einsum("qd,bd->qb", vectors, block_rows) / (sizes[:, None] * norms[None, :])
+                asking = batch.column(3).slice(begin, end - begin).to_numpy()
                 firsts = np.array([own[0] for own in ids])
-                best = np.lexsort((np.broadcast_to(firsts, scores.shape), -scores))[:, :k + 1]
-                queries = np.repeat(batch.column(3).slice(begin, end - begin).to_numpy(), best.shape[1])
-                yield record_batch(_FOUND, (queries, np.take_along_axis(scores, best, axis=1).ravel(), [ids[at] for at in best.ravel()]))
+                step = max(1, SCORES // len(ids))
+                for at in range(0, len(vectors), step):
+                    part = vectors[at:at + step]
+                    sizes = np.sqrt(np.einsum("qd,qd->q", part, part))
+                    # a plain sum per pair: equal pairs get equal scores in every block
+                    scores = np.einsum("qd,bd->qb", part, block_rows) / (sizes[:, None] * norms[None, :])
+                    if len(ids) > k + 1:  # only what is no worse than the last one kept is sorted
+                        least = np.partition(scores, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1]
+                        row, column = np.nonzero(scores >= least[:, None])
+                    else:
+                        row, column = (places.ravel() for places in np.indices(scores.shape))
+                    order = np.lexsort((firsts[column], -scores[row, column], row))
+                    row, column = row[order], column[order]
+                    best = np.arange(len(row)) - np.searchsorted(row, row) <= k
+                    row, column = row[best], column[best]
+                    yield record_batch(_FOUND, (asking[at:at + step][row], scores[row, column], [ids[i] for i in column]))
 
     dealt = members.union(askers).repartition("curve", "block").sortWithinPartitions("curve", "block", "kind")
     found = dealt.mapInArrow(compare, "query long, score double, ids array<bigint>")

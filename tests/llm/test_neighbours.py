@@ -43,6 +43,26 @@ def test_recall_with_narrow_windows(spark):
     assert hits / (5 * len(expected)) >= 0.9
 
 
+def test_windows_grow_so_that_recall_of_isotropic_data_holds():
+    """The curves and windows that nearest() uses for this many points, without Spark."""
+    n, size = 200_000, 64
+    random = np.random.default_rng(2)
+    rows = random.normal(size=(n, size)).astype(np.float32)
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    asked = np.arange(0, n, n // 50)
+    block, reach = op.window_of(n)
+    seen = np.zeros((len(asked), n), dtype=bool)
+    for frame, shift in zip(*op.curve_frames(size)):
+        cells = np.clip(((rows @ frame + 1) / 4 + shift / 2) * (1 << op.BITS), 0, (1 << op.BITS) - 1).astype(np.int64)
+        blocks = np.empty(n, dtype=np.int64)
+        blocks[np.argsort(op.hilbert_keys(cells, op.BITS))] = np.arange(n) // block
+        seen |= np.abs(blocks[asked][:, None] - blocks[None, :]) <= reach
+    best = np.argsort(-(rows[asked] @ rows.T), axis=1)[:, 1:6]
+    assert np.take_along_axis(seen, best, axis=1).mean() >= 0.9
+    assert op.window_of(2000) == (op.BLOCK, op.REACH) and op.window_of(10**8)[0] == op.WIDEST
+    assert all((2 * r + 1) * b >= c * op.SHARE for c in (10**3, 10**5, 10**6, 10**8) for b, r in [op.window_of(c)])
+
+
 def test_ties_copies_and_useless_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(700, 0, -1)] + [(0, [1.0, 2.0, 3.0]), (0, [1.0, 2.0, 3.0]), (750, [-0.0, 0.0, 1.0]), (751, [0.0, 0.0, 2.0]), (752, [0.0, 0.0, 1.0])]
     rows += [(800, None), (801, [0.0, 0.0, 0.0]), (802, [1.0, None, 1.0]), (803, [1.0, float("nan"), 0.0]), (850, [float("inf"), 1.0, 1.0]), (900, [1.0]), (None, [1.0, 2.0, 3.0])]

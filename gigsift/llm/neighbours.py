@@ -12,8 +12,8 @@ The directions and shifts follow from SEED alone: nothing is fitted, every row i
 that recall does not fall as isotropic data grow; work per query grows with the table. Blocks grow first, up to WIDEST rows, then the
 number of blocks in a window. Up to BLOCK * REACH rows the result is exact.
 
-Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those of another length than the
-longest; rows that share id and vector are one; a null vec_id takes no part; fewer candidates than asked for are all returned; ties go to
+Defined results: vectors that are null, zero, or hold nulls or non-finite numbers take no part; vectors of one length are
+compared with each other, on curves of their own; rows that share id and vector are one; a null vec_id takes no part; fewer candidates than asked for are all returned; ties go to
 the smaller id; an empty table has no result. Memory: a task holds one block of WIDEST rows at most, one Arrow batch and SCORES scores.
 """
 
@@ -23,6 +23,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import record_batch, require, stored
@@ -96,26 +97,26 @@ def usable(embeddings: DataFrame) -> DataFrame:
     require(embeddings, "vec_id", "embedding")
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
     fine = F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
-    rows = rows.filter(F.col("vec_id").isNotNull() & fine)
-    longest = rows.agg(F.max(F.size("vector"))).first()[0] or 0
     # adding zero makes minus zero plain zero: equal vectors are then equal arrays
-    return rows.filter(F.size("vector") == longest).withColumn("vector", F.transform("vector", lambda x: x + 0.0))
+    return rows.filter(F.col("vec_id").isNotNull() & fine).withColumn("vector", F.transform("vector", lambda x: x + 0.0))
 
 
 def ranked_points(points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(curve, point, block) of every point on every curve."""
+    """(curve, point, block) of every point on every curve of its length."""
     def keys(batches):
-        frames = None
+        frames = {}
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            matrix = _matrix(batch.column(1))
-            matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
-            matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
-            frames = frames or curve_frames(matrix.shape[1])
-            for curve, (frame, shift) in enumerate(zip(*frames)):
-                cells = np.clip(((matrix @ frame + 1) / 4 + shift / 2) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
-                yield record_batch(_KEYS, (np.full(len(cells), curve), hilbert_keys(cells, BITS).view(np.int64), batch.column(0)))
+            lengths = pc.list_value_length(batch.column(1)).to_numpy()
+            for length in np.unique(lengths).tolist():
+                own = batch.filter(pa.array(lengths == length))
+                matrix = _matrix(own.column(1))
+                matrix = matrix / np.abs(matrix).max(axis=1, keepdims=True)
+                matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+                if length not in frames:
+                    frames[length] = curve_frames(length)
+                for curve, (frame, shift) in enumerate(zip(*frames[length])):
+                    cells = np.clip(((matrix @ frame + 1) / 4 + shift / 2) * (1 << BITS), 0, (1 << BITS) - 1).astype(np.int64)
+                    yield record_batch(_KEYS, (np.full(len(cells), length * CURVES + curve), hilbert_keys(cells, BITS).view(np.int64), own.column(0)))
 
     def places(batches):
         from pyspark import TaskContext

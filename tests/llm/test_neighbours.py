@@ -74,6 +74,15 @@ def test_ties_copies_and_useless_vectors(spark):
     assert len(run(spark, [(0, [1.0, 1.0]), (1, [1.0, 0.0])])[0]) == 1
 
 
+def test_lengths_are_compared_within_themselves(spark):
+    random = np.random.default_rng(6)
+    short = {i: random.normal(size=8).astype(np.float32).tolist() for i in range(120)}
+    long = {i: random.normal(size=9).astype(np.float32).tolist() for i in range(150, 170)}
+    found = run(spark, [*short.items(), *long.items(), (201, [1.0] * 10)])
+    expected = {**exact(short, (0, 50, 100)), **exact(long, (150,))}
+    assert {q: [i for i, _ in hits] for q, hits in found.items()} == {q: [i for i, _ in hits] for q, hits in expected.items()}
+
+
 def test_hilbert_keys_visit_every_cell_in_unit_steps():
     for size, bits in ((2, 4), (3, 3), (4, 2)):
         axes = np.indices((1 << bits,) * size).reshape(size, -1).T

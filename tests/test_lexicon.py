@@ -5,7 +5,7 @@ import re
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
-from conftest import NOW
+from listing_cases import NOW
 from pyspark.sql import functions as F
 
 from gigsift import vocab

@@ -3,7 +3,7 @@
 from datetime import timedelta
 
 import pytest
-from conftest import NOW
+from listing_cases import NOW
 
 from gigsift.operators import history
 from gigsift.plans import run

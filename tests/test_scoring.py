@@ -4,7 +4,7 @@ from decimal import Decimal
 
 import pytest
 
-from conftest import by_row, hours_ago
+from listing_cases import by_row, hours_ago
 from gigsift import vocab
 from gigsift.operators.deliver import apply_gate
 from gigsift.operators.score import assess

@@ -4,7 +4,7 @@ from datetime import timedelta
 from decimal import Decimal
 
 import pages as html
-from conftest import NOW
+from listing_cases import NOW
 from pyspark.sql import functions as F
 
 from gigsift.functions.urls import safe_url

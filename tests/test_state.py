@@ -3,7 +3,7 @@
 from datetime import timedelta
 from random import Random
 
-from conftest import NOW
+from listing_cases import NOW
 
 from gigsift.operators import dedup, history
 from gigsift.operators.normalize import with_identity

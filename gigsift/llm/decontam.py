@@ -11,7 +11,8 @@ seeds through to the join, but none is lost. Only the words around sieved seeds
 Words are runs of letters, digits and underscores in lower case; punctuation and line breaks make no difference.
 
 Defined results: null and empty texts leak nothing, and items of fewer than MIN_ITEM words are no passage and match nothing;
-repeated documents are reported once per doc_id and item, repeated items by the id of each; a null doc_id or item_id takes no part;
+repeated documents are reported once per doc_id and item, repeated items by the id of each; a null doc_id or item_id takes no part in the report,
+but `without_leaks` searches rows without a doc_id too;
 columns beyond the ids and texts are not looked at. Memory: a task holds the bit field and one Arrow batch.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, record_batch, require, stored
+from .common import free_name, mix, record_batch, require, stored
 
 MASKS = ("110101", "1100101")
 WINDOW, MIN_ITEM, SIMILARITY = 20, 8, 0.8
@@ -197,6 +198,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarit
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of `docs` which leak no item."""
-    found = leaks(docs, benchmark, window, similarity).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of `docs` which leak no item. Rows are named by a hash of their text, so those without a doc_id are searched too."""
+    name = free_name(docs, "_text")
+    keyed = docs.withColumn(name, F.xxhash64("text"))
+    found = leaks(keyed.select(F.col(name).alias("doc_id"), "text"), benchmark, window, similarity)
+    return keyed.join(found.select(F.col("doc_id").alias(name)).distinct(), name, "left_anti").select(*docs.columns)

@@ -12,7 +12,7 @@ else the form of the text (`topic_of`).
 Defined results: a null source, language or topic is a value of its own (no target can name it); null and empty texts have one token,
 so that they can be weighed; rows with a null doc_id are sampled by their text; rows of one doc_id share their fate if they share a
 cell; without rows the result is empty. Where the targets cannot be met, because a cell has too few tokens, the last round stands:
-`fit` reports how far its margins are off. Memory: one Arrow batch per task; the driver gets one number per round.
+`fit` and the column deviation of `mix_plan` report how far its margins are off. Memory: one Arrow batch per task; the driver gets one number per round.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from .common import free_name, require, stored, with_computed
 MARGINS = ("source", "lang", "topic")
 EXPONENTS = {"source": 0.5, "lang": 0.7, "topic": 1.0}
 KEEP, ROUNDS, TOLERANCE, SEED = 0.5, 40, 1e-4, 20
+FEW = 1 << 14  # cells that one task rakes
 _ADDED = {"n_tokens": ("bigint", pa.int64()), "topic": ("string", pa.string())}
 
 
@@ -73,20 +74,28 @@ def target_shares(cells: DataFrame, margin: str, targets: dict[str, float] | Non
     return raised.select(margin, (F.col("raised") / F.lit(total)).alias("target"))
 
 
+def _packed(cells: DataFrame, few: bool) -> DataFrame:
+    """A few cells in one partition, where steps need no shuffle."""
+    return cells.coalesce(1) if few else cells
+
+
 def rake(cells: DataFrame, targets: dict[str, DataFrame], budget: float, rounds: int = ROUNDS,
          tolerance: float = TOLERANCE) -> tuple[DataFrame, float]:
     """`cells` with the column weight, and the largest deviation of a margin's share at the end."""
+    few = cells.count() <= FEW
+    cells = _packed(cells, few)
+    targets = {margin: _packed(shares, few) for margin, shares in targets.items()}
     fitted, off = cells.withColumn("weight", F.col("tokens")), float("inf")
     for _ in range(rounds):
-        gap = F.lit(0.0)
-        for margin in MARGINS:
+        fitted = fitted.withColumn("gap", F.lit(0.0))
+        for margin in MARGINS:  # written after each margin: a sum and a join per step, whatever the number of steps before
             sums = (fitted.groupBy(margin).agg(F.sum("weight").alias("now")).join(targets[margin], margin, "left")
                     .select(margin, "now", (F.coalesce("target", F.lit(0.0)) * budget).alias("aim")))
-            fitted = fitted.drop("now", "aim").join(sums, margin).withColumns({
-                "weight": F.when(F.col("now") > 0, F.least(F.col("tokens"), F.col("weight") * F.col("aim") / F.col("now"))).otherwise(0.0),
-                f"gap_{margin}": F.abs(F.col("now") - F.col("aim")) / budget})
-            gap = F.greatest(gap, F.col(f"gap_{margin}"))
-        fitted = stored(fitted.select(*MARGINS, "tokens", "weight", gap.alias("gap")), "raked-cells")
+            now, aim = F.col("now"), F.col("aim")
+            step = fitted.join(sums, margin).select(
+                *MARGINS, "tokens", F.when(now > 0, F.least(F.col("tokens"), F.col("weight") * aim / now)).otherwise(0.0).alias("weight"),
+                F.greatest(F.col("gap"), F.abs(now - aim) / budget).alias("gap"))
+            fitted = _packed(stored(step, "raked-cells"), few)
         before, off = off, fitted.agg(F.max("gap")).first()[0] or 0.0
         fitted = fitted.drop("gap")
         if off <= tolerance or abs(before - off) <= tolerance / 100:
@@ -118,13 +127,14 @@ def with_probability(docs: DataFrame, cells: DataFrame, name: str, seed: int = S
 
 
 def mix_plan(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """(doc_id, source, lang, topic, n_tokens, probability, kept) of every row of `docs`."""
+    """(doc_id, source, lang, topic, n_tokens, probability, kept, deviation) of every row of `docs`; deviation, the same in all rows, is
+    how far the share of a margin is off its target at most."""
     require(docs, "doc_id", "text", "source", "lang")
     names = ["doc_id", "source", "lang", "topic", "n_tokens"]
     measured = with_tokens(docs.select("doc_id", "text", *[m for m in MARGINS if m in docs.columns]))
     narrow = stored(measured.withColumn("text", F.when(F.col("doc_id").isNull(), F.col("text"))), "measured-documents")
-    cells, _ = fit(narrow, keep, targets)
-    return with_probability(narrow, cells, "_drawn").select(*names, "_drawn.probability", "_drawn.kept")
+    cells, off = fit(narrow, keep, targets)
+    return with_probability(narrow, cells, "_drawn").select(*names, "_drawn.probability", "_drawn.kept", F.lit(off).alias("deviation"))
 
 
 def sample_mix(docs: DataFrame, keep: float = KEEP, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:

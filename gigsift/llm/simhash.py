@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import mix, record_batch, require, stored, utf8, words_of
+from .common import free_name, mix, record_batch, require, stored, utf8, words_of
 from .graph import components
 
 SHINGLE, BUDGET, SEED, BITS = 3, 3, 42, 64
@@ -234,7 +234,8 @@ PRINTS, SLICE, SIMILAR_SHINGLE = 24, 32, 5
 SIMILAR = (4, 5)  # as a fraction, compared in whole numbers
 MOST = 192  # of 768 bits: 116 differ on average at a similarity of 0.8, give or take 10, and 384 between unrelated texts
 LANES, SENT = PRINTS * SLICE // BITS, 4
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("shingles", pa.binary()), ("size", pa.int32()), ("signature", pa.binary())])
+PART_CHUNK, PART_WALK = 1 << 16, 1 << 17
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.binary()), ("size", pa.int32()), ("signature", pa.binary())])
 _SETS = pa.schema([("shingles", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 _DEALT = pa.schema([("part", pa.int32()), ("rest", pa.int32()), ("point", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())])
 _OFFSETS = mix(np.arange(11, 11 + LANES, dtype=np.uint64))
@@ -270,13 +271,14 @@ def _set_name(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, shingles, size, signature) of every row: a name of the set of its shingles, their number, and its signature."""
+    """(doc_id, text_hash, shingles, size, signature) of every row: a name of the set of its shingles, their number, and its signature."""
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(words_of(text), shingle) for text in utf8(batch.column(1))]
-            yield record_batch(_SIGNED, (batch.column(0), list(map(_set_name, sets)), list(map(len, sets)), list(map(_signature, sets))))
+            sets = [shingle_set(words_of(text), shingle) for text in utf8(batch.column(2))]
+            yield record_batch(_SIGNED, (batch.column(0), batch.column(1), list(map(_set_name, sets)), list(map(len, sets)), list(map(_signature, sets))))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, shingles binary, size int, signature binary")
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
+        run, "doc_id long, text_hash long, shingles binary, size int, signature binary")
 
 
 def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, unite: bool = True) -> DataFrame:
@@ -303,7 +305,10 @@ def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, uni
     def walk(parts, rests, points, roots, sizes, packed):
         # leaf: number of the part, the rest of the slice, and a number that tells equal ones apart
         group = np.concatenate([[0], np.cumsum(parts[1:] != parts[:-1])]).astype(np.uint64)
-        numbers = np.arange(len(parts), dtype=np.uint64)
+        new = np.concatenate([[True], (parts[1:] != parts[:-1]) | (rests[1:] != rests[:-1])])
+        numbers = (np.arange(len(parts)) - np.flatnonzero(new)[np.cumsum(new) - 1]).astype(np.uint64)
+        if int(numbers.max()) >> 24 or int(group[-1]) >> 16:
+            raise OverflowError("more equal slices in a part than a leaf can number")
         leaves = (group << np.uint64(48)) | (rests.astype(np.uint64) << np.uint64(24)) | numbers
         lanes = np.frombuffer(packed, dtype=np.uint64).reshape(-1, SENT)
         _, first, own = np.unique(roots, return_index=True, return_inverse=True)
@@ -313,7 +318,7 @@ def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, uni
             return ((np.bitwise_count(lanes[left] ^ lanes[right]).sum(axis=1) <= allowed)
                     & (denominator * np.minimum(a, b) >= numerator * np.maximum(a, b)) & (roots[left] != roots[right]))
 
-        for left, right in trie_links(leaves, 16, budget, first[own], counted=16 + SLICE - block, agree=agree, unite=unite):
+        for left, right in trie_links(leaves, 16, budget, first[own], walk=PART_WALK, counted=16 + SLICE - block, agree=agree, unite=unite):
             yield record_batch(_LINKS, (np.minimum(points[left], points[right]), np.maximum(points[left], points[right])))
 
     def run(batches):
@@ -328,7 +333,7 @@ def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, uni
                 continue
             kept.append((*(batch.column(k).to_numpy() for k in range(5)), b"".join(batch.column(5).to_pylist())))
             waiting += batch.num_rows
-            if waiting >= CHUNK:  # cut at the last border between parts
+            if waiting >= PART_CHUNK:  # cut at the last border between parts
                 last = kept[-1]
                 border = int(np.searchsorted(last[0], last[0][-1]))
                 if border or (len(kept) > 1 and kept[-2][0][-1] != last[0][-1]):
@@ -364,8 +369,8 @@ def verified(links: DataFrame, points: DataFrame, docs: DataFrame, shingle: int
     return both.filter((SIMILAR[0] + SIMILAR[1]) * shared >= SIMILAR[0] * total).select("low", "high")
 
 
-def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
-    """(doc_id, component_id) of every row of `docs`: the smallest doc_id connected by links of a similarity of SIMILAR or more."""
+def similar_roots(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
+    """(doc_id, text_hash, root) of every row of `docs`: rows have one root if links of a similarity of SIMILAR or more connect them."""
     signed = stored(signatures(docs, shingle), "document-signatures")
     points = stored(signed.groupBy("shingles").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"))
                     .withColumn("point", F.monotonically_increasing_id()), "signatures")
@@ -376,15 +381,24 @@ def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int =
     others = stored(similar_links(rooted, most, unite=False).join(forest, ["low", "high"], "left_anti"), "candidates")
     more = verified(others, points, docs, shingle)
     tied = components(held.union(more)).withColumnRenamed("node", "point")
-    named = stored(tied.join(points.select("point", "first"), "point"), "similar-groups")
-    roots = named.groupBy("root").agg(F.min("first").alias("smallest"))
-    joined = points.join(named.select("point", "root").join(roots, "root"), "point", "left")
-    return signed.join(joined.select("shingles", F.coalesce("smallest", "first").alias("component_id")), "shingles").select("doc_id", "component_id")
+    named = points.join(tied, "point", "left").select("shingles", F.coalesce("root", "point").alias("root"))
+    return signed.join(named, "shingles").select("doc_id", "text_hash", "root")
+
+
+def similar_groups(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
+    """(doc_id, component_id) of every row of `docs`: the smallest doc_id connected by links of a similarity of SIMILAR or more."""
+    rooted = stored(similar_roots(docs, shingle, most), "rooted-documents")
+    smallest = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    return rooted.join(smallest, "root").select("doc_id", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
-    """One document of each group of near duplicates, the one of the smallest doc_id; of rows that share it, one. Rows with a
-    null doc_id have no name to be told apart by and stay."""
-    named = similar_groups(docs, shingle, most).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.filter("doc_id IS NOT NULL").join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.union(docs.filter("doc_id IS NULL"))
+    """One row of each group of near duplicates: the one of the smallest doc_id, null after all others, and of these the one of the
+    smallest hash of its text. Rows are told apart by doc_id and text together, so different texts under one doc_id both stay."""
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_hash")
+    best = similar_roots(docs, shingle, most).groupBy("root").agg(F.min(place).alias("best")).select("best.*")
+    name, text = free_name(docs, "_name"), free_name(docs, "_text")
+    key = lambda hashed: (F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(name), F.xxhash64(hashed, F.col("doc_id").isNull()).alias(text))
+    chosen = best.select(*key(F.col("text_hash")))
+    keyed = docs.select("*", *key(F.xxhash64("text")))
+    return keyed.join(chosen, [name, text], "left_semi").dropDuplicates([name, text]).select(*docs.columns)

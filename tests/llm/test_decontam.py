@@ -4,6 +4,7 @@ import random
 import helpers
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gigsift.llm import decontam as op
 
@@ -88,3 +89,11 @@ def test_odd_rows(spark):
     left = sorted(str(r.doc_id) for r in op.without_leaks(helpers.odd(spark), bench).collect())
     assert left == ["1", "2", "3", "5", "5", "6", "None", "None"]
     assert np.array_equal(op.Tokens(2)("a b c a"), op.Tokens()("a b c a"))
+
+
+def test_rows_without_an_id_are_searched(spark):
+    items = [helpers.words(900, 30, 5000)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [helpers.words(1, 50), f"{helpers.words(2, 20)} {items[0]}", helpers.words(3, 60)]
+    docs = helpers.table(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") > 1, F.col("doc_id")))
+    assert sorted(r.text for r in op.without_leaks(docs, bench).collect()) == sorted([texts[0], texts[2]])

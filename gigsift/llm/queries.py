@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, line_dedup, mixing, neighbours, quality, secrets, simhash, span_dedup, suffix_tree
+from . import chat, decontam, fim, line_dedup, mixing, neighbours, quality, secrets, simhash, span_dedup, suffix_tree
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -92,9 +92,36 @@ def op10_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_plan(_table(spark, folder, "documents"))
 
 
+def op11_fim(spark: SparkSession, folder: str) -> DataFrame:
+    made = fim.fill_in_middle(_table(spark, folder, "documents").select("doc_id", "text"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(fim.restored(), 256).alias("restored_sha256"))
+
+
+OP11_SQL = f"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('{fim.SEED}' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+drawn AS (
+  SELECT *, len(units) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(units) + 1) AS c1,
+         CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(units) + 1) AS c2,
+         CASE WHEN text = '' OR contains(text, '{fim.PREFIX}') OR contains(text, '{fim.SUFFIX}') OR contains(text, '{fim.MIDDLE}')
+                OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= {fim.PLAIN_FROM} THEN 'plain'
+              WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < {fim.SPM_BELOW} THEN 'spm' ELSE 'psm' END AS form FROM cut),
+parts AS (
+  SELECT *, array_to_string(units[1:least(c1, c2)], '') AS p, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS m,
+         array_to_string(units[greatest(c1, c2) + 1:], '') AS s FROM drawn)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{fim.PREFIX}' || p || '{fim.SUFFIX}' || s || '{fim.MIDDLE}' || m
+              ELSE '{fim.SUFFIX}' || s || '{fim.PREFIX}' || p || '{fim.MIDDLE}' || m END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_span_dedup": op2_span_dedup, "op3_quality": op3_quality,
     "op4_suffix_tree": op4_suffix_tree, "op5_chat": op5_chat, "op6_secrets": op6_secrets, "op7_decontamination": op7_decontamination,
-    "op8_simhash": op8_simhash, "op9_neighbours": op9_neighbours, "op10_mixing": op10_mixing,
+    "op8_simhash": op8_simhash, "op9_neighbours": op9_neighbours, "op10_mixing": op10_mixing, "op11_fim": op11_fim,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL, "op11_fim": OP11_SQL}

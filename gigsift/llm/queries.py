@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, fim, line_dedup, mixing, neighbours, quality, secrets, simhash, span_dedup, suffix_tree
+from . import chat, decontam, fim, line_dedup, mixing, neighbours, quality, ranked_search, secrets, simhash, span_dedup, suffix_tree
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -119,9 +119,32 @@ FROM parts
 """
 
 
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(_table(spark, folder, "documents").select("doc_id", "text"), _table(spark, folder, "benchmark"))
+
+
+_TERMS = ("unnest(regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+          r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))")
+OP12_SQL = f"""
+WITH words AS (SELECT doc_id, {_TERMS.format("text")} AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, CAST(sum(n) AS BIGINT) AS big_l FROM lengths),
+asked AS (SELECT item_id, term, count(*) AS c FROM (SELECT item_id, {_TERMS.format("text")} AS term FROM benchmark) GROUP BY ALL),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(big_n) + 2) / (2 * count(tf) + 1))) AS BIGINT) AS w
+  FROM (SELECT DISTINCT term FROM asked) LEFT JOIN tfs USING (term), totals GROUP BY term),
+scored AS (
+  SELECT item_id, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * big_n) // big_l)))) AS BIGINT) AS score
+  FROM asked JOIN weights USING (term) JOIN tfs USING (term) JOIN lengths USING (doc_id), totals GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= {ranked_search.TOP}
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_span_dedup": op2_span_dedup, "op3_quality": op3_quality,
     "op4_suffix_tree": op4_suffix_tree, "op5_chat": op5_chat, "op6_secrets": op6_secrets, "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash, "op9_neighbours": op9_neighbours, "op10_mixing": op10_mixing, "op11_fim": op11_fim,
+    "op12_ranked_search": op12_ranked_search,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL, "op11_fim": OP11_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL, "op11_fim": OP11_SQL, "op12_ranked_search": OP12_SQL}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import chat, decontam, fim, line_dedup, mixing, neighbours, quality, ranked_search, secrets, simhash, span_dedup, suffix_tree
+from . import chat, decontam, fim, line_dedup, metric_join, mixing, neighbours, quality, ranked_search, secrets, simhash, span_dedup, suffix_tree
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -141,10 +141,33 @@ FROM scored WHERE score > 0 QUALIFY rank <= {ranked_search.TOP}
 """
 
 
+def op13_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return metric_join.joined(_table(spark, folder, "documents").select("doc_id", "text"))
+
+
+OP13_SQL = f"""
+WITH RECURSIVE told AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {metric_join.SHINGLE} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - {metric_join.SHINGLE} + 2), lambda i: array_to_string(w[i:i + {metric_join.SHINGLE} - 1], ' '))) END AS s FROM told),
+flat AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets),
+links AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM flat a JOIN flat b USING (shingle)
+  WHERE a.doc_id < b.doc_id AND {metric_join.OF} * least(a.n, b.n) >= {metric_join.ALIKE} * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING {metric_join.OF} * count(*) >= {metric_join.ALIKE} * (a.n + b.n - count(*))),
+near AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS node, doc_id AS root FROM sets UNION SELECT near.b, reach.root FROM reach JOIN near ON near.a = reach.node)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, min(root) AS component_id FROM sets JOIN reach ON node = doc_id GROUP BY doc_id, s
+"""
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup, "op2_span_dedup": op2_span_dedup, "op3_quality": op3_quality,
     "op4_suffix_tree": op4_suffix_tree, "op5_chat": op5_chat, "op6_secrets": op6_secrets, "op7_decontamination": op7_decontamination,
     "op8_simhash": op8_simhash, "op9_neighbours": op9_neighbours, "op10_mixing": op10_mixing, "op11_fim": op11_fim,
-    "op12_ranked_search": op12_ranked_search,
+    "op12_ranked_search": op12_ranked_search, "op13_jaccard": op13_jaccard,
 }
-ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL, "op11_fim": OP11_SQL, "op12_ranked_search": OP12_SQL}
+ORACLE = {"op1_line_dedup": OP1_SQL, "op5_chat": OP5_SQL, "op11_fim": OP11_SQL, "op12_ranked_search": OP12_SQL,
+          "op13_jaccard": OP13_SQL}

@@ -138,19 +138,21 @@ def reserve(history: DataFrame, deliveries: DataFrame, picked: DataFrame, now: d
 OUTCOME_ORDER = ("definite", "uncertain", "sent")  # the last one that occurs for a key holds
 
 
-def settle(history: DataFrame, deliveries: DataFrame, picked: DataFrame, outcomes: DataFrame, now: datetime | Column
+def settle(history: DataFrame, deliveries: DataFrame, picked: DataFrame | None, outcomes: DataFrame, now: datetime | Column
            ) -> tuple[DataFrame, DataFrame]:
     """Apply all `outcomes`(key, outcome) to pending deliveries: a sent one is kept with its time, a definite failure is released, an
     uncertain one stays pending. Of several outcomes of a key, sent goes before uncertain before definite. `picked` has the identities of
-    the deliveries; those it lacks are found by their key."""
+    the deliveries, one row each; those it lacks are found by their key."""
     c, at = F.col, moment(now)
     place = F.array_position(F.array(*map(F.lit, OUTCOME_ORDER)), c("outcome"))
     pending = deliveries.filter("status = 'pending'").select("key")
     final = checkpoint(outcomes.filter(place > 0).groupBy("key").agg(F.max_by("outcome", place).alias("outcome"))
                        .filter("outcome <> 'uncertain'").join(pending, "key", "left_semi"))
-    known = picked.join(final, "key", "left_semi").dropDuplicates(["key"])
-    by_key = history.select(F.concat_ws(":", "source", "source_id").alias("key"), "fingerprint")
-    touched = _matches(history, known).select("key", "fingerprint").union(by_key).join(final, "key")
+    touched = history.select(F.concat_ws(":", "source", "source_id").alias("key"), "fingerprint")
+    if picked is not None:
+        known = picked.join(final, "key", "left_semi").dropDuplicates(["key"])
+        touched = _matches(history, known).select("key", "fingerprint").union(touched)
+    touched = touched.join(final, "key")
     verdict = checkpoint(touched.groupBy("fingerprint").agg(F.max("outcome").alias("_outcome")))
     updated = (history.join(verdict, "fingerprint", "left")
                .withColumn("_sent", F.coalesce(c("_outcome") == "sent", F.lit(False)))
@@ -281,107 +283,6 @@ def read_json_state(spark: SparkSession, path: str) -> tuple[DataFrame, DataFram
     return history, deliveries
 
 
-def snapshot_path(root: str, table: str, version: int) -> str:
-    return f"{root.rstrip('/')}/{table}/version={version:012d}"
-
-
-def latest_version(spark: SparkSession, root: str, table: str, at_most: int | None = None) -> int | None:
-    """Newest completely written snapshot, optionally up to a version."""
-    jvm = spark._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not fs.exists(folder):
-        return None
-    done = [s.getPath() for s in fs.listStatus(folder)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))]
-    versions = (int(p.getName().split("=")[1]) for p in done)
-    return max((v for v in versions if at_most is None or v <= at_most), default=None)
-
-
-def read_snapshot(spark: SparkSession, root: str, table: str, schema) -> DataFrame:
-    version = latest_version(spark, root, table)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(snapshot_path(root, table, version))
-
-
-def read_versions(spark: SparkSession, root: str, table: str, at_most: int) -> DataFrame | None:
-    """All complete snapshots of a table up to a version, with the column `version`."""
-    if latest_version(spark, root, table, at_most) is None:
-        return None
-    return spark.read.parquet(f"{root.rstrip('/')}/{table}").filter(F.col("version") <= at_most)
-
-
-def write_snapshot(df: DataFrame, root: str, table: str, version: int) -> None:
-    """Write a complete new version; writing the same version again replaces it, so a replayed batch is harmless."""
-    df.write.mode("overwrite").parquet(snapshot_path(root, table, version))
-
-
-# State tables are kept in buckets of their key. A version holds the buckets that changed with it, and `<table>_buckets` says which they are,
-# also those that became empty; it is written last, so that a version without it does not count.
-
-BUCKETS = 64
-
-
-def _bucketed(df: DataFrame, key: str) -> DataFrame:
-    return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int"))
-
-
-def changed_buckets(old: DataFrame, new: DataFrame, key: str) -> list[int]:
-    """Buckets in which two state tables differ."""
-    columns = [F.col(name) for name in new.columns]
-    rows = lambda df, sign: _bucketed(df.select(*columns), key).select("bucket", F.lit(sign).alias("sign"), F.xxhash64(*columns).alias("h1"), F.hash(*columns).alias("h2"))
-    sums = rows(old, -1).union(rows(new, 1)).groupBy("bucket").agg(
-        F.sum("sign").alias("n"), F.sum(F.col("h1").cast("decimal(38,0)") * F.col("sign")).alias("s1"), F.sum(F.col("h2").cast("bigint") * F.col("sign")).alias("s2"))
-    return sorted(row["bucket"] for row in sums.filter("n <> 0 OR s1 <> 0 OR s2 <> 0").collect())
-
-
-def write_state(new: DataFrame, old: DataFrame, root: str, table: str, key: str, version: int) -> list[int]:
-    """Write the buckets of `new` which differ from `old` as a version, and return them; nothing is written if there are none."""
-    changed = changed_buckets(old, new, key)
-    if changed:
-        rows = _bucketed(new, key).filter(F.col("bucket").isin(changed)).repartition("bucket")
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(snapshot_path(root, table, version))
-        marks = new.sparkSession.createDataFrame([(bucket,) for bucket in changed], "bucket int")
-        write_snapshot(marks.coalesce(1), root, f"{table}_buckets", version)
-    return changed
-
-
-def _newest_buckets(spark: SparkSession, root: str, table: str, at_most: int | None) -> dict[int, int]:
-    version = latest_version(spark, root, f"{table}_buckets", at_most)
-    if version is None:
-        return {}
-    marks = read_versions(spark, root, f"{table}_buckets", version)
-    return {row["bucket"]: row["version"] for row in marks.groupBy("bucket").agg(F.max("version").alias("version")).collect()}
-
-
-def read_state(spark: SparkSession, root: str, table: str, schema, at_most: int | None = None) -> DataFrame:
-    """A state table as of a version: the newest form of each bucket."""
-    jvm = spark._jvm
-    paths = [f"{snapshot_path(root, table, version)}/bucket={bucket}" for bucket, version in _newest_buckets(spark, root, table, at_most).items()]
-    conf = spark._jsparkSession.sessionState().newHadoopConf()
-    paths = [path for path in paths if (at := jvm.org.apache.hadoop.fs.Path(path)).getFileSystem(conf).exists(at)]
-    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
-
-
-def expire_state(spark: SparkSession, root: str, table: str, keep: int) -> list[str]:
-    """Remove buckets which no version from `keep` on reads, and return their folders."""
-    jvm, needed, gone = spark._jvm, {}, []
-    newest = latest_version(spark, root, f"{table}_buckets")
-    if newest is None or keep > newest:
-        return gone
-    needed = _newest_buckets(spark, root, table, keep)
-    folder = jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{table}")
-    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    for version in (status.getPath() for status in fs.listStatus(folder)):
-        number = int(version.getName().split("=")[1])
-        for bucket in (status.getPath() for status in fs.listStatus(version) if status.isDirectory()):
-            if number < keep and needed.get(int(bucket.getName().split("=")[1])) != number:
-                fs.delete(bucket, True)
-                gone.append(bucket.toString())
-    return gone
-
-
 def same_rows(left: DataFrame, right: DataFrame) -> bool:
     """Do two state tables hold the same rows? Then no new version is written."""
     columns = [F.col(name) for name in left.columns]

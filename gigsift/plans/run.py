@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -26,6 +27,7 @@ class Result:
     page_log: DataFrame
     source_metrics: DataFrame
     summary: DataFrame       # one row: all counters, source counts, errors, time
+    known: tuple[DataFrame, DataFrame]  # the history and deliveries it was checked against
 
 
 def evaluate(listings: DataFrame, known: tuple[DataFrame, DataFrame], now: datetime, profile: Profile = Profile()) -> DataFrame:
@@ -35,12 +37,17 @@ def evaluate(listings: DataFrame, known: tuple[DataFrame, DataFrame], now: datet
     return deliver.apply_gate(score.assess(flagged, now, profile), profile, F.col("already_seen"))
 
 
-def check(pages: DataFrame, now: datetime, profile: Profile = Profile(), known: tuple[DataFrame, DataFrame] | None = None,
+State = tuple[DataFrame, DataFrame]
+
+
+def check(pages: DataFrame, now: datetime, profile: Profile = Profile(), known: State | Callable[[DataFrame], State] | None = None,
           detail_pages: DataFrame | None = None) -> Result:
-    """Pages -> everything one run reports. Extracted cards are written once, since four results read them."""
+    """Pages -> everything one run reports. Extracted cards are written once, since four results read them. `known` is the history and the
+    deliveries, or a function that looks up those which listings may match."""
     spark = pages.sparkSession
-    known = known or (spark.createDataFrame([], HISTORY), spark.createDataFrame([], DELIVERIES))
-    history.require_valid(*known)
+    if not callable(known):
+        known = known or (spark.createDataFrame([], HISTORY), spark.createDataFrame([], DELIVERIES))
+        history.require_valid(*known)
     cards = checkpoint(layouts.extract_all(pages, now, profile))
     # nothing is read after a source's first restriction
     log = checkpoint(frontier.stop_after_restriction(layouts.page_log(cards)))
@@ -55,6 +62,9 @@ def check(pages: DataFrame, now: datetime, profile: Profile = Profile(), known:
         picked = checkpoint(detail.detail_candidates(listings, now, profile).join(restricted, "source", "left_anti"))
         listings, detail_log = detail.confirm(listings, picked, detail_pages, now)
     listings = checkpoint(listings)
+    if callable(known):
+        known = known(listings)
+        history.require_valid(known[0], known[1].limit(0))
     registry = metrics.source_registry(spark, profile)
     assessed = score.assess(listings, now, profile)
     per_source = metrics.source_metrics(registry, log, assessed, profile, detail_log)
@@ -62,7 +72,7 @@ def check(pages: DataFrame, now: datetime, profile: Profile = Profile(), known:
     per_source = checkpoint(per_source)
     summary = checkpoint(metrics.full_summary(metrics.run_summary(candidates, listings.count(), profile), per_source, now))
     quarantine = cards.filter("card_state = 'invalid'").select("source", "page_url", "card_ord", F.col("card_error").alias("error"))
-    return Result(listings, quarantine, candidates, log, per_source, summary)
+    return Result(listings, quarantine, candidates, log, per_source, summary, known)
 
 
 CARD_COLUMNS = ("page_url", "page_no", "seq", "page_error", "cards_cut", "card_ord", "card_state", "card_error")
@@ -78,7 +88,7 @@ def plan_delivery(result: Result, state: tuple[DataFrame, DataFrame], now: datet
     return taken, records, entries
 
 
-def reconcile(state: tuple[DataFrame, DataFrame], sent: DataFrame, attempts: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
+def reconcile(state: tuple[DataFrame, DataFrame], sent: DataFrame | None, attempts: DataFrame, now: datetime) -> tuple[DataFrame, DataFrame]:
     """(history, deliveries) after the sender's `attempts` (key and the columns of `classify_outcomes`) on outbox rows `sent`. Attempts on
     deliveries which are settled already change nothing, so a log may be read again from its start."""
     outcomes = outbox.classify_outcomes(attempts, now).filter("outcome <> 'retry'").select("key", "outcome")

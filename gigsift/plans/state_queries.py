@@ -6,12 +6,13 @@ import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import dedup, history, metrics, outbox, views
+from ..operators import changes, dedup, history, metrics, outbox, views
 from ..operators.score import moment
 from ..rules import Profile
 from ..schema import DELIVERIES, HISTORY
-from ..session import shared_folder, table
+from ..session import checkpoint, shared_folder, table
 from ..sources import detail, frontier, layouts, scan
+from ..streaming import ingest
 from .text_queries import NORM, TITLE_SQL
 from .views import NOW, doc_listings, event_log, view
 
@@ -224,20 +225,61 @@ def _(spark, folder):
 
 # --- logs ------------------------------------------------------------------------------------------------------------
 
-@query("first_seen", "SELECT user_id AS key, min(ts) AS first_seen_at FROM events GROUP BY 1")
+FIRST_SEEN = "SELECT user_id AS key, min(ts) AS first_seen_at FROM events GROUP BY 1"
+
+
+def _scratch(spark) -> str:
+    return f"{shared_folder(spark)}/state-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark, folder) -> DataFrame:
+    schema = table(spark, folder, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder).select(c("user_id").alias("key"), "ts")
+
+
+@query("first_seen", FIRST_SEEN)
 def _(spark, folder):
-    from ..streaming.ingest import first_seen
-    return first_seen(view(event_log, spark, folder), "key", "ts")
+    """State per key in the state store; all events come in one batch."""
+    root = _scratch(spark)
+    ingest.stream_first_seen(_event_stream(spark, folder), "key", "ts", f"{root}/seen", f"{root}/log")
+    return spark.read.schema("key bigint, first_seen_at timestamp").parquet(f"{root}/seen")
 
 
-@query("stream_ingest", "SELECT user_id AS key, min(ts) AS first_seen_at FROM events GROUP BY 1")
+@query("stream_ingest", FIRST_SEEN)
 def _(spark, folder):
-    from ..streaming.ingest import fold_first_seen
-    schema = table(spark, folder, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
-    fold_first_seen(stream.select(c("user_id").alias("key"), "ts"), "key", "ts", f"{root}/state", f"{root}/log")
-    return history.read_snapshot(spark, f"{root}/state", "first_seen", "key bigint, first_seen_at timestamp")
+    root = _scratch(spark)
+    ingest.fold_first_seen(_event_stream(spark, folder), "key", "ts", f"{root}/state", f"{root}/log")
+    return ingest.read_first_seen(spark, f"{root}/state", "key")
+
+
+@query("state_changes", """SELECT 'users:' || user_id AS key, arg_max(event_type, (version, event_id)) AS status, CAST(max(version) AS BIGINT) AS since
+  FROM (SELECT *, event_id % 4 + 1 AS version FROM events) GROUP BY user_id HAVING NOT bool_or(version = 4 AND user_id % 5 = 0)""")
+def _(spark, folder):
+    """Four versions of changes, one per remainder of the event; the first two are folded; in the last, one user in five goes."""
+    root, events = _scratch(spark), table(spark, folder, "events")
+    for version in range(1, 5):
+        last = events.filter(c("event_id") % 4 + 1 == version).groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("status"))
+        rows = last.select(F.concat(F.lit("users:"), "user_id").alias("key"), F.lit("users").alias("source"), c("user_id").cast("string").alias("source_id"), "status",
+                           F.lit(None).cast("timestamp").alias("reserved_at"), F.lit(None).cast("timestamp").alias("sent_at"), F.lit(None).cast("string").alias("assessment"),
+                           (F.lit(version == 4) & (c("user_id") % 5 == 0)).alias("gone"))
+        changes.append(rows, root, changes.ENTRIES, version)
+    changes.fold(spark, root, changes.ENTRIES, 2)
+    changes.expire(spark, root, changes.ENTRIES, 2)
+    return changes.Store(spark, root).entries().select("key", "status", "since")
+
+
+@query("indexed_seen", f"""WITH {DOCS}, past AS (SELECT * FROM ids WHERE row_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY fingerprint ORDER BY row_id) = 1),
+  shut AS (SELECT * FROM past WHERE row_id % 10 IN (0, 2))
+  SELECT row_id, EXISTS (SELECT 1 FROM shut p WHERE p.fingerprint = i.fingerprint OR p.key = i.key OR p.canonical = i.canonical) AS already_seen FROM ids i WHERE row_id % 2 = 1""")
+def _(spark, folder):
+    """The history, one record per fingerprint, is kept as changes and looked up by the identities of the batch."""
+    batch, past = _halves(spark, folder)
+    records = past.groupBy("fingerprint").agg(F.min_by(F.struct(*HISTORY.fieldNames()), c("source_id").cast("bigint")).alias("r")).select("r.*")
+    nothing, none = spark.createDataFrame([], HISTORY), spark.createDataFrame([], DELIVERIES)
+    store = changes.Store(spark, _scratch(spark))
+    store.commit((nothing, none), (records, none), 1)
+    batch = checkpoint(batch)
+    return history.mark_seen(batch, store.matching(history.listing_identities(batch).select("kind", "value")), none).select("row_id", "already_seen")
 
 
 @query("state_fold", """WITH a AS (SELECT user_id AS key, ts, event_id, CASE event_type WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN 'sent' WHEN 'error' THEN 'release' ELSE 'observe' END AS action FROM events),

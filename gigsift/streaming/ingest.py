@@ -9,10 +9,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import history, metrics
+from ..operators import changes, history, metrics
 from ..plans.run import Result, check, plan_delivery, reconcile
 from ..rules import Profile
-from ..schema import DELIVERIES, HISTORY, PAGES
+from ..schema import PAGES
+from ..session import checkpoint
 
 
 def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
@@ -20,50 +21,64 @@ def stream_pages(spark: SparkSession, path: str, files_per_batch: int = 1000) ->
     return spark.readStream.schema(PAGES).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
-STATE = (("history", "fingerprint", HISTORY), ("deliveries", "key", DELIVERIES))
 Reader = Callable[[SparkSession], DataFrame]
+FOLD_EVERY = 144  # a day of runs every ten minutes
 
 
 def batch_step(root: str, profile: Profile = Profile(), clock: Callable[[], datetime] | None = None, dry_run: bool = False,
-               attempts: Reader | None = None, details: Reader | None = None, report: Callable[[Result], None] | None = None):
+               attempts: Reader | None = None, details: Reader | None = None, report: Callable[[Result], None] | None = None,
+               fold_every: int = FOLD_EVERY):
     """Function for `foreachBatch`: one run over the batch against the newest state under `root`.
 
-    First the sender's `attempts` on earlier outboxes are settled, then the batch is checked, with the original cards of `details`, and what
-    may be sent is reserved and handed to the outbox. State is kept in buckets, and a version holds those that changed. A batch reads what
-    versions below its own number hold and writes its own, so a replay after a lost driver gives the same tables. No version is written if
-    nothing changed, and nothing at all in a dry run. `report` gets the result of each check.
+    First the sender's `attempts` on deliveries that are pending are settled, then the batch is checked, with the original cards of
+    `details`, and what may be sent is reserved and handed to the outbox. Only records that share an identity with the batch or with a
+    pending delivery are read, and only rows that changed are appended. A batch reads what versions below its own number hold and writes
+    its own, so a replay after a lost driver gives the same tables. Nothing is appended if nothing changed, and nothing at all is written in
+    a dry run. Every `fold_every` batches, older changes are folded together and removed. `report` gets the result of each check.
     """
     tell = clock or (lambda: datetime.now(timezone.utc))
 
     def step(pages: DataFrame, batch: int) -> None:
         spark, now = pages.sparkSession, tell()
-        before = tuple(history.read_state(spark, root, name, schema, batch) for name, _, schema in STATE)
-        state = before
-        if attempts is not None and (boxes := history.read_versions(spark, root, "outbox", batch)) is not None:
-            state = reconcile(before, boxes, attempts(spark), now)
-        result = check(pages, now, profile, state, details(spark) if details else None)
+        store = changes.Store(spark, root, batch)
+        if fold_every and batch and batch % fold_every == 0 and not dry_run:
+            store.upkeep(batch)
+        dated = checkpoint(store.entries())
+        read, entries, settled = [], dated.drop("since"), None
+        before = entries
+        pending = dated.filter("status = 'pending'").select("key", "since")
+        if attempts is not None and not pending.isEmpty():
+            told = checkpoint(attempts(spark).join(pending.select("key"), "key", "left_semi"))
+            sent = store.sent_rows(pending)
+            probes = pending.select(F.lit("key").alias("kind"), F.col("key").alias("value"))
+            if sent is not None:
+                probes = probes.union(history.listing_identities(sent, "key").select("kind", "value"))
+            read.append(checkpoint(store.matching(probes)))
+            settled, entries = reconcile((read[0], entries), sent, told, now)
+
+        def known(listings: DataFrame) -> tuple[DataFrame, DataFrame]:
+            found = checkpoint(store.matching(history.listing_identities(listings).select("kind", "value")))
+            read.append(found)
+            if settled is not None:
+                found = checkpoint(found.join(settled.select("fingerprint"), "fingerprint", "left_anti").unionByName(settled))
+            return found, entries
+
+        result = check(pages, now, profile, known, details(spark) if details else None)
         if report:
             report(result)
         if dry_run:
             return
-        box, *after = plan_delivery(result, state, now, tell(), profile)
-        for (name, key, _), old, new in zip(STATE, before, after):
-            history.write_state(new, old, root, name, key, batch + 1)
+        box, *after = plan_delivery(result, result.known, now, tell(), profile)
+        records = read[0] if len(read) == 1 else read[0].unionByName(read[1]).dropDuplicates(["fingerprint"])
+        store.commit((records, before), tuple(after), batch + 1)
         if not box.isEmpty():
-            history.write_snapshot(box, root, "outbox", batch + 1)
-        history.write_snapshot(result.source_metrics, root, "metrics", batch + 1)
-        history.write_snapshot(metrics.run_events(result.source_metrics, now), root, "events", batch + 1)
+            changes.write_snapshot(box, root, "outbox", batch + 1)
+        changes.write_snapshot(result.source_metrics, root, "metrics", batch + 1)
+        changes.write_snapshot(metrics.run_events(result.source_metrics, now), root, "events", batch + 1)
 
     return step
 
 
-def _state_before(spark: SparkSession, root: str, table: str, schema, batch: int) -> DataFrame:
-    version = history.latest_version(spark, root, table, at_most=batch)
-    if version is None:
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(history.snapshot_path(root, table, version))
-
-
 def start(pages: DataFrame, root: str, checkpoint_dir: str, profile: Profile = Profile(), every: str | None = "10 minutes",
           **options) -> StreamingQuery:
     """Run every interval, or once over all that is there (`every=None`). Further options are those of `batch_step`."""
@@ -71,26 +86,35 @@ def start(pages: DataFrame, root: str, checkpoint_dir: str, profile: Profile = P
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
+# --- first observation per key ----------------------------------------------------------------------------------------
+
+
 def first_seen(events: DataFrame, key: str, at: str) -> DataFrame:
-    """First observation per key, kept for ever: built-in streaming aggregation, to be written in update mode."""
+    """First observation per key: built-in aggregation, also over a stream in update mode."""
     return events.groupBy(key).agg(F.min(at).alias("first_seen_at"))
 
 
 def fold_first_seen(events: DataFrame, key: str, at: str, root: str, checkpoint_dir: str) -> None:
-    """Fold everything a stream holds into `first_seen` snapshots, batch by batch; a replayed batch gives the same version."""
-    schema = f"{key} {events.schema[key].dataType.simpleString()}, first_seen_at timestamp"
-
+    """Append the first observation per key and batch of everything a stream holds, as versions; a replayed batch replaces its own."""
     def step(batch: DataFrame, number: int) -> None:
-        known = _state_before(batch.sparkSession, root, "first_seen", schema, number)
-        merged = known.unionByName(first_seen(batch, key, at)).groupBy(key).agg(F.min("first_seen_at").alias("first_seen_at"))
-        history.write_snapshot(merged, root, "first_seen", number + 1)
+        changes.write_snapshot(first_seen(batch, key, at), root, "first_seen", number + 1)
 
     writer = events.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint_dir)
     writer.trigger(availableNow=True).start().awaitTermination()
 
 
+def read_first_seen(spark: SparkSession, root: str, key: str) -> DataFrame:
+    """First observation per key over all versions."""
+    paths = [changes.snapshot_path(root, "first_seen", version) for version in changes.versions(spark, root, "first_seen")]
+    return first_seen(spark.read.parquet(*paths), key, "first_seen_at")
+
+
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def first_seen_changes(events: DataFrame, key: str, at: str) -> DataFrame:
-    """Emits a key once, when it is first observed; its state never expires. Needs the RocksDB state store."""
+    """Emits a key once, when a batch first holds it, with its earliest time in that batch; its state never expires. Rows without a key or a
+    time are left out. Needs the RocksDB state store, which `stream_first_seen` sets."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
     class FirstSeen(StatefulProcessor):
@@ -107,5 +131,19 @@ def first_seen_changes(events: DataFrame, key: str, at: str) -> DataFrame:
             pass
 
     kind = events.schema[key].dataType.simpleString()
-    return events.select(key, at).groupBy(key).transformWithStateInPandas(
-        FirstSeen(), f"{key} {kind}, first_seen_at timestamp", "append", "none")
+    known = events.select(key, F.col(at).cast("timestamp").alias(at)).dropna()
+    return known.groupBy(key).transformWithStateInPandas(FirstSeen(), f"{key} {kind}, first_seen_at timestamp", "append", "none")
+
+
+def stream_first_seen(events: DataFrame, key: str, at: str, root: str, checkpoint_dir: str) -> None:
+    """Run `first_seen_changes` over all there is, on from where the last run ended, and append new keys to `root`. State is kept per key in
+    RocksDB under `checkpoint_dir`; the file sink takes a replayed batch once."""
+    conf, setting = events.sparkSession.conf, "spark.sql.streaming.stateStore.providerClass"
+    before = conf.get(setting, None)
+    conf.set(setting, ROCKSDB)
+    try:
+        writer = first_seen_changes(events, key, at).writeStream.outputMode("append").option("checkpointLocation", checkpoint_dir)
+        query = writer.format("parquet").option("path", root).trigger(availableNow=True).start()
+    finally:
+        conf.unset(setting) if before is None else conf.set(setting, before)
+    query.awaitTermination()

@@ -5,7 +5,7 @@ from datetime import timedelta
 import pytest
 from listing_cases import NOW
 
-from gigsift.operators import history
+from gigsift.operators import changes, history
 from gigsift.plans import run
 from gigsift.rules import Profile
 from gigsift.schema import DELIVERIES, HISTORY, PAGES
@@ -28,7 +28,7 @@ def rows(spark, *pages):
 
 
 def read(spark, root, name):
-    return spark.read.parquet(f"{root}/{name}").drop("version") if history.latest_version(spark, str(root), name) else None
+    return spark.read.parquet(f"{root}/{name}").drop("version") if changes.versions(spark, str(root), name) else None
 
 
 def test_a_streamed_run_reserves_and_hands_over(spark, tmp_path):
@@ -42,26 +42,35 @@ def test_a_streamed_run_reserves_and_hands_over(spark, tmp_path):
         query = ingest.start(ingest.stream_pages(spark, str(folder)), str(root), str(log), LONE, every=None, clock=lambda: next(clock),
                              attempts=attempts, dry_run=dry_run)
         query.awaitTermination()
-        return {name: history.latest_version(spark, str(root), name) for name in ("history_buckets", "deliveries_buckets", "outbox", "metrics")}
+        return {name: changes.versions(spark, str(root), name) for name in ("history", "identities", "deliveries", "outbox", "metrics")}
 
-    first = once()
-    assert set(first.values()) == {1}
+    assert once() == {name: [1] for name in ("history", "identities", "deliveries", "outbox", "metrics")}
     assert {r.key for r in read(spark, root, "outbox").collect()} == {"freelance_ru:501", "freelance_ru:502"}
     assert read(spark, root, "events").filter("event = 'source_ok'").count() == 1
-
-
-def test_a_version_holds_only_the_buckets_that_changed(spark, tmp_path):
-    record = lambda i, status="seen": (f"{i:064x}", "s", str(i), None, NOW, None, status)
-    table = lambda rows: spark.createDataFrame(rows, HISTORY)
-    rows = [record(i) for i in range(500)]
-    read = lambda version=None: {r.source_id: r.status for r in history.read_state(spark, str(tmp_path), "history", HISTORY, version).collect()}
-    write = lambda new, old, version: history.write_state(table(new), table(old), str(tmp_path), "history", "fingerprint", version)
-    assert len(write(rows, [], 1)) == history.BUCKETS and write(rows, rows, 2) == []
-    assert len(write([*rows, record(1000)], rows, 3)) == 1 and len(read()) == 501 and len(read(2)) == 500
-    changed = [record(0, "pending"), *rows[1:]]
-    write(changed, [*rows, record(1000)], 5)
-    assert read()["0"] == "pending" and "1000" not in read() and read(4)["0"] == "seen"
-    assert history.expire_state(spark, str(tmp_path), "history", 5) and read()["0"] == "pending" and len(read()) == 500
+    # the sender reports, one new listing comes: only what changed is appended, and the listing sent is not offered again
+    told.append(("freelance_ru:501", 0, None, 200, '{"ok": true, "result": {"message_id": 5}}', 60, 0.1, None))
+    rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(501, 502, 503))).write.mode("append").parquet(str(folder))
+    assert once()["history"] == [1, 2]
+    store = changes.Store(spark, root)
+    assert {r.key: r.status for r in store.entries().collect()} == {"freelance_ru:501": "sent", "freelance_ru:502": "pending", "freelance_ru:503": "pending"}
+    appended = spark.read.parquet(changes.snapshot_path(str(root), "history", 2))
+    assert {(r.source_id, r.status) for r in appended.collect()} == {("501", "sent"), ("503", "pending")}
+    assert [r.key for r in spark.read.parquet(changes.snapshot_path(str(root), "outbox", 2)).collect()] == ["freelance_ru:503"]
+    whole = [changes.read_table(spark, str(root), table) for table in (changes.RECORDS, changes.ENTRIES)]
+    assert history.history_problems(*whole).filter("n > 0").collect() == []
+
+
+def test_a_replayed_batch_gives_the_same_and_a_dry_run_writes_nothing(spark, tmp_path):
+    page = rows(spark, ("freelance_ru", "https://freelance.ru/task", feed(501)))
+    reports = []
+    step = lambda **options: ingest.batch_step(str(tmp_path), LONE, clock=lambda: NOW, report=reports.append, **options)
+    step(dry_run=True)(page, 0)
+    assert reports[0].candidates.filter("deliverable").count() == 1 and not list(tmp_path.iterdir())
+    step()(page, 0)
+    state = lambda: [sorted(map(tuple, changes.read_table(spark, str(tmp_path), table).collect())) for table in (changes.RECORDS, changes.ENTRIES)]
+    first = state()
+    step()(page, 0)
+    assert state() == first and [len(rows) for rows in first] == [1, 1] and changes.versions(spark, str(tmp_path), "history") == [1]
 
 
 def test_damaged_state_stops_a_run(spark):

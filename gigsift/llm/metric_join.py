@@ -98,9 +98,9 @@ def folded(sketches: np.ndarray, width: int) -> np.ndarray:
     return sketches
 
 
-def may_link(differing, total):
+def may_link(differing, total, alike: int = ALIKE):
     """Whether sets of `total` shingles together which differ in `differing` or more can be linked: the rule of links, solved for it."""
-    return (ALIKE + OF) * differing <= (OF - ALIKE) * total
+    return (alike + OF) * differing <= (OF - alike) * total
 
 
 def least_difference(left: bytes, right: bytes) -> int:
@@ -334,8 +334,9 @@ def split_regions(regions: DataFrame, sets: DataFrame, number: int, pivots: int
     return links, parts, stuck
 
 
-def block_pairs(regions: DataFrame, points: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(low, high) in one of `regions` (region, point, root) and of different roots, which their sketches do not refuse."""
+def block_pairs(regions: DataFrame, points: DataFrame, block: int = BLOCK, alike: int = ALIKE) -> DataFrame:
+    """(low, high) in one of `regions` (region, point, root) and of different roots, which their sketches do not refuse. `points` has the
+    size and the sketch of each point."""
     rows = regions.join(points, "point")
     sizes = regions.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n"))
     sizes = sizes.withColumn("own", F.when(F.col("n") >= block, F.col("root")))
@@ -372,7 +373,7 @@ def block_pairs(regions: DataFrame, points: DataFrame, block: int = BLOCK) -> Da
         for begin in range(0, len(left), step):
             differing = np.bitwise_count(left[begin:begin + step, None, :] ^ right[None, :, :]).sum(axis=2, dtype=np.int64)
             total = sizes_a[begin:begin + step, None].astype(np.int64) + sizes_b[None, :]
-            open_ = may_link(differing, total) & (roots_a[begin:begin + step, None] != roots_b[None, :])
+            open_ = may_link(differing, total, alike) & (roots_a[begin:begin + step, None] != roots_b[None, :])
             a, b = np.nonzero(open_)
             found.append((points_a[begin + a], points_b[b]))
         a, b = (np.concatenate(side) for side in zip(*found))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name, mix, record_batch, require, stored, utf8, words_of
 from .graph import components
+from .metric_join import OF, block_pairs, sketch_of
 
 SHINGLE, BUDGET, SEED, BITS = 3, 3, 42, 64
 CHUNK, WALK = 1 << 18, 1 << 19
@@ -227,15 +228,17 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 # bits, which the trie join finds, if the first SENT lanes of 64 bits differ in no more than their share of `most`, and if their numbers
 # of shingles allow SIMILAR.
 #
-# Candidates are verified in two passes, so that a dense group is not compared pair by pair: first a forest of candidates for every trie,
-# then all candidates between components of what the first pass has linked. Only candidates that nothing connects are many then.
+# Candidates are verified in passes, so that a dense group is not compared pair by pair: first one candidate of each point, then a forest of
+# candidates for every trie, then what no pass has connected yet: within each family that candidates connect, blocks of points are compared
+# by sketches, which refuse no link, and what these let pass is verified.
 
 PRINTS, SLICE, SIMILAR_SHINGLE = 24, 32, 5
 SIMILAR = (4, 5)  # as a fraction, compared in whole numbers
 MOST = 192  # of 768 bits: 116 differ on average at a similarity of 0.8, give or take 10, and 384 between unrelated texts
 LANES, SENT = PRINTS * SLICE // BITS, 4
 PART_CHUNK, PART_WALK = 1 << 16, 1 << 17
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.binary()), ("size", pa.int32()), ("signature", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("shingles", pa.binary()), ("size", pa.int32()), ("signature", pa.binary()),
+                     ("sketch", pa.binary())])
 _SETS = pa.schema([("shingles", pa.binary()), ("hashes", pa.list_(pa.int64()))])
 _DEALT = pa.schema([("part", pa.int32()), ("rest", pa.int32()), ("point", pa.int64()), ("root", pa.int64()), ("size", pa.int32()), ("bits", pa.binary())])
 _OFFSETS = mix(np.arange(11, 11 + LANES, dtype=np.uint64))
@@ -271,14 +274,16 @@ def _set_name(hashes: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """(doc_id, text_hash, shingles, size, signature) of every row: a name of the set of its shingles, their number, and its signature."""
+    """(doc_id, text_hash, shingles, size, signature, sketch) of every row: a name of the set of its shingles, their number, its signature,
+    and its sketch, of which two differ in no more bits than the sets differ in shingles."""
     def run(batches):
         for batch in batches:
             sets = [shingle_set(words_of(text), shingle) for text in utf8(batch.column(2))]
-            yield record_batch(_SIGNED, (batch.column(0), batch.column(1), list(map(_set_name, sets)), list(map(len, sets)), list(map(_signature, sets))))
+            yield record_batch(_SIGNED, (batch.column(0), batch.column(1), list(map(_set_name, sets)), list(map(len, sets)), list(map(_signature, sets)),
+                                         list(map(sketch_of, sets))))
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("text_hash"), "text").mapInArrow(
-        run, "doc_id long, text_hash long, shingles binary, size int, signature binary")
+        run, "doc_id long, text_hash long, shingles binary, size int, signature binary, sketch binary")
 
 
 def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, unite: bool = True) -> DataFrame:
@@ -348,9 +353,8 @@ def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, uni
     return dealt.repartition("part").sortWithinPartitions("part", "rest").mapInArrow(run, "low long, high long").distinct()
 
 
-def verified(links: DataFrame, points: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """Those of `links` (low, high) whose points have shingles of a similarity of SIMILAR or more. The sets are made again from the texts
-    of the points that have links; each link meets its two sets in joins."""
+def shingle_sets(links: DataFrame, points: DataFrame, docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(point, hashes) of the points that `links` (low, high) join. The sets are made again from the texts of these points."""
     def run(batches):
         for batch in batches:
             sets = [shingle_set(words_of(text), shingle) for text in utf8(batch.column(0))]
@@ -361,7 +365,11 @@ def verified(links: DataFrame, points: DataFrame, docs: DataFrame, shingle: int
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.join(wanted.select("wanted").distinct(), F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi").select("text")
     made = texts.mapInArrow(run, "shingles binary, hashes array<long>")
-    sets = stored(wanted.select("point", "shingles").join(made, "shingles").dropDuplicates(["point"]).select("point", "hashes"), "shingle-sets")
+    return stored(wanted.select("point", "shingles").join(made, "shingles").dropDuplicates(["point"]).select("point", "hashes"), "shingle-sets")
+
+
+def verified(links: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of `links` (low, high) whose points have shingles of a similarity of SIMILAR or more; each link meets its two sets in joins."""
     both = (links.join(sets.select(F.col("point").alias("low"), F.col("hashes").alias("a")), "low")
             .join(sets.select(F.col("point").alias("high"), F.col("hashes").alias("b")), "high"))
     shared, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
@@ -369,17 +377,39 @@ def verified(links: DataFrame, points: DataFrame, docs: DataFrame, shingle: int
     return both.filter((SIMILAR[0] + SIMILAR[1]) * shared >= SIMILAR[0] * total).select("low", "high")
 
 
+def _apart(links: DataFrame, trees: DataFrame) -> DataFrame:
+    """Those of `links` whose ends `trees` (node, root) does not connect."""
+    root = lambda end: trees.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    met = links.join(root("low"), "low", "left").join(root("high"), "high", "left")
+    return met.filter("coalesce(low_root, low) <> coalesce(high_root, high)").select("low", "high")
+
+
 def similar_roots(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = MOST) -> DataFrame:
     """(doc_id, text_hash, root) of every row of `docs`: rows have one root if links of a similarity of SIMILAR or more connect them."""
     signed = stored(signatures(docs, shingle), "document-signatures")
-    points = stored(signed.groupBy("shingles").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"))
+    points = stored(signed.groupBy("shingles").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"),
+                                                        F.first("sketch").alias("sketch"))
                     .withColumn("point", F.monotonically_increasing_id()), "signatures")
     forest = stored(similar_links(points.withColumn("root", F.col("point")), most), "candidates")
-    held = stored(verified(forest, points, docs, shingle), "verified-links")
+    sets = shingle_sets(forest, points, docs, shingle)
+    # of the candidates of a point the first one alone, then those between points that nothing connects yet
+    first = stored(forest.groupBy("high").agg(F.min("low").alias("low")).select("low", "high"), "first-candidates")
+    held = stored(verified(first, sets), "verified-links")
+    trees = stored(components(held), "trees")
+    rest = _apart(forest.join(first, ["low", "high"], "left_anti"), trees)
+    held = stored(held.union(verified(rest, sets)), "verified-links")
     trees = stored(components(held), "trees")
-    rooted = points.join(trees.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point"))
-    others = stored(similar_links(rooted, most, unite=False).join(forest, ["low", "high"], "left_anti"), "candidates")
-    more = verified(others, points, docs, shingle)
+    rooted = stored(points.join(trees.withColumnRenamed("node", "point"), "point", "left").withColumn("root", F.coalesce("root", "point")), "rooted-points")
+    # families: what candidates between different trees connect; all pairs of different trees in a family are compared by their sketches
+    loose = similar_links(rooted, most)
+    tree = lambda end: rooted.select(F.col("point").alias(end), F.col("root").alias(f"{end}_root"))
+    between = loose.join(tree("low"), "low").join(tree("high"), "high").select(
+        F.least("low_root", "high_root").alias("low"), F.greatest("low_root", "high_root").alias("high")).filter("low < high")
+    families = components(between).select(F.col("node").alias("root"), F.col("root").alias("region"))
+    regions = stored(rooted.join(families, "root").select("region", "point", "root"), "families")
+    alike = OF * SIMILAR[0] // SIMILAR[1]
+    others = stored(block_pairs(regions, points.select("point", "size", "sketch"), alike=alike), "candidates")
+    more = verified(others, shingle_sets(others, points, docs, shingle))
     tied = components(held.union(more)).withColumnRenamed("node", "point")
     named = points.join(tied, "point", "left").select("shingles", F.coalesce("root", "point").alias("root"))
     return signed.join(named, "shingles").select("doc_id", "text_hash", "root")

@@ -179,27 +179,35 @@ def retain(deliveries: DataFrame, limit: int, adding: int = 1) -> DataFrame:
     return deliveries.join(oldest.select("key"), "key", "left_anti")
 
 
-def fold_state(log: DataFrame, bucket: str = "day") -> DataFrame:
+def log_stretches(log: DataFrame) -> DataFrame:
+    """The log dealt by ranges of (key, ts, seq), with the number of its range as `_stretch`: a busy key is cut into many."""
+    return log.repartitionByRange("key", "ts", "seq").withColumn("_stretch", F.spark_partition_id())
+
+
+def fold_state(log: DataFrame) -> DataFrame:
     """Final state per key of an action log (key, ts, seq, action: observe, reserve, sent, release).
 
-    A key's log is scanned in two levels, so that one busy key never has to be sorted in one task: inside time buckets,
-    then over one summary row per bucket.
+    A stretch of a key's log is a function of whether the key is reserved at its start. Each stretch is summed to that function (first
+    observation, first delivery if reserved before, first delivery in any case, whether reserved at the end); the functions of a key, one
+    row per stretch, are composed in order. No task sorts more of a key than a range holds.
     """
     c = F.col
-    rows = log.withColumns({"_bucket": F.date_trunc(bucket, "ts"), "_at": F.struct("ts", "seq"),
-                            "_open": F.when(c("action") == "reserve", True).when(c("action") == "release", False)})
-    ends = rows.filter(c("_open").isNotNull()).groupBy("key", "_bucket").agg(F.max_by("_open", "_at").alias("_end"))
-    buckets = rows.select("key", "_bucket").distinct().join(ends, ["key", "_bucket"], "left")
-    earlier = Window.partitionBy("key").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    carried = buckets.withColumn("_carried", F.last("_end", ignorenulls=True).over(earlier)).select("key", "_bucket", "_carried")
-    inside = Window.partitionBy("key", "_bucket").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.last("_open", ignorenulls=True).over(inside), c("_carried"), F.lit(False))
-    scanned = rows.join(carried, ["key", "_bucket"]).withColumn("_was_open", before)
-    effective = (c("action") == "sent") & c("_was_open")
-    final = scanned.groupBy("key").agg(
+    open_ = F.when(c("action") == "reserve", True).when(c("action") == "release", False)
+    rows = log_stretches(log.select("key", "ts", "seq", "action")).withColumn("_open", open_)
+    inside = Window.partitionBy("key", "_stretch").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, -1)
+    scanned = rows.withColumn("_was_open", F.last("_open", ignorenulls=True).over(inside))
+    sent = c("action") == "sent"
+    functions = scanned.groupBy("key", "_stretch").agg(
         F.min(F.when(c("action").isin("observe", "reserve"), c("ts"))).alias("first_seen_at"),
-        F.min(F.when(effective, c("ts"))).alias("sent_at"),
-        F.max_by("_open", F.when(c("_open").isNotNull(), c("_at"))).alias("_open"))
+        F.min(F.when(sent & c("_was_open"), c("ts"))).alias("_sent"),
+        F.min(F.when(sent & c("_was_open").isNull(), c("ts"))).alias("_sent_if_open"),
+        F.max_by("_open", F.when(c("_open").isNotNull(), F.struct("ts", "seq"))).alias("_end"))
+    earlier = Window.partitionBy("key").orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    begun = functions.withColumn("_begin", F.last("_end", ignorenulls=True).over(earlier))
+    final = begun.groupBy("key").agg(
+        F.min("first_seen_at").alias("first_seen_at"),
+        F.min(F.least("_sent", F.when(c("_begin"), c("_sent_if_open")))).alias("sent_at"),
+        F.max_by("_end", F.when(c("_end").isNotNull(), c("_stretch"))).alias("_open"))
     status = F.when(c("sent_at").isNotNull(), "sent").when(c("_open"), "pending").otherwise("seen")
     return final.filter(c("first_seen_at").isNotNull()).select("key", status.alias("status"), "first_seen_at", "sent_at")
 

@@ -142,6 +142,30 @@ def test_first_come_matches_the_sequential_rule_in_few_rounds(spark):
     assert found == sequential(asked, offered) and len(rounds) <= 14
 
 
+def test_a_busy_key_is_folded_in_even_stretches(spark):
+    random, rows = Random(8), []
+    for seq in range(3000):  # a third of all events is one key's, within one day
+        key = 7 if seq % 3 == 0 else 100 + random.randrange(400)
+        rows.append((key, (NOW + timedelta(seconds=random.randrange(80_000))).replace(tzinfo=None), seq, random.choice(("observe", "reserve", "release", "sent"))))
+    log = spark.createDataFrame(rows, "key long, ts timestamp, seq long, action string").repartition(8)
+    expected = {}
+    for key, at, seq, action in sorted(rows):
+        seen, sent, is_open = expected.get(key, (None, None, False))
+        if action in ("observe", "reserve"):
+            seen = seen or at
+        if action == "sent" and is_open:
+            sent = sent or at
+        expected[key] = seen, sent, action == "reserve" or (is_open and action != "release")
+    found = {r.key: (r.first_seen_at, r.sent_at, r.status) for r in history.fold_state(log).collect()}
+    assert found == {key: (seen, sent, "sent" if sent else "pending" if is_open else "seen") for key, (seen, sent, is_open) in expected.items() if seen}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in history.log_stretches(log).filter("key = 7").groupBy("_stretch").count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sum(sizes) == 1000 and max(sizes) <= 600
+
+
 def test_within_source_duplicates_follow_the_sequential_rule(listings):
     url = "https://freelance.ru/task/view/%d"
     a, b, c = {"source_id": "1", "url": url % 1}, {"source_id": "2", "url": url % 2}, {"source_id": "1", "url": url % 2}

@@ -175,8 +175,40 @@ def retain(deliveries: DataFrame, limit: int, adding: int = 1) -> DataFrame:
         return deliveries
     if sent < excess:
         raise StateError("too many pending deliveries: reconcile uncertain sends first")
-    oldest = ranked(deliveries.filter("status = 'sent'").select("sent_at", "key"), [F.col("sent_at"), F.col("key")]).filter(F.col("rank") <= excess)
-    return deliveries.join(oldest.select("key"), "key", "left_anti")
+    return deliveries.filter(~((F.col("status") == "sent") & _among_oldest(deliveries.filter("status = 'sent'"), excess)))
+
+
+FAN = 1024  # ranges of time counted per pass
+
+
+def _among_oldest(sent: DataFrame, n: int) -> Column:
+    """Whether a row is one of the `n` first of `sent` by sent_at and key: counting passes narrow down the time of the n-th row, then, among
+    rows of that time, its key, sign by sign. A pass returns as many counts as there are ranges or signs; nothing is sorted."""
+    c = F.col
+    at = F.coalesce(F.unix_micros(F.col("sent_at").cast("timestamp")), F.lit(-(1 << 60)))
+    slim = checkpoint(sent.select(at.alias("at"), "key"))
+
+    def narrowed(rows: DataFrame, by: Column, left: int) -> tuple:
+        """(value of `by` in which row `left` lies, how many of its rows are wanted, how many it has)."""
+        for value, count in sorted((row["by"], row["n"]) for row in rows.groupBy(by.alias("by")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if left <= count:
+                return value, left, count
+            left -= count
+
+    low, high = slim.agg(F.min("at"), F.max("at")).first()
+    left = n
+    while low < high:
+        width = (high - low) // FAN + 1
+        part, left, _ = narrowed(slim.filter(c("at").between(low, high)), F.expr(f"(at - {low}L) div {width}L"), left)
+        low, high = low + part * width, min(high, low + (part + 1) * width - 1)
+    ties, prefix = slim.filter(c("at") == low), ""
+    whole = ties.count()
+    while left < whole:
+        sign, left, whole = narrowed(ties.filter(c("key").startswith(prefix)), F.substring("key", len(prefix) + 1, 1), left)
+        if not sign:  # the key ends here
+            return (at < low) | ((at == low) & (c("key") <= prefix))
+        prefix += sign
+    return (at < low) | ((at == low) & ((c("key") < prefix) | c("key").startswith(prefix)))
 
 
 def log_stretches(log: DataFrame) -> DataFrame:

@@ -120,6 +120,19 @@ def test_retention_drops_the_oldest_sent(spark):
     assert kept == {str(i) for i in range(120)} - set(gone)
 
 
+def test_retention_is_exact_among_equal_times_without_a_sort(spark):
+    random = Random(3)
+    keys = [f"s:{'x' * random.randrange(3)}{i}" for i in range(200)] + ["s:é1", "s:😀", "s:"]
+    rows = [(key, "s", key[2:], "sent", NOW, NOW - timedelta(days=random.choice((0, 0, 1, 400))), None) for key in keys]
+    deliveries = spark.createDataFrame(rows, DELIVERIES)
+    order = sorted(rows, key=lambda row: (row[5], row[0].encode()))
+    for excess in (1, 40, 97, 150, 202):
+        kept = history.retain(deliveries, len(rows) + 1 - excess)
+        assert {r.key for r in kept.collect()} == {row[0] for row in order[excess:]}
+    plan = history.retain(deliveries, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and "Exchange" not in plan
+
+
 def sequential(asked, offered):
     taken, given = set(), set()
     for row in sorted(asked):

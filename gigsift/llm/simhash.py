@@ -229,10 +229,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, budget: int = BUDGE
 # of shingles allow SIMILAR.
 #
 # Candidates are verified in passes, so that a dense group is not compared pair by pair: first one candidate of each point, then a forest of
-# candidates for every trie, then what no pass has connected yet: within each family that candidates connect, blocks of points are compared
-# by sketches, which refuse no link, and what these let pass is verified.
+# candidates for every trie of the first EARLY fingerprints, which connects most of what is alike. The tries of all fingerprints are walked
+# then, for what is not connected yet: within each family that candidates connect, blocks of points are compared by sketches, which refuse
+# no link, and what these let pass is verified. What EARLY leaves out is thus found later; it decides the work alone.
 
 PRINTS, SLICE, SIMILAR_SHINGLE = 24, 32, 5
+EARLY = 8
 SIMILAR = (4, 5)  # as a fraction, compared in whole numbers
 MOST = 192  # of 768 bits: 116 differ on average at a similarity of 0.8, give or take 10, and 384 between unrelated texts
 LANES, SENT = PRINTS * SLICE // BITS, 4
@@ -286,9 +288,9 @@ def signatures(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
         run, "doc_id long, text_hash long, shingles binary, size int, signature binary, sketch binary")
 
 
-def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, unite: bool = True) -> DataFrame:
-    """(low, high) candidates among `points` (point, root, size, signature) of different roots: with `unite` those of a spanning forest
-    for every trie, without it all."""
+def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, unite: bool = True, prints: int = PRINTS) -> DataFrame:
+    """(low, high) candidates among `points` (point, root, size, signature) of different roots, by the first `prints` fingerprints: with
+    `unite` those of a spanning forest for every trie, without it all."""
     turns, block = budget + 1, SLICE // (budget + 1)
     allowed = most * SENT // LANES
     numerator, denominator = SIMILAR
@@ -299,7 +301,7 @@ def similar_links(points: DataFrame, most: int = MOST, budget: int = BUDGET, uni
                 continue
             slices = np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype=">u4").reshape(-1, PRINTS).astype(np.uint32)
             sent = pa.array([bits[:SENT * BITS // 8] for bits in batch.column(3).to_pylist()], pa.binary())
-            for place in range(PRINTS):
+            for place in range(prints):
                 for turn in range(turns):
                     by = np.uint32(turn * block)
                     own = slices[:, place] if turn == 0 else (slices[:, place] << by) | (slices[:, place] >> np.uint32(SLICE - turn * block))
@@ -390,7 +392,7 @@ def similar_roots(docs: DataFrame, shingle: int = SIMILAR_SHINGLE, most: int = M
     points = stored(signed.groupBy("shingles").agg(F.min("doc_id").alias("first"), F.first("size").alias("size"), F.first("signature").alias("signature"),
                                                         F.first("sketch").alias("sketch"))
                     .withColumn("point", F.monotonically_increasing_id()), "signatures")
-    forest = stored(similar_links(points.withColumn("root", F.col("point")), most), "candidates")
+    forest = stored(similar_links(points.withColumn("root", F.col("point")), most, prints=EARLY), "candidates")
     sets = shingle_sets(forest, points, docs, shingle)
     # of the candidates of a point the first one alone, then those between points that nothing connects yet
     first = stored(forest.groupBy("high").agg(F.min("low").alias("low")).select("low", "high"), "first-candidates")

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from .. import vocab
 from ..functions.urls import safe_url, url_host, url_path, url_query
-from ..operators.skew import spread_join
+from ..operators.skew import matched_groups, spread_join
 from ..rules import Profile
+from ..session import checkpoint
 from .html import attribute, find_all, tag, with_page
 
 RULE_KEYS = ("allow", "disallow", "crawl-delay", "request-rate")
@@ -64,34 +65,52 @@ def robots_rules(robots: DataFrame, agent: str) -> DataFrame:
     return judged.filter(~c("_agent") & (c("_rank") == c("_best"))).select("host", "pos", "key", "value")
 
 
-def rules_by_host(rules: DataFrame) -> DataFrame:
-    """(host, rules): path rules of each host in one small array with ready patterns."""
+def rules_by_stem(rules: DataFrame) -> DataFrame:
+    """(host, stem, size, allow, wild): path rules by the literal text they start with. size and allow are those of the rule that is
+    nothing but this text, NULL without one; `wild` holds the rules with wildcards or an end mark behind it, with ready patterns."""
     c = F.col
     path_rules = rules.filter(c("key").isin("allow", "disallow") & (c("value") != ""))
     ends = c("value").endswith("$")
-    stem = F.when(ends, F.expr("substring(value, 1, length(value) - 1)")).otherwise(c("value"))
-    quoted = F.array_join(F.transform(F.split(stem, r"\*"), lambda s: F.concat(F.lit(r"\Q"), s, F.lit(r"\E"))), ".*")
+    body = F.when(ends, F.expr("substring(value, 1, length(value) - 1)")).otherwise(c("value"))
+    quoted = F.array_join(F.transform(F.split(body, r"\*"), lambda s: F.concat(F.lit(r"\Q"), s, F.lit(r"\E"))), ".*")
     wild = ends | c("value").contains("*")
-    rule = F.struct(
-        F.length(F.regexp_replace(F.replace("value", F.lit("*"), F.lit("")), r"\$+\z", "")).alias("size"), (c("key") == "allow").alias("allow"),
-        F.when(~wild, c("value")).alias("prefix"),
-        F.when(wild, F.concat(F.lit(r"\A"), quoted, F.when(ends, r"\z").otherwise(""))).alias("pattern"))
-    return path_rules.groupBy("host").agg(F.collect_list(rule).alias("rules"))
+    size = F.length(F.regexp_replace(F.replace("value", F.lit("*"), F.lit("")), r"\$+\z", ""))
+    allow = c("key") == "allow"
+    pattern = F.concat(F.lit(r"\A"), quoted, F.when(ends, r"\z").otherwise(""))
+    return path_rules.groupBy("host", F.substring_index(body, "*", 1).alias("stem")).agg(
+        F.max(F.when(~wild, size)).alias("size"), F.max(F.when(~wild, allow)).alias("allow"),
+        F.collect_set(F.when(wild, F.struct(size.alias("size"), allow.alias("allow"), pattern.alias("pattern")))).alias("wild"))
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Add `allowed` to rows with `url`: the longest matching rule decides, allow wins ties, no match allows."""
+    """Add `allowed` to rows with `url`: the longest matching rule decides, allow wins ties, no match allows.
+
+    Each distinct path is judged once. It is cut at the lengths that stems of its host have, and each cut meets the rules of its stem
+    in a join, so the work per path follows its length and not the number of rules; only wildcard rules of a stem that the path starts
+    with are tried one by one. All three joins spread hosts, stems and paths that hold many rows; what a join reads several times is
+    checkpointed.
+    """
     c = F.col
     query = url_query(c("url"))
     # a host without a name keeps its NULL key, which spread_join distributes
     rows = urls.withColumns({"_host": F.nullif(url_host(c("url")), F.lit("")),
                              "_path": F.concat(url_path(c("url")), F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))})
-    hosts = rows.filter(c("_host").isNotNull()).groupBy("_host").agg(F.count(F.lit(1)).alias("_n"))
-    groups = hosts.join(rules_by_host(rules).withColumnRenamed("host", "_host"), "_host")
-    joined = spread_join(rows, groups, ["_host"], "_n", F.col("url"))
-    hit = lambda r: F.coalesce(c("_path").startswith(r["prefix"]), F.rlike(c("_path"), r["pattern"]))
-    best = F.array_max(F.transform(F.filter("rules", hit), lambda r: F.struct(r["size"], r["allow"].alias("allow"))))
-    return joined.withColumn("allowed", F.coalesce(best["allow"], F.lit(True))).select(*urls.columns, "allowed")
+    stems = checkpoint(rules_by_stem(rules).withColumnRenamed("host", "_host"))
+    lengths = stems.groupBy("_host").agg(F.collect_set(F.length("stem")).alias("_lengths"))
+    paths = rows.filter(c("_host").isNotNull() & c("_path").isNotNull()).groupBy("_host", "_path").agg(F.count(F.lit(1)).alias("_n"))
+    hosts = paths.groupBy("_host").agg(F.count(F.lit(1)).alias("_paths")).join(lengths, "_host")
+    ruled = spread_join(paths, hosts, ["_host"], "_paths", c("_path"), "inner")
+    cut = checkpoint(ruled.select("_host", "_path", "_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_path"))).alias("_size")).select(
+        "_host", "_path", "_n", F.expr("substring(_path, 1, _size)").alias("stem")))
+    probes = matched_groups(cut, stems, ["_host", "stem"], "_cuts")
+    met = spread_join(cut, probes, ["_host", "stem"], "_cuts", c("_path"), "inner")
+    fits = F.filter("wild", lambda r: F.rlike(c("_path"), r["pattern"]))
+    plain = F.when(c("size").isNotNull(), F.struct("size", "allow"))
+    best = F.greatest(plain, F.array_max(F.transform(fits, lambda r: F.struct(r["size"].alias("size"), r["allow"].alias("allow")))))
+    judged = checkpoint(met.withColumn("_best", best).filter(c("_best").isNotNull()).groupBy("_host", "_path").agg(
+        F.max("_best").alias("_best"), F.max("_n").alias("_n")))
+    joined = spread_join(rows, judged, ["_host", "_path"], "_n", c("url"))
+    return joined.withColumn("allowed", F.coalesce(c("_best.allow"), F.lit(True))).select(*urls.columns, "allowed")
 
 
 def crawl_delays(rules: DataFrame) -> DataFrame:

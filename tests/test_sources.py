@@ -1,5 +1,7 @@
 """Extraction per layout, page errors, detail cards, pagination, robots, fetch log, chats."""
 
+import random
+import re
 from datetime import timedelta
 from decimal import Decimal
 
@@ -170,6 +172,43 @@ Crawl-delay: x
     assert delays == {"a.example": (2.0, False), "b.example": (12.0, False)}
 
 
+def allowed_plainly(path, rules):
+    """Longest matching rule by trying them all."""
+    best = (-1, True)
+    for key, value in rules:
+        body = value[:-1] if value.endswith("$") else value
+        pattern = ".*".join(re.escape(part) for part in body.split("*")) + (r"\Z" if value.endswith("$") else "")
+        if value and re.match(pattern, path):
+            best = max(best, (len(value.replace("*", "").rstrip("$")), key == "allow"))
+    return best[1]
+
+
+def test_robots_match_like_trying_every_rule(spark):
+    draw = random.Random(8)
+    word = lambda: "/" + "".join(draw.choice("ab") for _ in range(draw.randrange(1, 4)))
+    rules = {host: [(draw.choice(("allow", "disallow")), "".join(word() for _ in range(draw.randrange(1, 4))) + draw.choice(("", "", "$", "*", "*a$", "*b")))
+                    for _ in range(size)] + [("disallow", ""), ("allow", "*aab")] for host, size in (("many.example", 3000), ("few.example", 6))}
+    table = spark.createDataFrame([(host, i, *rule) for host, own in rules.items() for i, rule in enumerate(own)], "host string, pos int, key string, value string")
+    paths = ["/", *("".join(word() for _ in range(draw.randrange(1, 5))) for _ in range(300))]
+    urls = [(i, f"https://{host}{path}") for host in (*rules, "none.example") for i, path in enumerate(paths)] + [(-1, None), (-2, "no url"), (0, f"https://few.example{paths[0]}")]
+    got = frontier.robots_allowed(spark.createDataFrame(urls, "i int, url string"), table).collect()
+    assert len(got) == len(urls)
+    for row in got:
+        host = (row.url or "").removeprefix("https://").split("/", 1)[0]
+        expected = allowed_plainly(paths[row.i], rules[host]) if row.i >= 0 and host in rules else True
+        assert row.allowed == expected, row
+
+
+def test_robots_cut_a_path_by_its_length_alone(spark):
+    """10 000 rules on one host: a path meets the rules of its own cuts, not all of them."""
+    numbers = spark.range(10_000)
+    rules = numbers.select(F.lit("a.example").alias("host"), F.col("id").cast("int").alias("pos"), F.lit("disallow").alias("key"), F.concat(F.lit("/p"), "id").alias("value"))
+    stems = frontier.rules_by_stem(rules)
+    assert stems.select(F.max(F.size("wild")), F.count("size"), F.countDistinct(F.length("stem"))).first() == (0, 10_000, 4)
+    urls = numbers.select(F.concat(F.lit("https://a.example/"), F.when(F.col("id") % 2 == 0, "p").otherwise("q"), "id").alias("url"))
+    assert frontier.robots_allowed(urls, rules).filter("allowed").count() == 5000
+
+
 def test_fetch_log(spark):
     cases = [((200, "text/html; charset=utf-8", 10, 1.0, False), None), ((404, "text/plain", 1, 1.0, True), None),
              ((404, "text/html", 1, 1.0, False), "unexpected_http_status"), ((503, "text/html", 1, 1.0, False), "temporary_http_error"),

@@ -96,6 +96,19 @@ def test_links_are_those_of_a_similarity_of_four_fifths(spark):
     assert sum(linked_pairs) >= 0.99 * sum(alike)
 
 
+def test_the_first_walk_decides_the_work_alone(spark, monkeypatch):
+    base, texts = [helpers.words(50 + i, 60) for i in range(6)], []
+    for number, own in enumerate(base):
+        own = own.split() if isinstance(own, str) else list(own)
+        for change in range(8):  # from equal texts to such just below the bound
+            texts.append(" ".join([*own[:len(own) - change], *(f"new{number}x{change}y{k}" for k in range(change))]))
+    found = []
+    for early in (1, op.PRINTS):
+        monkeypatch.setattr(op, "EARLY", early)
+        found.append({r.doc_id: r.component_id for r in op.similar_groups(helpers.table(spark, texts)).collect()})
+    assert found[0] == found[1] and len(found[0]) == len(texts) and 6 <= len(set(found[0].values())) < len(texts)
+
+
 def test_repeated_shingles_count_once(spark):
     head, tail = helpers.words(1, 60, 9000), helpers.words(2, 40, 9000)
     texts = [f"{head} " + "again and again and over " * 60, "again and again and over " * 60 + tail]

@@ -1,8 +1,9 @@
 """Extraction per layout, page errors, detail cards, pagination, robots, fetch log, chats."""
 
+import json
 import random
 import re
-from datetime import timedelta
+from datetime import datetime, timedelta
 from decimal import Decimal
 
 import pages as html
@@ -253,3 +254,20 @@ def test_html_files_are_a_page_corpus(spark, tmp_path):
     pages = scan.read_pages(spark, str(tmp_path), "html")
     assert [(r.source, r.html) for r in pages.select("source", "html").collect()] == [("habr_freelance", html.HABR)]
     assert extract(pages, LAYOUTS["habr_freelance"], NOW).filter("card_state = 'ok'").count() == 2
+
+
+def test_a_result_is_written_in_candidate_order(spark, tmp_path):
+    summary = spark.createDataFrame([("run-1", 3)], "run_id string, found int")
+    schema = "key string, score int, age_hours double, responses_count int, budget_min decimal(12,2), budget_max decimal(12,2), published_at timestamp"
+    rows = [(f"k{i:03}", i % 4, None if i % 5 == 0 else float(i % 3), None if i % 7 == 0 else i % 6, Decimal("10.50") if i % 2 else None, None, NOW) for i in range(200)]
+    for _ in range(2):  # a second run replaces the first one's documents
+        scan.write_result(summary, spark.createDataFrame(rows, schema).repartition(5), str(tmp_path))
+    read = lambda name: [json.loads(line) for part in sorted((tmp_path / name).glob("part-*")) for line in part.read_text().splitlines()]
+    assert read("summary") == [{"run_id": "run-1", "found": 3}]
+    last = float("inf")
+    rank = lambda r: (-r[1], last if r[2] is None else r[2], last if r[3] is None else r[3], r[0])
+    found = read("projects")
+    assert [d["key"] for d in found] == [r[0] for r in sorted(rows, key=rank)]
+    by_key = {d["key"]: d for d in found}
+    assert by_key["k001"]["budget_min"] == "10.50" and by_key["k002"]["budget_min"] is None and "budget_max" in by_key["k002"]
+    assert datetime.fromisoformat(by_key["k001"]["published_at"]).timestamp() == NOW.replace(microsecond=0).timestamp()

@@ -1,19 +1,22 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences, which end at . ! ? before white space, at their full-width forms and at line breaks; sentences of more
-than LONGEST words are cut into pieces of that many, which count as sentences. Every run of RUN consecutive sentences with LEAST_WORDS
-words or more is hashed (a text of fewer sentences is one run). Runs are joined globally: the first occurrence is the one of the smallest
-doc_id, and in it the first; sentences covered by any other occurrence are removed. Case and white space make no difference.
-
-Defined results: null and empty texts have no sentences; rows of one doc_id are one document, and what is removed from one of them is
-removed from all; rows with a null doc_id are neither compared nor changed; ties cannot occur, as an occurrence is a doc_id and a place;
-other columns pass through. Memory: one Arrow batch per task; what is grouped by document are the spans within that document. A run that
-a large share of documents holds meets its first occurrence in a sort-merge join, whose partitions adaptive execution splits.
+A text is cut into sentences, which end at . ! ? before white space, at their full-width forms and at line breaks. Sentences of more
+than LONGEST words are cut into pieces, which count as sentences, where the hash of two neighbouring words is the smallest among the REACH
+to both sides: that depends on the words around alone, so a passage is cut alike wherever it begins. Every run of RUN consecutive sentences
+with LEAST_WORDS words or more is hashed, and of RUN - 1 with ENOUGH_WORDS (a text of fewer sentences is one run; a run that two such
+shorter ones cover is left out). Runs are joined globally: the first occurrence is that of the smallest doc_id, and in it the first;
+sentences covered by any other occurrence are removed. Case and white space make no difference.
+
+Defined results: null and empty texts have no sentences; every row is a document of its own, also where rows share a doc_id (then ordered
+by a hash of the text, so of equal rows one stays whole); rows with a null doc_id come after all others; other columns pass through.
+Memory: one Arrow batch per task; what is grouped by row are the spans within that row. A run that a large share of documents holds meets
+its first occurrence in a sort-merge join, whose partitions adaptive execution splits. Work on a text is linear in its length.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -22,92 +25,127 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import ddl_of, free_name, mix, record_batch, require, stored
 
-RUN, LONGEST, LEAST_WORDS = 3, 16, 8
-_BREAK = re.compile(r"\s*\n\s*|(?<=[.!?])\s+|(?<=[。！？])\s*")
+RUN, LONGEST, LEAST_WORDS, ENOUGH_WORDS, REACH = 3, 16, 8, 24, 4
+_BREAK = re.compile(r"\n|[.!?](?=\s)|[。！？]")
 _WORD, _SPACE = re.compile(r"\S+"), re.compile(r"\s*")
 _RANDOM = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
-_RUNS = pa.schema([("doc_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("start", pa.int32()), ("end", pa.int32()),
-                   ("h1", pa.int64()), ("h2", pa.int64())])
+_RUNS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("size", pa.int32()),
+                   ("start", pa.int32()), ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+
+def cuts(words: list[str], longest: int = LONGEST, reach: int = REACH) -> list[int]:
+    """Places before which a long sentence is cut, the first and the last included; no piece has more than twice `longest` words."""
+    hashes = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}".encode("utf-8", "replace")) for a, b in pairwise(words)], dtype=np.uint64)
+    size, wide = len(hashes), np.pad(hashes, reach, constant_values=np.iinfo(np.uint64).max)
+    low = np.ones(size, dtype=bool)
+    for step in range(1, reach + 1):
+        low &= (hashes < wide[reach - step:reach - step + size]) & (hashes <= wide[reach + step:reach + step + size])
+    found = []
+    for begin, end in pairwise([0, *(np.flatnonzero(low) + 1).tolist(), len(words)]):
+        found.extend(range(begin, end, 2 * longest))
+    return [*found, len(words)]
+
+
+def sentences_and_words(text: str, longest: int = LONGEST):
+    """Start, end and lower-case words of every sentence, without the white space around it."""
+    at = 0
+    for stop in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
+        part = text[at:stop]
+        bare = part.lstrip()
+        start, at = at + len(part) - len(bare), stop
+        words = bare.lower().split()
+        if not words:
+            continue
+        if len(words) <= longest:
+            yield start, start + len(bare.rstrip()), words
+            continue
+        places = [m.span() for m in _WORD.finditer(text, start, stop)]
+        for begin, end in pairwise(cuts(words, longest)):
+            yield places[begin][0], places[end - 1][1], words[begin:end]
 
 
 def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
-    """Start and end of every sentence, without the white space around it."""
-    found, at = [], 0
-    for gap in [*((m.start(), m.end()) for m in _BREAK.finditer(text)), (len(text), len(text))]:
-        start, end = at, gap[0]
-        at = gap[1]
-        if start >= end or not text[start:end].strip():
-            continue
-        if text.count(" ", start, end) < longest:
-            found.append((start, end))
-            continue
-        words = [(m.start(), m.end()) for m in _WORD.finditer(text, start, end)]
-        found.extend((words[i][0], words[min(i + longest, len(words)) - 1][1]) for i in range(0, len(words), longest))
-    return found
+    """Start and end of every sentence."""
+    return [(start, end) for start, end, _ in sentences_and_words(text, longest)]
 
 
-def runs_of(text: str, run: int = RUN, least: int = LEAST_WORDS) -> tuple[np.ndarray, ...]:
+def runs_of(text: str, run: int = RUN, least: int = LEAST_WORDS, enough: int = ENOUGH_WORDS) -> tuple[np.ndarray, ...]:
     """First sentence, number of sentences, start, end and two hashes of every run of a text."""
-    places = sentences(text)
-    size = min(run, len(places))
-    if not size:
+    found = list(sentences_and_words(text))
+    if not found:
         return tuple(np.empty(0, dtype=np.int64) for _ in range(6))
-    words = [text[start:end].lower().split() for start, end in places]
+    begins, ends, words = zip(*found)
+    begins, ends, sums = np.array(begins), np.array(ends), np.cumsum([0, *map(len, words)])
     digests = b"".join(xxhash.xxh3_128_digest(" ".join(w).encode("utf-8", "replace")) for w in words)
     lanes = np.frombuffer(digests, dtype="<u8").reshape(-1, 2)
-    count = len(places) - size + 1
-    totals = np.full((count, 2), size, dtype=np.uint64)
-    for step in range(size):
-        totals += lanes[step:step + count] * _RANDOM[2 * step:2 * step + 2]
-    hashes = mix(totals).view(np.int64)
-    lengths = np.cumsum([0, *map(len, words)])
-    at = np.flatnonzero(lengths[size:] - lengths[:-size] >= least)
-    begins, ends = (np.array([place[k] for place in places]) for k in (0, 1))
-    return at, np.full(len(at), size), begins[at], ends[at + size - 1], hashes[at, 0], hashes[at, 1]
+    most = min(run, len(words))
+    made = []
+    for size in sorted({most, max(min(run - 1, most), 2)} & set(range(1, most + 1))):
+        count = len(words) - size + 1
+        totals = np.full((count, 2), size, dtype=np.uint64)
+        for step in range(size):
+            totals += lanes[step:step + count] * _RANDOM[2 * step:2 * step + 2]
+        hashes, length = mix(totals).view(np.int64), sums[size:] - sums[:-size]
+        at = np.flatnonzero(length >= (least if size == most else enough))
+        if size == most == run > 2:  # the two shorter runs in it have enough words by themselves
+            at = at[(sums[at + run - 1] - sums[at] < enough) | (sums[at + run] - sums[at + 1] < enough)]
+        made.append((at, np.full(len(at), size), begins[at], ends[at + size - 1], hashes[at, 0], hashes[at, 1]))
+    return tuple(np.concatenate(parts) for parts in zip(*made))
 
 
 def sentence_runs(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, at, size, start, end, h1, h2) of every run of every document."""
+    """(row, doc_id, tie, at, size, start, end, h1, h2) of every run of every row; `docs` has a number `row` for each."""
     require(docs, "doc_id", "text")
 
     def split(batches):
         for batch in batches:
-            ids, found = [], []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            columns, sizes, found = [], [], []
+            for text in batch.column(2).to_pylist():
                 made = runs_of(text or "", run, least)
-                if len(made[0]):
-                    ids.append(np.full(len(made[0]), doc_id))
-                    found.append(made)
-            if ids:
-                yield record_batch(_RUNS, (np.concatenate(ids), *(np.concatenate(parts) for parts in zip(*found))))
-
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        split, "doc_id long, at int, size int, start int, end int, h1 long, h2 long")
-
-
-def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(doc_id, start, end, n_sentences, first_doc_id): the stretches of sentences to remove, in code points, end exclusive;
-    first_doc_id has the first occurrence of the stretch's first run."""
-    runs = stored(sentence_runs(docs, run, least), "sentence-runs")
-    firsts = (runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
-              .filter("n > 1").select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.at").alias("first_at")))
-    again = (runs.join(firsts, ["h1", "h2"]).filter("doc_id != first_doc_id OR at != first_at")
-             .select("doc_id", "at", "size", "start", "end", "first_doc_id").distinct())
-    before = Window.partitionBy("doc_id").orderBy("at", "size", "start", "end", "first_doc_id")
+                tie = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) >> 1
+                found.append((np.full(len(made[0]), tie), *made))
+                sizes.append(len(made[0]))
+            if sum(sizes):
+                owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+                columns = [batch.column(0).take(owner), batch.column(1).take(owner)]
+                yield record_batch(_RUNS, (*columns, *(np.concatenate(parts) for parts in zip(*found))))
+
+    return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(
+        split, "row long, doc_id long, tie long, at int, size int, start int, end int, h1 long, h2 long")
+
+
+def spans_by_row(runs: DataFrame) -> DataFrame:
+    """(row, doc_id, start, end, n_sentences, first_doc_id) of the stretches to remove."""
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row", "at")
+    firsts = (runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
+        "h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")))
+    again = (runs.join(firsts, ["h1", "h2"]).filter("row != first_row OR at != first_at")
+             .select("row", "doc_id", "at", "size", "start", "end", "first_doc_id").distinct())
+    before = Window.partitionBy("row").orderBy("at", "size", "start", "end", "first_doc_id")
     reach = F.max(F.col("at") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("at") > reach).cast("int"), F.lit(1))
     stretches = again.withColumn("fresh", fresh).withColumn("stretch", F.sum("fresh").over(before))
-    return stretches.groupBy("doc_id", "stretch").agg(
-        F.min("start").alias("start"), F.max("end").alias("end"),
+    return stretches.groupBy("row", "stretch").agg(
+        F.first("doc_id").alias("doc_id"), F.min("start").alias("start"), F.max("end").alias("end"),
         (F.max(F.col("at") + F.col("size")) - F.min("at")).cast("long").alias("n_sentences"),
         F.min(F.struct("at", "first_doc_id"))["first_doc_id"].alias("first_doc_id")).drop("stretch")
 
 
+def repeated_spans(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
+    """(doc_id, start, end, n_sentences, first_doc_id): the stretches of sentences to remove, in code points, end exclusive;
+    first_doc_id has the first occurrence of the stretch's first run."""
+    require(docs, "doc_id", "text")
+    numbered = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    return spans_by_row(stored(sentence_runs(numbered, run, least), "sentence-runs")).drop("row")
+
+
 def without_repeats(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
     """`docs` without the repeated sentences and the white space after them."""
-    spans, owner = free_name(docs, "_spans"), free_name(docs, "_owner")
-    found = repeated_spans(docs, run, least).groupBy(F.col("doc_id").alias(owner)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
-    joined = docs.join(found, F.col("doc_id").cast("long") == F.col(owner), "left").drop(owner)
+    spans, number, owner = (free_name(docs, name) for name in ("_spans", "_row", "_owner"))
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered-texts")
+    runs = stored(sentence_runs(numbered.select(F.col(number).alias("row"), "doc_id", "text"), run, least), "sentence-runs")
+    found = spans_by_row(runs).groupBy(F.col("row").alias(owner)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(spans))
+    joined = numbered.join(found, F.col(number) == F.col(owner), "left").drop(owner, number)
     at, names = docs.columns.index("text"), docs.columns
 
     def cut(batches):

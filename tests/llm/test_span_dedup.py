@@ -1,3 +1,6 @@
+import random
+import time
+
 import helpers
 import pytest
 
@@ -7,12 +10,14 @@ from gigsift.llm import span_dedup as op
 def brute(rows):
     """Sentences to remove by document, and their kept text."""
     first, again = {}, {}
-    for doc_id, text in sorted((r for r in rows if r[0] is not None), key=lambda r: r[0]):
+    for doc_id, text in rows:
         places = op.sentences(text or "")
-        size = min(op.RUN, len(places))
-        for at in range(len(places) - size + 1 if size else 0):
-            run = tuple(" ".join((text[a:b]).lower().split()) for a, b in places[at:at + size])
-            if sum(len(s.split()) for s in run) >= op.LEAST_WORDS and first.setdefault(run, (doc_id, at)) != (doc_id, at):
+        words = [text[a:b].lower().split() for a, b in places]
+        for at, size in ((at, size) for at in range(len(places)) for size in (op.RUN - 1, op.RUN)):
+            size = min(size, len(places))
+            run = tuple(" ".join(w) for w in words[at:at + size])
+            least = op.LEAST_WORDS if size == min(op.RUN, len(places)) else op.ENOUGH_WORDS
+            if len(run) == size and sum(map(len, words[at:at + size])) >= least and first.setdefault(run, (doc_id, at)) != (doc_id, at):
                 again.setdefault(doc_id, set()).update(range(at, at + size))
     return again
 
@@ -60,8 +65,45 @@ def test_what_is_left_of_the_texts(spark):
 
 def test_odd_rows(spark):
     docs = helpers.odd(spark)
-    assert op.repeated_spans(docs).count() == 0 and op.repeated_spans(helpers.none(spark)).count() == 0
-    assert sorted(map(str, op.without_repeats(docs).collect())) == sorted(map(str, docs.collect()))
+    spans = op.repeated_spans(docs).collect()
+    assert [(r.doc_id, r.first_doc_id, r.start) for r in spans] == [(4, 4, 0)] and op.repeated_spans(helpers.none(spark)).count() == 0
+    left = op.without_repeats(docs)
+    assert left.columns == docs.columns and op.without_repeats(helpers.none(spark)).count() == 0
+    before, after = (sorted(map(str, (r.text for r in d.collect()))) for d in (docs, left))
+    gone = [t for t in before if len(t) > 1000]
+    assert len(gone) == 2 and sorted([*after, gone[0]]) == sorted([*before, ""])
+
+
+def test_rows_of_one_id_are_cut_by_their_own_places(spark):
+    shared, other = helpers.words(1, 60, 9000), helpers.words(2, 60, 9000)
+    rows = [(1, f"{shared}\n{other}"), (7, shared), (7, helpers.words(3, 90, 9000)), (None, other), (None, helpers.words(4, 30, 9000))]
+    left = op.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in left) == sorted(["", "", rows[0][1], rows[2][1], rows[4][1]])
+
+
+def test_passages_are_found_at_any_offset(spark):
+    """Against windows of words, which know nothing of sentences: long passages are found, and what goes occurs elsewhere."""
+    draw, texts, inside = random.Random(8), [], []
+    passages = [[f"p{draw.randrange(20_000)}" + ("." if i % 2 and draw.random() < 0.08 else "") for _ in range(55 + 5 * i)] for i in range(12)]
+    for i in range(72):
+        mine = lambda: [f"u{i}x{draw.randrange(10_000)}" + ("." if draw.random() < 0.05 * (i % 3) else "") for _ in range(draw.randrange(80))]
+        lead = mine()
+        texts.append(" ".join([*lead, *(passages[i % 18] if i % 18 < 12 else []), *mine()]))
+        inside.append((len(lead), len(lead) + len(passages[i % 18])) if i % 18 < 12 else (0, 0))
+    gone = {}
+    for r in op.repeated_spans(helpers.table(spark, texts)).collect():
+        before = len(texts[r.doc_id][:r.start].split())
+        gone.setdefault(r.doc_id, set()).update(range(before, before + len(texts[r.doc_id][r.start:r.end].split())))
+    assert set(gone) == {i for i in range(18, 72) if i % 18 < 12}
+    assert all(min(at) >= inside[i][0] and max(at) < inside[i][1] for i, at in gone.items())
+    assert sum(map(len, gone.values())) > 0.75 * sum(b - a for i, (a, b) in enumerate(inside) if i >= 18)
+
+
+@pytest.mark.parametrize("text", [" " * 10_000_000, "\n" * 1_000_000, "no stop " * 200_000, ". " * 200_000, "Ok.  \n" * 200_000])
+def test_work_is_linear_in_the_text(text):
+    begin = time.perf_counter()
+    op.runs_of(text)
+    assert time.perf_counter() - begin < 5
 
 
 @pytest.mark.parametrize("text,expected", [

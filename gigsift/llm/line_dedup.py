@@ -2,7 +2,8 @@
 
 State is two tables. `counts` (key, n) has the exact number of documents per line key. `filters` (shard, n_shards, filter) has
 one cuckoo filter per shard over the keys that have reached the threshold. Both take insertions and deletions of documents:
-deleting what was inserted gives the former counts, and keys that fall below the threshold leave their filter.
+deleting what was inserted gives the former counts, and keys that fall below the threshold leave their filter. A filter that has no
+room for its keys any more, or is of another number of shards, is built again from the exact counts, with room for twice as many.
 
 Lines of documents are first tested against the filters, and what they let pass is verified against the exact counts.
 
@@ -23,11 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import free_name, record_batch, require, stored, utf8
-from .cuckoo import CuckooFilter
+from .cuckoo import LOAD, CuckooFilter
 
 MIN_DOCS = 10
 FILTER_KEYS = 1 << 18  # keys that one filter is meant for
-SPREAD = 32            # parts over which the lines of a shard, thus also those of one very common line, are dealt
+SPREAD = 32            # parts over which the lines of a shard, thus also those of one very common line, are dealt at least
+PART_LINES = 1 << 22   # lines of a shard per part
 
 _PAIRS = pa.schema([("doc_id", pa.int64()), ("key", pa.binary())])
 _FILTERS = pa.schema([("shard", pa.int32()), ("n_shards", pa.int32()), ("filter", pa.binary())])
@@ -98,11 +100,17 @@ def build_filters(counts: DataFrame, min_docs: int = MIN_DOCS, n_shards: int = 1
 
 
 def update_filters(filters: DataFrame, before: DataFrame, after: DataFrame, min_docs: int = MIN_DOCS, n_shards: int = 1) -> DataFrame:
-    """The filters after the counts went from `before` to `after`: keys which crossed the threshold enter or leave in place."""
-    steps = (before.filter(F.col("n") >= min_docs).select("key", F.lit(-1).alias("step"))
-             .union(after.filter(F.col("n") >= min_docs).select("key", F.lit(1).alias("step")))
-             .groupBy("key").agg(F.sum("step").cast("int").alias("step")).filter("step != 0"))
-    return _apply(filters, steps, n_shards)
+    """The filters after the counts went from `before` to `after`: keys which crossed the threshold enter or leave in place. Shards
+    without a filter that has room for their keys get a new one, with all of them."""
+    held = lambda counts, step: counts.filter(F.col("n") >= min_docs).select(
+        "key", _shard(n_shards).alias("shard"), F.lit(step).alias("step"))
+    steps = held(before, -1).union(held(after, 1)).groupBy("key", "shard").agg(F.sum("step").cast("int").alias("step")).filter("step != 0")
+    sizes = held(after, 1).groupBy("shard").agg(F.count(F.lit(1)).alias("keys"))
+    room = F.length("filter") / 2 * LOAD  # two bytes a slot
+    roomy = stored(filters.filter(F.col("n_shards") == n_shards).join(sizes, "shard", "left")
+                   .filter(F.coalesce("keys", F.lit(0)) <= room).select("shard"), "roomy-shards")
+    changes = steps.join(roomy, "shard", "left_semi").unionByName(held(after, 1).join(roomy, "shard", "left_anti"))
+    return _apply(filters.join(roomy, "shard", "left_semi"), changes.select("key", "step"), n_shards)
 
 
 def _apply(filters: DataFrame, changes: DataFrame, n_shards: int) -> DataFrame:
@@ -143,8 +151,13 @@ def _apply(filters: DataFrame, changes: DataFrame, n_shards: int) -> DataFrame:
             .mapInArrow(run, "shard int, n_shards int, filter binary"))
 
 
-def filter_hits(pairs: DataFrame, filters: DataFrame, n_shards: int) -> DataFrame:
-    """The (doc_id, key) which the filter of their shard may contain. Lines of a shard are dealt over SPREAD parts, each with a
+def parts_for(lines: int, n_shards: int) -> int:
+    """Parts per shard: a part has about PART_LINES lines at most, whatever the number of shards."""
+    return max(SPREAD, math.ceil(lines / n_shards / PART_LINES))
+
+
+def filter_hits(pairs: DataFrame, filters: DataFrame, n_shards: int, parts: int = SPREAD) -> DataFrame:
+    """The (doc_id, key) which the filter of their shard may contain. Lines of a shard are dealt over `parts` parts, each with a
     copy of the filter, and are streamed past it."""
 
     def probe(batches):
@@ -165,10 +178,10 @@ def filter_hits(pairs: DataFrame, filters: DataFrame, n_shards: int) -> DataFram
                     rows = pa.array(rows[current.contains(_digests(batch.column(2).take(pa.array(rows))))])
                     yield record_batch(_PAIRS, (batch.column(1).take(rows), batch.column(2).take(rows)))
 
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int")
     rows = pairs.select(_shard(n_shards).alias("shard"), "doc_id", "key", F.lit(None).cast("binary").alias("filter"), part.alias("part"))
     copies = filters.select("shard", F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("binary").alias("key"), "filter",
-                            F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+                            F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     dealt = rows.union(copies).withColumn("part", F.coalesce("part", F.lit(0)))
     return (dealt.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("key").isNotNull())
             .drop("part").mapInArrow(probe, "doc_id long, key binary"))
@@ -178,7 +191,8 @@ def frequent_lines(pairs: DataFrame, counts: DataFrame, filters: DataFrame, min_
     """(doc_id, key) of the lines whose key is in at least `min_docs` documents: filter hits, verified by the exact counts."""
     salt = F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")
     exact = counts.filter(F.col("n") >= min_docs).select("key", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("salt"))
-    return filter_hits(pairs, filters, n_shards).withColumn("salt", salt).join(exact, ["key", "salt"]).select("doc_id", "key")
+    hits = filter_hits(pairs, filters, n_shards, parts_for(pairs.count(), n_shards))
+    return hits.withColumn("salt", salt).join(exact, ["key", "salt"]).select("doc_id", "key")
 
 
 def without_lines(docs: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -53,6 +53,31 @@ def test_deletion_undoes_insertion(spark):
     assert hits(filters) == hits(shrunk) == {digest(b"b")} and hits(grown) == {digest(b"b"), digest(b"c")}
 
 
+def test_filters_grow_with_their_keys(spark):
+    """Twenty times the keys, then another number of shards: nothing is left over in lists, and what is found equals a rebuild."""
+    lines = lambda begin, end: spark.range(begin, end).selectExpr("cast(id as string) AS text", "explode(array(1, 2)) AS doc_id")
+    counts = op.count_keys(op.line_keys(lines(0, 300))).cache()
+    after = op.insert_documents(counts, lines(300, 6_300)).cache()
+    probes = op.line_keys(lines(0, 9_000)).cache()
+    read = lambda f: [CuckooFilter.from_bytes(r.filter) for r in f.collect()]
+    hits = lambda f, n: sorted((r.doc_id, bytes(r.key)) for r in op.filter_hits(probes, f, n).collect())
+    small = op.build_filters(counts, 2, 2)
+    for shards in (2, 5):
+        grown = op.update_filters(small, counts, after, 2, shards).cache()
+        rebuilt = op.build_filters(after, 2, shards)
+        assert sorted(len(f.table) for f in read(grown)) == sorted(len(f.table) for f in read(rebuilt)) and not any(f.stash for f in read(grown))
+        assert hits(grown, shards) == hits(rebuilt, shards) and len(hits(grown, shards)) >= 12_600
+    # what has room is changed in place
+    more = op.insert_documents(after, lines(6_300, 6_400))
+    again = op.update_filters(grown, after, more, 2, 5)
+    assert sorted(len(f.table) for f in read(again)) == sorted(len(f.table) for f in read(grown))
+    assert set(hits(op.build_filters(more, 2, 5), 5)) >= {h for h in hits(grown, 5)} and len(hits(again, 5)) >= 12_800
+
+
+def test_parts_follow_the_lines():
+    assert op.parts_for(0, 1) == op.parts_for(10**6, 8) == op.SPREAD and op.parts_for(10**12, 1000) == -(-10**9 // op.PART_LINES)
+
+
 def test_cuckoo_filter_keeps_every_key_until_it_is_deleted():
     random = np.random.default_rng(3)
     keys = random.integers(0, 1 << 63, (20_000, 2)).astype(np.uint64)

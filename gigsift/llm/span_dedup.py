@@ -7,8 +7,8 @@ with LEAST_WORDS words or more is hashed, and of RUN - 1 with ENOUGH_WORDS (a te
 shorter ones cover is left out). Runs are joined globally: the first occurrence is that of the smallest doc_id, and in it the first;
 sentences covered by any other occurrence are removed. Case and white space make no difference.
 
-Defined results: null and empty texts have no sentences; every row is a document of its own, also where rows share a doc_id (then ordered
-by a hash of the text, so of equal rows one stays whole); rows with a null doc_id come after all others; other columns pass through.
+Defined results: null and empty texts have no sentences; every row is a document of its own; rows that share a doc_id come in the
+order in which they are read, so of equal rows one stays whole; rows with a null doc_id come before all others; other columns pass through.
 Memory: one Arrow batch per task; what is grouped by row are the spans within that row. A run that a large share of documents holds meets
 its first occurrence in a sort-merge join, whose partitions adaptive execution splits. Work on a text is linear in its length.
 """
@@ -29,8 +29,8 @@ RUN, LONGEST, LEAST_WORDS, ENOUGH_WORDS, REACH = 3, 16, 8, 24, 4
 _BREAK = re.compile(r"\n|[.!?](?=\s)|[。！？]")
 _WORD, _SPACE = re.compile(r"\S+"), re.compile(r"\s*")
 _RANDOM = mix(np.arange(101, 133, dtype=np.uint64)) | np.uint64(1)
-_RUNS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("tie", pa.int64()), ("at", pa.int32()), ("size", pa.int32()),
-                   ("start", pa.int32()), ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+_RUNS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32()), ("size", pa.int32()), ("start", pa.int32()),
+                   ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
 def cuts(words: list[str], longest: int = LONGEST, reach: int = REACH) -> list[int]:
@@ -94,33 +94,33 @@ def runs_of(text: str, run: int = RUN, least: int = LEAST_WORDS, enough: int = E
 
 
 def sentence_runs(docs: DataFrame, run: int = RUN, least: int = LEAST_WORDS) -> DataFrame:
-    """(row, doc_id, tie, at, size, start, end, h1, h2) of every run of every row; `docs` has a number `row` for each."""
+    """(row, doc_id, at, size, start, end, h1, h2) of every run of every row; `docs` has a number `row` for each."""
     require(docs, "doc_id", "text")
 
     def split(batches):
         for batch in batches:
-            columns, sizes, found = [], [], []
-            for text in batch.column(2).to_pylist():
-                made = runs_of(text or "", run, least)
-                tie = xxhash.xxh3_64_intdigest((text or "").encode("utf-8", "replace")) >> 1
-                found.append((np.full(len(made[0]), tie), *made))
-                sizes.append(len(made[0]))
-            if sum(sizes):
-                owner = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-                columns = [batch.column(0).take(owner), batch.column(1).take(owner)]
-                yield record_batch(_RUNS, (*columns, *(np.concatenate(parts) for parts in zip(*found))))
+            found = [runs_of(text or "", run, least) for text in batch.column(2).to_pylist()]
+            if found:
+                owner = pa.array(np.repeat(np.arange(len(found)), [len(made[0]) for made in found]))
+                owners = (batch.column(0).take(owner), batch.column(1).take(owner))
+                yield record_batch(_RUNS, (*owners, *(np.concatenate(parts) for parts in zip(*found))))
 
     return docs.select("row", F.col("doc_id").cast("long"), "text").mapInArrow(
-        split, "row long, doc_id long, tie long, at int, size int, start int, end int, h1 long, h2 long")
+        split, "row long, doc_id long, at int, size int, start int, end int, h1 long, h2 long")
 
 
 def spans_by_row(runs: DataFrame) -> DataFrame:
     """(row, doc_id, start, end, n_sentences, first_doc_id) of the stretches to remove."""
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row", "at")
-    firsts = (runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(
-        "h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"), F.col("first.at").alias("first_at")))
-    again = (runs.join(firsts, ["h1", "h2"]).filter("row != first_row OR at != first_at")
-             .select("row", "doc_id", "at", "size", "start", "end", "first_doc_id").distinct())
+    firsts = (runs.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row", "at")).alias("first"), F.count(F.lit(1)).alias("n"))
+              .filter("n > 1").select("h1", "h2", F.col("first.doc_id").alias("first_doc_id"), F.col("first.row").alias("first_row"),
+                                      F.col("first.at").alias("first_at")))
+    # two numbers in one where rows are shuffled
+    packed = runs.select("h1", "h2", "row", "doc_id", F.expr("shiftleft(cast(at as long), 32) | size").alias("place"),
+                         F.expr("shiftleft(cast(start as long), 32) | end").alias("span"))
+    again = (packed.join(firsts, ["h1", "h2"]).filter("row != first_row OR shiftright(place, 32) != first_at")
+             .select("row", "doc_id", "place", "span", "first_doc_id").distinct()
+             .withColumns({"at": F.expr("int(shiftright(place, 32))"), "size": F.expr("int(place & 4294967295)"),
+                           "start": F.expr("int(shiftright(span, 32))"), "end": F.expr("int(span & 4294967295)")}))
     before = Window.partitionBy("row").orderBy("at", "size", "start", "end", "first_doc_id")
     reach = F.max(F.col("at") + F.col("size")).over(before.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.coalesce((F.col("at") > reach).cast("int"), F.lit(1))

@@ -90,13 +90,16 @@ def observe(listings: DataFrame, history: DataFrame, now: datetime | Column) ->
 # --- delivery state --------------------------------------------------------------------------------------------------
 
 
-def _matches(history: DataFrame, picked: DataFrame) -> DataFrame:
-    """(key, fingerprint, first_seen_at, status, by_key): the records which picked listings match; by_key where nothing but the key does."""
-    probes = listing_identities(picked, "key")
-    records = history_identities(history, "fingerprint", "first_seen_at", "status").withColumnRenamed("fingerprint", "record")
-    met = probes.join(records, KEYS).groupBy("key", "record").agg(
-        F.min("first_seen_at").alias("first_seen_at"), F.min("status").alias("status"), F.min(F.col("kind") == "key").alias("by_key"))
-    return met.withColumnRenamed("record", "fingerprint")
+def _claims(history: DataFrame, picked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, kind, value) of picked listings, and (key, blocked, record) of those which match a record: whether one of them is pending or
+    sent, and the fingerprint of the earliest. Each identity is summed up first, so that a listing meets as many rows as it has identities,
+    however many records share one of them."""
+    c = F.col
+    probes = checkpoint(listing_identities(picked, "key").distinct())
+    known = history_identities(history, "fingerprint", "first_seen_at", "status").groupBy(*KEYS).agg(
+        F.bool_or(c("status").isin("pending", "sent")).alias("_blocked"), F.min(F.struct("first_seen_at", "fingerprint")).alias("_first"))
+    met = spread_join(probes, matched_groups(probes, known, KEYS), KEYS, "_n", c("key"), "inner")
+    return probes, met.groupBy("key").agg(F.bool_or("_blocked").alias("blocked"), F.min("_first")["fingerprint"].alias("record"))
 
 
 def reserve(history: DataFrame, deliveries: DataFrame, picked: DataFrame, now: datetime | Column,
@@ -110,16 +113,15 @@ def reserve(history: DataFrame, deliveries: DataFrame, picked: DataFrame, now: d
     wanted = checkpoint(picked.join(picked.groupBy("key").agg(first), "key").filter(F.struct(order, "row_id") == c("_first")).drop("_first")
                         .join(deliveries.select("key"), "key", "left_anti"))
     known = checkpoint(observe(wanted, history, now))
-    met = checkpoint(_matches(known, wanted))
-    blocked = met.filter(c("status").isin("pending", "sent")).select("key").distinct()
-    free = met.join(blocked, "key", "left_anti")
-    claims = free.groupBy("key").agg(F.min(F.struct("first_seen_at", "fingerprint"))["fingerprint"].alias("record"))
+    probes, met = _claims(known, wanted)
+    claims = met.filter("NOT coalesce(blocked, false)").select("key", "record")
     numbered = checkpoint(ranked(claims.join(wanted.select("key", order, F.col("row_id").alias("_row")), "key"), [c(order), c("_row")])
                           .withColumn("row_id", c("rank").cast("bigint")).select("key", "row_id", "record"))
-    record = lambda value: (F.lit("record").alias("kind"), c(value).alias("value"))
     # a record found by its key alone gets another key when it is claimed, and is no obstacle then
-    asked = free.filter("NOT by_key").join(numbered.select("key", "row_id"), "key").select("row_id", *record("fingerprint"))
-    offered = numbered.select("row_id", *record("record"))
+    asked = probes.filter("kind <> 'key'").join(numbered.select("key", "row_id"), "key").select("row_id", *KEYS)
+    claimable = known.join(numbered.select(c("record").alias("fingerprint")).distinct(), "fingerprint", "left_semi")
+    offered = history_identities(claimable, "fingerprint").filter("kind <> 'key'").join(
+        numbered.select(c("record").alias("fingerprint"), "row_id"), "fingerprint").select("row_id", *KEYS)
     winners = checkpoint(numbered.join(first_come(asked, offered), "row_id"))
     owner = winners.groupBy("record").agg(F.min("row_id").alias("row_id")).join(winners, ["record", "row_id"])
     claimed = known.join(owner.select(c("record").alias("fingerprint"), "key").join(wanted.select(
@@ -148,11 +150,14 @@ def settle(history: DataFrame, deliveries: DataFrame, picked: DataFrame | None,
     pending = deliveries.filter("status = 'pending'").select("key")
     final = checkpoint(outcomes.filter(place > 0).groupBy("key").agg(F.max_by("outcome", place).alias("outcome"))
                        .filter("outcome <> 'uncertain'").join(pending, "key", "left_semi"))
-    touched = history.select(F.concat_ws(":", "source", "source_id").alias("key"), "fingerprint")
+    touched = history.select(F.concat_ws(":", "source", "source_id").alias("key"), "fingerprint").join(final, "key").select("fingerprint", "outcome")
     if picked is not None:
         known = picked.join(final, "key", "left_semi").dropDuplicates(["key"])
-        touched = _matches(history, known).select("key", "fingerprint").union(touched)
-    touched = touched.join(final, "key")
+        # outcomes meet records by identity, each summed up first: no pairs of listings and records
+        told = (listing_identities(known, "key").join(final, "key").groupBy(*KEYS).agg(F.max("outcome").alias("outcome")))
+        records = history_identities(history, "fingerprint")
+        found = spread_join(records, matched_groups(records, told, KEYS), KEYS, "_n", c("fingerprint"), "inner")
+        touched = found.select("fingerprint", "outcome").union(touched)
     verdict = checkpoint(touched.groupBy("fingerprint").agg(F.max("outcome").alias("_outcome")))
     updated = (history.join(verdict, "fingerprint", "left")
                .withColumn("_sent", F.coalesce(c("_outcome") == "sent", F.lit(False)))

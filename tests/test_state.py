@@ -101,6 +101,30 @@ def test_one_claim_per_record(spark, listings):
         assert history.reserve(records, entries, ranked, NOW)[2].isEmpty()
 
 
+def test_a_shared_url_makes_no_pairs_of_listings_and_records(spark, listings, monkeypatch):
+    """300 listings and 300 records share one URL: no step holds a row per pair, the first listing claims the earliest record."""
+    n, url = 300, "https://orders.example.com/u/1"
+    past = spark.range(n).selectExpr("sha2(concat('r', id), 256) AS fingerprint", "'users' AS source", "cast(id AS string) AS source_id", f"'{url}' AS normalized_url",
+                                     "timestamp_seconds(1000 + (id + 7) % 300) AS first_seen_at", "cast(NULL AS timestamp) AS sent_at", "'seen' AS status")
+    rows = spark.range(n).selectExpr("id AS row_id", "concat('clicks:', id) AS key", "'clicks' AS source", "cast(id AS string) AS source_id",
+                                     "sha2(concat('c', id), 256) AS fingerprint", f"'{url}' AS url", f"'{url}' AS canonical", "cast(NULL AS string) AS direct_url")
+    sizes, keep = [], history.checkpoint
+
+    def counted(df):
+        df = keep(df)
+        sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(history, "checkpoint", counted)
+    records, entries, taken = history.reserve(past, spark.createDataFrame([], DELIVERIES), rows, NOW)
+    assert max(sizes) <= 4 * n
+    assert [(r.source, r.source_id) for r in records.filter("status = 'pending'").collect()] == [("clicks", "0")]
+    assert [r.key for r in taken.collect()] == ["clicks:0"] and records.count() == n
+    outcomes = spark.createDataFrame([("clicks:0", "sent"), ("clicks:0", "definite")], "key string, outcome string")
+    records, entries = history.settle(records, entries, taken, outcomes, NOW)
+    assert records.filter("status = 'sent' AND sent_at IS NOT NULL").count() == n and [r.status for r in entries.collect()] == ["sent"]
+
+
 def test_conflicting_outcomes_and_release(spark, listings):
     rows = batch_of(listings, 4)
     records, entries, _ = history.reserve(spark.createDataFrame([], HISTORY), spark.createDataFrame([], DELIVERIES), rows, NOW)

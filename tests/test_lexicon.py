@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
@@ -88,6 +89,17 @@ def test_relevance_gate(listings):
     assert {title: row.relevance.code for title, row in zip(cases, sorted(rows))} == cases
 
 
+def test_experience_in_time_linear_in_the_mentions(spark):
+    """Thousands of mentions in a text, each judged by what stands around it: read once, not once per mention."""
+    many = "проекту 4 года, сайт работает давно и без перерывов, команда большая; " * 3000
+    cases = {many: False, many + "опыт от 5 лет": True, many + "опыт 2 года": False, "опыт 😀" + "x" * 38 + " 4 года": True, "опыт 😀" + "x" * 39 + " 4 года": False,
+             "4 года 5 лет опыт": True, "4 года" + "x" * 9 + " 6 years опыт": True}
+    table = spark.createDataFrame([(t,) for t in cases], "t string")
+    began = time.monotonic()
+    found = {r.t: r.need for r in table.select("t", lexicon.experience_required(F.col("t")).alias("need")).collect()}
+    assert found == cases and time.monotonic() - began < 60
+
+
 def test_experience(spark):
     cases = {"опыт от 3 лет": True, "опыт от 2 лет": False, "требуется 1-2 года опыта": False, "нужны кейсы обязательно": True, "опыт не требуется, 5 лет на рынке": False, "5+ лет": True,
              "компании 7 лет": False, "только senior": True, "experience 4 years required": True, "проекту год": False, "подтверждённые внедрения": True}

@@ -23,7 +23,9 @@ def watchlist(candidates: DataFrame) -> DataFrame:
 
 
 def default_view(candidates: DataFrame, skips: int = 5) -> DataFrame:
-    """Everything worth a look and the first few skipped rows."""
+    """Everything worth a look and the first few skipped rows. The candidates are written, so that they are assessed once for both; pass
+    narrow rows."""
+    candidates = checkpoint(candidates)
     skipped = candidates.filter("label = 'SKIP'").orderBy(*candidate_order()).limit(skips)
     return candidates.filter("label <> 'SKIP'").unionByName(skipped)
 

@@ -3,9 +3,11 @@
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from listing_cases import by_row, hours_ago
 from gigsift import vocab
+from gigsift.operators import views
 from gigsift.operators.deliver import apply_gate
 from gigsift.operators.score import assess
 from gigsift.rules import Profile, ProfileError
@@ -153,3 +155,19 @@ def test_profile_from_settings():
     assert (profile.min_score, profile.allow_stack_mismatch, profile.channels) == (8, True, ("abcde", "fghij"))
     with pytest.raises(ProfileError):
         Profile.from_conf({"gigsift.min_score": "x"})
+
+
+def test_default_view_reads_the_candidates_once(spark):
+    """Skipped and other rows come from one evaluation of the candidates."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(score):
+        made.add(1)
+        return score
+
+    rows = spark.range(40).selectExpr("id AS row_id", "cast(id % 7 AS int) AS raw", "1.0D AS age_hours", "1 AS responses_count", "cast(id AS string) AS key")
+    graded = rows.withColumn("score", counted("raw")).drop("raw").withColumn("label", F.when(F.col("score") >= 3, "GOOD").otherwise("SKIP"))
+    shown = views.default_view(graded).select("row_id", "label", "score").collect()
+    assert sum(r.label == "GOOD" for r in shown) == 22 and sorted(r.row_id for r in shown if r.label == "SKIP") == [2, 16, 23, 30, 37]
+    assert made.value == 40

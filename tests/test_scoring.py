@@ -171,3 +171,9 @@ def test_default_view_reads_the_candidates_once(spark):
     shown = views.default_view(graded).select("row_id", "label", "score").collect()
     assert sum(r.label == "GOOD" for r in shown) == 22 and sorted(r.row_id for r in shown if r.label == "SKIP") == [2, 16, 23, 30, 37]
     assert made.value == 40
+
+
+def test_identity_that_a_query_does_not_use_is_not_computed(listings, now):
+    rows = assess(listings({}), now)
+    plan = lambda *names: rows.select(*names)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2(" not in plan("row_id", "score") and "sha2(" in plan("row_id", "score", "fingerprint")

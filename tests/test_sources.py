@@ -15,7 +15,7 @@ from gigsift.operators import metrics
 from gigsift.plans.run import check
 from gigsift.rules import Profile
 from gigsift.schema import PAGES
-from gigsift.sources import detail, frontier, scan
+from gigsift.sources import detail, frontier, html as flat, scan
 from gigsift.sources.layouts import LAYOUTS, extract, page_log
 
 ALL = Profile(disabled_sources=())
@@ -271,3 +271,30 @@ def test_a_result_is_written_in_candidate_order(spark, tmp_path):
     by_key = {d["key"]: d for d in found}
     assert by_key["k001"]["budget_min"] == "10.50" and by_key["k002"]["budget_min"] is None and "budget_max" in by_key["k002"]
     assert datetime.fromisoformat(by_key["k001"]["published_at"]).timestamp() == NOW.replace(microsecond=0).timestamp()
+
+
+def test_plain_markup_is_flattened_as_by_the_parser():
+    def parsed(page):
+        parser = flat._Flattener()
+        parser.feed(page)
+        return parser.finish()
+
+    pieces = ['<div class="a b">', "</div>", "<p>", "</p>", "x &amp; y", "&amp;lt;", '<a href="/q?a=1&amp;b=2&copy=3" HREF="z">', "</a>", "<br/>", "<br>", "<!-- c -->",
+              "<title>a &amp; b</title>", " \r\n ", "Ａ", "\x1f", "<i disabled>", "<b/>", "</span>", "&am", '<LI Class="">', '<script>a="</p>";</script>', "<style>q</style>",
+              '<div\n id="1"\tid="2">', "<!DOCTYPE html>", "</br>"]
+    odd = ["<title>", "<script>", "</script>", "<", "<a href=x>", "<u class='q'>", "<!-->", "<textarea>", "<noscript>", '<p class="a"b="c">', "</li >", "<?php x>"]
+    draw, plain = random.Random(5), 0
+    cases = [value for name, value in vars(html).items() if name.isupper() and isinstance(value, str)]
+    cases += ["".join(draw.choice(pieces) for _ in range(draw.randrange(14))) for _ in range(1500)]
+    cases += ["".join(draw.choice(pieces + odd) for _ in range(draw.randrange(14))) for _ in range(1500)]
+    for page in cases:
+        found = flat._plain_nodes(page)
+        plain += found is not None
+        expected = parsed(page)
+        nodes = [(n["stop"], n["up"], n["tag"], n["attrs"], n["start"], n["size"]) for n in expected["nodes"]]
+        for text, rows in filter(None, (found, flat._any_nodes(page))):
+            assert text == expected["text"] and [(*n[:3], list(n[3].items()), *n[4:]) for n in rows] == nodes
+    assert 1500 < plain < len(cases)
+    built = flat._flatten([*cases, None, ""])
+    assert built.to_pylist()[:-2] == [flat.pa.scalar(parsed(page), flat._ARROW).as_py() for page in cases]
+    assert built.to_pylist()[-2:] == [None, {"text": "", "nodes": []}]

@@ -298,3 +298,9 @@ def test_plain_markup_is_flattened_as_by_the_parser():
     built = flat._flatten([*cases, None, ""])
     assert built.to_pylist()[:-2] == [flat.pa.scalar(parsed(page), flat._ARROW).as_py() for page in cases]
     assert built.to_pylist()[-2:] == [None, {"text": "", "nodes": []}]
+
+
+def test_a_card_link_is_resolved_once(spark):
+    pages = spark.createDataFrame([("freelance_ru", "u", 1, 0, html.FREELANCE, None)], PAGES)
+    plan = extract(pages, LAYOUTS["freelance_ru"], NOW, ALL).select("source_id", "url", "card_error")._jdf.queryExecution().optimizedPlan().toString()
+    assert 1 <= plan.count(r"\A[^?#]*(.*)\z") <= 2

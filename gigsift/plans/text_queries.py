@@ -288,8 +288,10 @@ def _(spark, folder):
     post = F.concat(F.lit("https://t.me/channel/"), number)
     kind, pick = c("page_id") % 4, lambda *v: F.element_at(F.array(*v), (c("page_id") % 4 + 1).cast("int"))
     link = F.when(kind == 2, F.concat(F.lit("https://freelance.ru/task/view/"), number))
-    return table(spark, folder, "pages").select("page_id", urls.direct_card_url(
-        F.when(kind < 2, "marketplace").otherwise("repost"), F.when(kind < 2, "fl_ru").otherwise("telegram_public"), number, pick(own, other, post, post), link).alias("direct_url"))
+    listings = table(spark, folder, "pages").select(
+        "page_id", F.when(kind < 2, "marketplace").otherwise("repost").alias("origin_kind"), F.when(kind < 2, "fl_ru").otherwise("telegram_public").alias("source"),
+        number.alias("source_id"), pick(own, other, post, post).alias("url"), link.alias("external_url"))
+    return urls.with_direct_card_url(listings).select("page_id", "direct_url")
 
 
 @query("html_text", r"""SELECT page_id, sha256(t) AS text_hash, length(t) AS n FROM (SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(replace(

@@ -164,3 +164,23 @@ def test_redaction_covers_the_whole_text(spark):
 def test_retry_delay(spark):
     cases = {"5": 5.0, "-3": 0.0, "Mon, 21 Sep 2026 12:00:30 GMT": 30.0, "Mon, 21 Sep 2026 11:00:00 GMT": 0.0, "soon": 8.0}
     assert column(spark, cases, lambda t: outbox.retry_delay(t, F.lit(NOW), F.lit(8.0))) == list(cases.values())
+
+
+def test_literals_found_in_one_pass_gate_like_the_text(spark):
+    patterns = vocab.STACK_HIGH | vocab.STACK_PARTIAL | vocab.STACK_LOW
+    samples = [EXAMPLES.get(name, name.lower()) for name in patterns]
+    lines = samples + mixed(samples, 300, 5) + [f"x{s}" for s in samples] + ["ёpython", "(c#).net", "", "asp.net.net", "ПИТОН\nРЕСТ API", "javaſcript lınux"]
+    table = spark.createDataFrame(list(enumerate(lines)), "id int, line string").withColumn("whole", lexicon.searchable(F.col("line")))
+    table = table.withColumn("brief", lexicon.literals_in(F.col("whole"), patterns.values()))
+    for row in table.select("brief", *[lexicon.mentioned_names("line", f, patterns).alias(f"by_{f}") for f in ("brief", "whole")]).collect():
+        assert row.by_brief == row.by_whole
+    few = table.select(lexicon.literals_in(F.col("whole"), ["python", "go"]).alias("few"), "whole").collect()
+    assert all(row.few == row.whole for row in few)
+
+
+def test_waivers_are_cut_before_experience_is_judged(spark):
+    cases = {"опыт не требуется, python": False, "кейсы не нужны": False, "требуется опыт 5 лет": True, "нужен senior, портфолио обязательно": True,
+             "не нужен опыт 5 лет": True, "портфолио не обязательно, опыт от 4 лет": True}
+    table = spark.createDataFrame([(t,) for t in cases], "t string").withColumn("left", lexicon.without_waivers(F.col("t")))
+    asked = table.select("t", lexicon.experience_required(F.col("t")).alias("whole"), lexicon.experience_required(F.col("t"), F.col("left")).alias("given"))
+    assert all(row.whole == row.given == cases[row.t] for row in asked.collect())

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from listing_cases import by_row, hours_ago
 from gigsift import vocab
+from gigsift.functions.urls import with_direct_card_url
 from gigsift.operators import views
 from gigsift.operators.deliver import apply_gate
 from gigsift.operators.score import assess
@@ -177,3 +178,27 @@ def test_identity_that_a_query_does_not_use_is_not_computed(listings, now):
     rows = assess(listings({}), now)
     plan = lambda *names: rows.select(*names)._jdf.queryExecution().optimizedPlan().toString()
     assert "sha2(" not in plan("row_id", "score") and "sha2(" in plan("row_id", "score", "fingerprint")
+
+
+def test_what_no_filter_and_no_result_uses_is_not_computed(listings, now):
+    """A query of the complexity alone reads no link and builds no flags; with `fixed` columns it does."""
+    plan = lambda rows: rows.select("row_id", "complexity")._jdf.queryExecution().optimizedPlan().toString()
+    rows = listings({})
+    free, whole = assess(rows, now, fixed=()), assess(rows, now)
+    assert "OLDER_THAN_HOT_WINDOW" in plan(whole) and "OLDER_THAN_HOT_WINDOW" not in plan(free) and "direct_url" not in plan(free)
+    names = sorted(whole.columns)
+    assert sorted(free.columns) == names and whole.select(*names).collect() == free.select(*names).collect()
+
+
+def test_card_urls(spark):
+    rows = [(0, "marketplace", "fl_ru", "7", "https://www.fl.ru/projects/7/x.html?ref=1", None, "https://www.fl.ru/projects/7/x.html"),
+            (1, "marketplace", "fl_ru", "8", "https://www.fl.ru/projects/7/x.html", None, None),
+            (2, "marketplace", "habr_freelance", "7", "https://www.fl.ru/projects/7/x.html", None, None),
+            (3, "repost", "telegram_public", "x", None, "https://www.freelance.ru:443/task/view/5/", "https://www.freelance.ru/task/view/5/"),
+            (9, "repost", "telegram_public", "x", None, "https://user@freelance.ru/task/view/5/", None),
+            (4, "repost", "telegram_public", "x", None, "http://freelance.ru/task/view/5", None),
+            (5, "marketplace", "fl_ru", None, "https://www.fl.ru/projects/7/x.html", None, None),
+            (6, None, None, None, None, "https://freelance.habr.com/tasks/9", None), (7, "repost", "a", "b", None, None, None),
+            (8, "marketplace", "weblancer", "3", "https://weblancer.net/freelance/a-1/b-3", None, "https://weblancer.net/freelance/a-1/b-3")]
+    table = spark.createDataFrame(rows, "n int, origin_kind string, source string, source_id string, url string, external_url string, wanted string")
+    assert all(r.direct_url == r.wanted for r in with_direct_card_url(table).collect())

@@ -16,7 +16,7 @@ its first occurrence in a sort-merge join, whose partitions adaptive execution s
 from __future__ import annotations
 
 import re
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,35 +33,61 @@ _RUNS = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int32(
                    ("end", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
 
 
-def cuts(words: list[str], longest: int = LONGEST, reach: int = REACH) -> list[int]:
-    """Places before which a long sentence is cut, the first and the last included; no piece has more than twice `longest` words."""
-    hashes = np.array([xxhash.xxh3_64_intdigest(f"{a} {b}".encode("utf-8", "replace")) for a, b in pairwise(words)], dtype=np.uint64)
-    size, wide = len(hashes), np.pad(hashes, reach, constant_values=np.iinfo(np.uint64).max)
+def cuts(sentences: list[list[str]], longest: int = LONGEST, reach: int = REACH) -> list[list[int]]:
+    """Places before which long sentences are cut, the first and the last included; no piece has more than twice `longest` words."""
+    between = [b"\xff" * 8 * reach]  # no hash beside them is larger, so sentences do not see each other
+    digests = list(between)
+    for words in sentences:
+        coded = " ".join(words).encode("utf-8", "replace").split(b" ")
+        digests += map(xxhash.xxh3_64_digest, map(b" ".join, pairwise(coded)))
+        digests += between
+    wide = np.frombuffer(b"".join(digests), dtype=">u8").astype(np.uint64)
+    size = len(wide) - 2 * reach
+    hashes = wide[reach:reach + size]
     low = np.ones(size, dtype=bool)
     for step in range(1, reach + 1):
         low &= (hashes < wide[reach - step:reach - step + size]) & (hashes <= wide[reach + step:reach + step + size])
-    found = []
-    for begin, end in pairwise([0, *(np.flatnonzero(low) + 1).tolist(), len(words)]):
-        found.extend(range(begin, end, 2 * longest))
-    return [*found, len(words)]
+    lowest, offsets = np.flatnonzero(low) + 1, np.cumsum([0, *(len(words) - 1 + reach for words in sentences)])
+    groups = np.searchsorted(lowest, offsets, side="right").tolist()
+    lowest, made = lowest.tolist(), []
+    for words, offset, (first, last) in zip(sentences, offsets.tolist(), pairwise(groups)):
+        found = []
+        for begin, end in pairwise([0, *(place - offset for place in lowest[first:last]), len(words)]):
+            found.extend(range(begin, end, 2 * longest))
+        made.append([*found, len(words)])
+    return made
+
+
+def word_places(text: str, start: int, end: int) -> tuple[list[int], list[int]]:
+    """Starts and ends of the words between two places of a text, where a word begins and ends."""
+    sizes = list(map(len, text[start:end].split()))
+    if sum(sizes) + len(sizes) - 1 == end - start:  # one space each
+        ends = [start + at + place for at, place in enumerate(accumulate(sizes))]
+        return [stop - size for stop, size in zip(ends, sizes)], ends
+    places = [m.span() for m in _WORD.finditer(text, start, end)]
+    return [first for first, _ in places], [last for _, last in places]
 
 
 def sentences_and_words(text: str, longest: int = LONGEST):
     """Start, end and lower-case words of every sentence, without the white space around it."""
-    at = 0
+    at, whole = 0, []
     for stop in [*(m.end() for m in _BREAK.finditer(text)), len(text)]:
         part = text[at:stop]
-        bare = part.lstrip()
-        start, at = at + len(part) - len(bare), stop
-        words = bare.lower().split()
-        if not words:
-            continue
+        words = part.lower().split()
+        if words:
+            whole.append((stop - len(part.lstrip()), at + len(part.rstrip()), words))
+        at = stop
+    long = [words for _, _, words in whole if len(words) > longest]
+    cut = iter(cuts(long, longest) if long else ())
+    found = []
+    for sentence in whole:
+        start, end, words = sentence
         if len(words) <= longest:
-            yield start, start + len(bare.rstrip()), words
+            found.append(sentence)
             continue
-        places = [m.span() for m in _WORD.finditer(text, start, stop)]
-        for begin, end in pairwise(cuts(words, longest)):
-            yield places[begin][0], places[end - 1][1], words[begin:end]
+        starts, ends = word_places(text, start, end)
+        found.extend((starts[first], ends[last - 1], words[first:last]) for first, last in pairwise(next(cut)))
+    return found
 
 
 def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
@@ -71,7 +97,7 @@ def sentences(text: str, longest: int = LONGEST) -> list[tuple[int, int]]:
 
 def runs_of(text: str, run: int = RUN, least: int = LEAST_WORDS, enough: int = ENOUGH_WORDS) -> tuple[np.ndarray, ...]:
     """First sentence, number of sentences, start, end and two hashes of every run of a text."""
-    found = list(sentences_and_words(text))
+    found = sentences_and_words(text)
     if not found:
         return tuple(np.empty(0, dtype=np.int64) for _ in range(6))
     begins, ends, words = zip(*found)

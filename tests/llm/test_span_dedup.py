@@ -110,3 +110,15 @@ def test_work_is_linear_in_the_text(text):
     ("One. Two!\n\nThree", ["One.", "Two!", "Three"]), ("v1.2 is out. Go", ["v1.2 is out.", "Go"]), ("一。二！三", ["一。", "二！", "三"]), (" \n ", [])])
 def test_sentences(text, expected):
     assert [text[a:b] for a, b in op.sentences(text)] == expected
+
+
+def test_sentences_cut_together_are_cut_like_each_alone():
+    draw = random.Random(9)
+    long = [[f"w{draw.randrange(50)}" for _ in range(draw.choice((17, 40, 90, 300)))] for _ in range(40)] + [["same"] * 100]
+    together = op.cuts(long)
+    assert together == [op.cuts([words])[0] for words in long]
+    for words, found in zip(long, together):
+        assert found[0] == 0 and found[-1] == len(words) and all(0 < b - a <= 2 * op.LONGEST for a, b in zip(found, found[1:]))
+    text = " ".join(" ".join(words) + ("." if i % 2 else "  \u0130I.") for i, words in enumerate(long))
+    for start, end, words in op.sentences_and_words(text):
+        assert text[start:end].lower().split() == words and text[start:end] == text[start:end].strip()

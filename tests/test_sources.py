@@ -300,6 +300,16 @@ def test_plain_markup_is_flattened_as_by_the_parser():
     assert built.to_pylist()[-2:] == [None, {"text": "", "nodes": []}]
 
 
+def test_pages_share_columns_and_a_refused_one_leaves_nothing_in_them():
+    out = flat._Nodes()
+    assert flat._plain_page('<p class="a  b" id="1">x<br></p>', out) == "x"
+    rows, ends = out.rows(), (list(out.class_ends), list(out.attr_ends))
+    assert [(row[2], row[3]) for row in rows] == [("p", {"id": "1", "class": "a  b"}), ("#text", {}), ("br", {})]
+    assert flat._plain_page('<i class="c">y</i><a href=x>', out) is None
+    assert out.rows() == rows and (out.class_ends, out.attr_ends) == ends and out.classes == ["a", "b"]
+    assert flat._plain_page("<b>z</b>", out) == "z" and out.rows()[3:] == [[1, -1, "b", {}, 0, 1], [1, 0, "#text", {}, 0, 1]]
+
+
 def test_a_card_link_is_resolved_once(spark):
     pages = spark.createDataFrame([("freelance_ru", "u", 1, 0, html.FREELANCE, None)], PAGES)
     plan = extract(pages, LAYOUTS["freelance_ru"], NOW, ALL).select("source_id", "url", "card_error")._jdf.queryExecution().optimizedPlan().toString()
